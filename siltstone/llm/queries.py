@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, url_filter
+from siltstone.llm import mixing, pii, quality_rules, url_filter
 from siltstone.sources.tables import table
 
-_DOCUMENTS = {"op4_curriculum_mix": mixing.op4_query}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = lambda f, name: lambda spark, sf_dir: f(table(spark, sf_dir, name))
-    return {k: of(f, "documents") for k, f in _DOCUMENTS.items()} | {"op10_url_filter": of(url_filter.op10_query, "pages")}
+def _of(query: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, sf_dir: query(*[table(spark, sf_dir, name) for name in names])
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "op1_quality_rules": _of(quality_rules.op1_query, "documents", "labels"),
+        "op4_curriculum_mix": _of(mixing.op4_query, "documents"),
+        "op9_pii": _of(pii.op9_query, "documents"),
+        "op10_url_filter": _of(url_filter.op10_query, "pages"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
