@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing, pii, quality_rules, url_filter
+from siltstone.llm import exact_dedup, mixing, pii, quality_rules, simhash, url_filter
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": _of(quality_rules.op1_query, "documents", "labels"),
         "op3_exact_dedup": _of(exact_dedup.op3_query, "documents"),
         "op4_curriculum_mix": _of(mixing.op4_query, "documents"),
+        "op7_simhash": _of(simhash.op7_query, "documents"),
         "op9_pii": _of(pii.op9_query, "documents"),
         "op10_url_filter": _of(url_filter.op10_query, "pages"),
     }
