@@ -20,7 +20,7 @@ def text_or_empty(text: str | Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; null or blank: an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def ascii_lower(text: Column) -> Column:

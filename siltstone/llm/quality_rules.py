@@ -23,40 +23,49 @@ TRUSTED_ROWS = 20_000
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and __grams (see `with_grams`).
 
-    Null and blank texts have no words and fail. Work in a row is n log n in its words: windows are hashed to 64 bits
-    and sorted with their places, equal neighbours give the repeated ones.
+    Null and blank texts have no words and fail. Work in a row is n log n in its words: windows are hashed to 64 bits,
+    and where some are equal they are sorted with their places, so that equal neighbours give the repeated ones.
     """
     text = text_or_empty(text_col)
-    docs = docs.withColumn("__words", words_of(F.col(text_col)))
-    words = F.col("__words")
-    spans = F.slice(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))).alias("c")), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
-    docs = docs.withColumn("__spans", F.transform(spans, lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("at"))))
-    sorted_spans = F.sort_array("__spans")
-    pairs = F.filter(F.arrays_zip(sorted_spans.alias("x"), F.slice(sorted_spans, F.lit(2), F.greatest(F.size("__spans"), F.lit(1))).alias("y")), lambda p: p["x"]["h"] == p["y"]["h"])
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["x"]["at"], p["y"]["at"])))))
-    several = F.size(F.array_distinct(F.transform("__spans", lambda s: s["h"]))) < F.size("__spans")
-    docs = docs.withColumn("__places", F.when(several, places).otherwise(F.array().cast("array<int>")))
-    steps = F.arrays_zip(F.col("__places").alias("p"), F.slice("__places", F.lit(2), F.greatest(F.size("__places"), F.lit(1))).alias("q"))
-    repeated = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + F.least(F.lit(3), F.coalesce(s["q"] - s["p"], F.lit(3))))
+    docs = with_grams(docs, text_col)
+    docs = docs.withColumn("__h3", F.zip_with(_ahead("__h2", 0, 1), _ahead("__h1", 2, 2), lambda a, b: F.xxhash64(a, b)))
+    windows = F.sort_array(F.transform("__h3", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    several = F.size(F.array_distinct("__h3")) < F.size("__h3")
+    docs = docs.withColumn("__windows", F.when(several, windows).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    twins = F.zip_with("__windows", _ahead("__windows", 1, 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["at"], y["at"])))
+    places = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda p: p.isNotNull()))))
+    docs = docs.withColumn("__places", places)
+    steps = F.zip_with("__places", _ahead("__places", 1, 1), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "__lines": lines,
-        "n_repeat_words": repeated,
+        "n_repeat_words": F.aggregate(steps, F.lit(0).cast("long"), lambda acc, n: acc + n),
     })
     docs = docs.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    return docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__spans", "__places", "__lines")
+    docs = docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return docs.drop("__words", "__h1", "__h2", "__h3", "__windows", "__places", "__lines")
+
+
+def _ahead(array: str, start: int, less: int) -> Column:
+    """The array from `start` on, `less` elements shorter."""
+    return F.slice(array, F.lit(start + 1), F.greatest(F.lit(0), F.size(array) - less))
+
+
+def with_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds __words, __h1 (hashes of words), __h2 (of pairs of neighbours) and __grams, both together."""
+    docs = docs.withColumn("__words", words_of(F.col(text_col)))
+    docs = docs.withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
+    docs = docs.withColumn("__h2", F.zip_with(_ahead("__h1", 0, 1), _ahead("__h1", 1, 1), lambda a, b: F.xxhash64(a, b)))
+    return docs.withColumn("__grams", F.concat("__h1", "__h2"))
 
 
-def grams(words: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words and of the pairs of neighbours."""
-    bucket = lambda h: h.bitwiseAND(F.lit(buckets - 1)).cast("int")
-    pairs = F.slice(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b")), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), F.transform(pairs, lambda p: bucket(F.xxhash64(p["a"], p["b"]))))
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return gram.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
@@ -65,8 +74,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     `trusted` has a column of ids, of at most TRUSTED_ROWS different ones: it is broadcast.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).distinct().withColumn("__trusted", F.lit(1))
-    counted = docs.select(id_col, grams(words_of(F.col(text_col)), buckets).alias("__g")).join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left")
-    counted = counted.select(F.explode("__g").alias("bucket"), F.coalesce("__trusted", F.lit(0)).alias("__t")).groupBy("bucket").agg(F.count(F.lit(1)).alias("__raw"), F.sum("__t").alias("__good"))
+    counted = with_grams(docs.select(id_col, text_col), text_col).select(id_col, "__grams").join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left")
+    counted = counted.select(F.explode("__grams").alias("__g"), F.coalesce("__trusted", F.lit(0)).alias("__t")).select(bucket_of(F.col("__g"), buckets).alias("bucket"), "__t").groupBy("bucket").agg(F.count(F.lit(1)).alias("__raw"), F.sum("__t").alias("__good"))
     spark = docs.sparkSession
     counted = written(counted, "buckets")
     n_raw, n_good = counted.agg(F.coalesce(F.sum("__raw"), F.lit(0)), F.coalesce(F.sum("__good"), F.lit(0))).first()
@@ -89,11 +98,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     names of added ones are replaced.
     """
     table = log_ratios(docs, trusted, id_col, text_col, buckets, prior)
-    ratios = table.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("r")).select(F.transform("r", lambda x: x["ratio"])).scalar()
-    out = base_counts(docs, text_col).withColumns({"__g": grams(F.col("__words"), buckets), "__ratios": ratios})
-    total = F.aggregate("__g", F.lit(0.0), lambda acc, g: acc + F.get(F.col("__ratios"), g))
-    out = out.withColumn("ratio", F.when(F.size("__g") > 0, total / F.size("__g")).otherwise(0.0))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("__g", "__words", "__ratios")
+    # `buckets` numbers, as one constant of the plan: inside a lambda Spark takes no subquery, and as a column each row would hold a copy
+    values = dict(table.collect())
+    ratios = F.split(F.lit(",".join(f"{values[b]:.6g}" for b in range(buckets))), ",").cast("array<double>")
+    out = base_counts(docs, text_col)
+    total = F.aggregate("__grams", F.lit(0.0), lambda acc, g: acc + F.get(ratios, bucket_of(g, buckets)))
+    out = out.withColumn("ratio", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(0.0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("__grams")
 
 
 def op1_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
