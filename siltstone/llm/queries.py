@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing, pii, quality_rules, simhash, url_filter
+from siltstone.llm import exact_dedup, language, mixing, packing, pii, quality_rules, simhash, token_counts, toxicity, url_filter
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,13 @@ def _of(query: Callable[..., DataFrame], *names: str) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _of(quality_rules.op1_query, "documents", "labels"),
+        "op2_best_fit_packing": _of(packing.op2_query, "documents"),
         "op3_exact_dedup": _of(exact_dedup.op3_query, "documents"),
         "op4_curriculum_mix": _of(mixing.op4_query, "documents"),
+        "op5_toxicity": _of(toxicity.op5_query, "documents", "labels"),
+        "op6_token_counts": _of(token_counts.op6_query, "documents"),
         "op7_simhash": _of(simhash.op7_query, "documents"),
+        "op8_language": _of(language.op8_query, "documents"),
         "op9_pii": _of(pii.op9_query, "documents"),
         "op10_url_filter": _of(url_filter.op10_query, "pages"),
     }
