@@ -197,7 +197,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     return words_only, stems
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, tuple[float, ...]]:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> tuple[float, tuple[float, ...]]:
     """Logistic regression with a ridge, by Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     beta, hold = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
