@@ -18,6 +18,8 @@ BUCKETS = 1 << 16
 PRIOR = 100_000.0
 #: Documents whose mean log ratio lies under it are dropped.
 THRESHOLD = -0.1
+#: Repeated windows of a text that are looked up in its windows one by one.
+FEW = 32
 #: The trusted side is learned from so many labelled documents at most, those with the least hashes of their ids.
 TRUSTED_ROWS = 20_000
 
@@ -25,30 +27,37 @@ TRUSTED_ROWS = 20_000
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and __grams (see `with_grams`).
 
-    Null and blank texts have no words and fail. Work in a row is n log n in its words: windows are hashed to 64 bits,
-    and where some are equal they are sorted with their places, so that equal neighbours give the repeated ones.
+    Null and blank texts have no words and fail. Work in a row is n log n in its words: windows are hashed to 64 bits
+    and sorted, equal neighbours are the repeated ones. Places of up to FEW of these are looked up one by one; where
+    there are more, windows are sorted with their places.
     """
     text = text_or_empty(text_col)
-    docs = with_grams(docs, text_col)
-    docs = docs.withColumn("__h3", F.zip_with(_ahead("__h2", 0, 1), _ahead("__h1", 2, 2), lambda a, b: F.xxhash64(a, b)))
-    windows = F.sort_array(F.transform("__h3", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    several = F.size(F.array_distinct("__h3")) < F.size("__h3")
-    docs = docs.withColumn("__windows", F.when(several, windows).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
-    twins = F.zip_with("__windows", _ahead("__windows", 1, 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["at"], y["at"])))
-    places = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda p: p.isNotNull()))))
-    docs = docs.withColumn("__places", places)
-    steps = F.zip_with("__places", _ahead("__places", 1, 1), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "__words": words_of(F.col(text_col)),
+        "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-        "__lines": lines,
-        "n_repeat_words": F.aggregate(steps, F.lit(0).cast("long"), lambda acc, n: acc + n),
     })
-    docs = docs.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    docs = docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return docs.drop("__words", "__h1", "__h2", "__h3", "__windows", "__places", "__lines")
+    docs = docs.withColumns({
+        "__h1": F.transform("__words", lambda w: F.xxhash64(w)),
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+    }).drop("__words", "__lines")
+    docs = docs.withColumn("__h2", _pairs())
+    docs = docs.withColumns({"__h3": F.zip_with(_ahead("__h2", 0, 1), _ahead("__h1", 2, 2), lambda a, b: F.xxhash64(a, b)), "__grams": F.concat("__h1", "__h2")}).drop("__h1", "__h2")
+    docs = docs.withColumn("__sorted", F.sort_array("__h3"))
+    twins = F.zip_with("__sorted", _ahead("__sorted", 1, 1), lambda x, y: F.when(x == y, x))
+    docs = docs.withColumn("__often", F.array_distinct(F.filter(twins, lambda x: x.isNotNull()))).drop("__sorted")
+    few = F.filter(F.transform("__h3", lambda h, i: F.when(F.array_contains("__often", h), i)), lambda i: i.isNotNull())
+    windows = F.array_sort(F.transform("__h3", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    docs = docs.withColumn("__windows", F.when(F.size("__often") > FEW, windows).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    twins = F.zip_with("__windows", _ahead("__windows", 1, 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["at"], y["at"])))
+    many = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda p: p.isNotNull()))))
+    none = F.array().cast("array<int>")
+    docs = docs.withColumn("__places", F.when(F.size("__often") == 0, none).when(F.size("__often") <= FEW, few).otherwise(many)).drop("__windows", "__often", "__h3")
+    steps = F.zip_with("__places", _ahead("__places", 1, 1), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
+    docs = docs.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda acc, n: acc + n)).drop("__places")
+    return docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def _ahead(array: str, start: int, less: int) -> Column:
@@ -56,12 +65,14 @@ def _ahead(array: str, start: int, less: int) -> Column:
     return F.slice(array, F.lit(start + 1), F.greatest(F.lit(0), F.size(array) - less))
 
 
+def _pairs() -> Column:
+    return F.zip_with(_ahead("__h1", 0, 1), _ahead("__h1", 1, 1), lambda a, b: F.xxhash64(a, b))
+
+
 def with_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __words, __h1 (hashes of words), __h2 (of pairs of neighbours) and __grams, both together."""
-    docs = docs.withColumn("__words", words_of(F.col(text_col)))
-    docs = docs.withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
-    docs = docs.withColumn("__h2", F.zip_with(_ahead("__h1", 0, 1), _ahead("__h1", 1, 1), lambda a, b: F.xxhash64(a, b)))
-    return docs.withColumn("__grams", F.concat("__h1", "__h2"))
+    """Adds __grams: hashes of the words and of the pairs of neighbours."""
+    docs = docs.withColumn("__h1", F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)))
+    return docs.withColumn("__grams", F.concat("__h1", _pairs())).drop("__h1")
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
