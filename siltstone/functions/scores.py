@@ -1,0 +1,138 @@
+"""Scores as columns: scraping, cleaning, combined ranks, relevance of domains, titles, snippets, urls."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Domains by category, and those that count as authorities.
+FRIENDLY = ["httpbin.org", "example.com", "httpstat.us", "jsonplaceholder.typicode.com"]
+DOMAINS = {
+    "ai_tools": ["producthunt.com", "github.com", "alternativeto.net", "saashub.com", "g2.com", "capterra.com", "techcrunch.com", "venturebeat.com", *FRIENDLY],
+    "mutual_funds": [
+        "morningstar.com", "vanguard.com", "investor.vanguard.com", "fidelity.com", "schwab.com", "tdameritrade.com", "etrade.com", "yahoo.com/finance",
+        "marketwatch.com", "investopedia.com", "nerdwallet.com", "bankrate.com", "thebalance.com", "forbes.com/investing", "bloomberg.com", "reuters.com/finance",
+    ],
+    "general": ["wikipedia.org", "reddit.com", "stackoverflow.com", "quora.com", "medium.com", "dev.to", "hashnode.dev", "substack.com", *FRIENDLY],
+    "documentation": [*FRIENDLY, "docs.python.org", "developer.mozilla.org", "www.w3.org"],
+    "tutorial": [*FRIENDLY, "www.w3schools.com", "www.tutorialspoint.com"],
+}
+AUTHORITIES = ["github.com", "producthunt.com", "stackoverflow.com", "wikipedia.org", "morningstar.com", "vanguard.com", "fidelity.com"]
+IRRELEVANT = ["donation", "donate", "fundraising", "support us", "please give", "loading...", "test api", "fake data", "jsonplaceholder", "developer community", "software development", "programming"]
+IRRELEVANT_URLS = ["donate", "fundraising", "jsonplaceholder"]
+RELEVANT_FUNDS = ["mutual fund", "investment", "finance", "portfolio", "expense ratio", "vanguard", "fidelity", "schwab", "morningstar", "investopedia", "fund", "etf", "index", "diversification", "risk", "return"]
+# End of the fixed values.
+
+
+def clamp(c: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+def or_half(c: Column) -> Column:
+    """The score; 0.5 for null and for 0."""
+    return F.when(c.isNull() | (c == 0), 0.5).otherwise(c)
+
+
+def scrape_quality(quality: Column, relevance: Column, same_category: Column, method: Column, size: Column) -> Column:
+    """T15."""
+    by_method = F.when(method == "llm_generated", 0.05).when(method == "rule_based", 0.03).otherwise(0.0)
+    by_size = F.when(size > 5000, 0.05).when(size > 2000, 0.03).otherwise(0.0)
+    return clamp(or_half(quality) + F.lit(0.2) * relevance + F.when(same_category, 0.1).otherwise(0.0) + by_method + by_size)
+
+
+def combined(quality: Column, relevance: Column, content_type: Column, category: Column) -> Column:
+    """T17."""
+    kind = F.when(content_type == "article", 0.8).when(content_type == "documentation", 0.7).otherwise(0.5)
+    match = F.when(content_type == category, 0.9).otherwise(0.5)
+    return or_half(quality) * F.lit(0.3) + or_half(relevance) * F.lit(0.4) + kind * F.lit(0.2) + match * F.lit(0.1)
+
+
+def pipeline_quality(original: Column, cleaning: Column, accuracy: Column, reliability: Column, summary: Column, extraction: Column) -> Column:
+    """`extraction` is a map of confidences; parts that are null add nothing."""
+    n = F.size(F.map_values(extraction))
+    mean = F.when(n > 0, F.aggregate(F.map_values(extraction), F.lit(0.0), lambda a, x: a + x) / n)
+    part = lambda w, c: F.coalesce(F.lit(w) * c, F.lit(0.0))
+    return clamp(original + part(0.2, cleaning) + part(0.15, accuracy + reliability) + part(0.1, summary) + part(0.1, mean))
+
+
+def passes_final_filter(size: Column, quality: Column, relevance: Column) -> Column:
+    """A score that is null or 0 passes."""
+    low = lambda c, least: F.coalesce((c != 0) & (c < least), F.lit(False))
+    return (size >= 500) & ~low(quality, 0.3) & ~low(relevance, 0.2)
+
+
+def _any_of(text: Column, phrases: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for p in phrases:
+        hit = hit | text.contains(p)
+    return hit
+
+
+def irrelevant(url: Column, title: Column, description: Column, content: Column, category: Column) -> Column:
+    """By URL, title, first 500 characters and description, with words that excuse texts on funds."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    funds = category == "mutual_funds"
+    excused = lambda c: funds & _any_of(c, RELEVANT_FUNDS)
+    t, p, d = low(title), low(F.substr(content, F.lit(1), F.lit(500))), low(description)
+    by_title = _any_of(t, IRRELEVANT) & ~excused(t)
+    return _any_of(low(url), IRRELEVANT_URLS) | by_title | (funds & _any_of(p, IRRELEVANT) & ~excused(p)) | (funds & _any_of(d, IRRELEVANT) & ~excused(d))
+
+
+def domain_relevance(domain: Column, category: Column, trusted: Sequence[str] = (), custom: dict[str, list[str]] | None = None) -> Column:
+    """The category's own list may be added to."""
+    own = F.lit(False)
+    for name, domains in DOMAINS.items():
+        own = own | ((category == name) & domain.isin([*domains, *(custom or {}).get(name, [])]))
+    gain = lambda c, by: F.when(c, F.lit(by)).otherwise(0.0)
+    return clamp(F.lit(0.5) + gain(domain.isin(list(trusted)) if trusted else F.lit(False), 0.2) + gain(own, 0.2) + gain(domain.isin(AUTHORITIES), 0.1))
+
+
+def site_rank(relevance: Column, same_category: Column, confidence: Column) -> Column:
+    """W2."""
+    first = F.least(F.lit(1.0), relevance + F.when(same_category, 0.1).otherwise(0.0))
+    return F.least(F.lit(1.0), first + F.lit(0.05) * confidence)
+
+
+def matches(text: Column, terms: Column) -> Column:
+    """How many of the terms the text has in it, in lower case."""
+    return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
+
+
+def title_relevance(title: Column, terms: Column) -> Column:
+    """By the number of terms in the title; 0 for none to look at."""
+    n = matches(title, terms)
+    return F.when(F.coalesce(title, F.lit("")) == "", 0.0).when(n >= 3, 0.9).when(n == 2, 0.7).when(n == 1, 0.5).otherwise(0.3)
+
+
+def snippet_relevance(snippet: Column, terms: Column, n_words: Column) -> Column:
+    """By how often terms stand in the snippet, in all and to a word."""
+    text = F.lower(snippet)
+    n = F.aggregate(terms, F.lit(0), lambda a, t: a + F.regexp_count(text, F.concat(F.lit(r"\Q"), F.lower(t), F.lit(r"\E"))))
+    density = n / F.greatest(F.lit(1), n_words)
+    return F.when(F.coalesce(snippet, F.lit("")) == "", 0.0).when((density > 0.1) | (n >= 5), 0.8).when((density > 0.05) | (n >= 3), 0.6).when(n >= 1, 0.4).otherwise(0.2)
+
+
+def url_relevance(domain: Column, category: Column) -> Column:
+    """A known domain, one that holds or is held by a known one, or another; 0.5 for general queries."""
+    exact = near = F.lit(False)
+    for name in ("ai_tools", "mutual_funds"):
+        own = category == name
+        exact = exact | (own & domain.isin(DOMAINS[name]))
+        for d in DOMAINS[name]:
+            near = near | (own & (domain.contains(d) | ((domain != "") & F.contains(F.lit(d), domain))))
+    hint = ((category == "ai_tools") & domain.rlike("ai|tech|tool")) | ((category == "mutual_funds") & domain.rlike("fund|invest|finance"))
+    return F.when(category == "general", 0.5).when(exact, 0.9).when(near, 0.8).when(hint, 0.6).otherwise(0.3)
+
+
+def overall_relevance(url: Column, title: Column, snippet: Column) -> Column:
+    return F.lit(0.3) * url + F.lit(0.3) * title + F.lit(0.4) * snippet
+
+
+def extraction_quality(content: Column, title: Column, description: Column, author: Column, date: Column) -> Column:
+    """H12."""
+    n = F.length(content)
+    has = lambda c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", 0.1).otherwise(0.0)
+    size = F.when(n > 1000, 0.2).when(n > 500, 0.1).otherwise(0.0)
+    return clamp(F.lit(0.5) + size + has(title) + has(description) + has(author) + has(date) + F.when(content.contains("\n\n"), 0.1).otherwise(0.0))
