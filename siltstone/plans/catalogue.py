@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import stats_queries, text_queries
+from siltstone.plans import page_queries, stats_queries, text_queries
 
-_PARTS = (stats_queries, text_queries)
+_PARTS = (stats_queries, text_queries, page_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
