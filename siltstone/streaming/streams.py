@@ -69,8 +69,8 @@ def save_batches(content: DataFrame, path: str, checkpoint: str):
 def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """ST2: each request of a user with how many came in its window, itself included, and whether it is blocked.
 
-    State is the times of the last window, at most; it expires when a user is silent for two windows. Requests of a
-    micro-batch are taken in the order of time.
+    State is the times of the last window, at most; it expires when the watermark is two windows past a user's last
+    request. Requests of a micro-batch are taken in the order of time.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,10 +86,11 @@ def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             times.append(int(t))
             counts.append(len(times))
         state.update((times,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + 2 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "in_window": counts, "blocked": [c > limit for c in counts]})
 
-    return events.groupBy("user_id").applyInPandasWithState(judge, "user_id bigint, event_id bigint, in_window bigint, blocked boolean", "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = events.withWatermark("ts", "1 minute").groupBy("user_id")
+    return kept.applyInPandasWithState(judge, "user_id bigint, event_id bigint, in_window bigint, blocked boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cached_results(rows: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
