@@ -68,7 +68,7 @@ def site_lists(spark, sf_dir):
 
 def answers(spark, sf_dir):
     c = ad.content_t(spark, sf_dir)
-    points = F.slice(F.filter(F.transform(F.split("content", r"\."), F.trim), lambda s: F.length(s) > 3), 1, 4)
+    points = F.slice(F.filter(F.transform(F.split("content", r"\."), lambda x: F.trim(x)), lambda s: F.length(s) > 3), 1, 4)
     rows = c.select("query_id", F.col("_id").alias("key"), F.col("relevance_score").alias("relevance"), F.col("content_quality_score").alias("quality"), "url", points.alias("key_points"))
     out = mo.answers(rows)
     return out.select("query_id", "confidence", F.array_join("sources", ",").alias("sources"), F.size("findings").alias("findings"), F.size("recommendations").alias("recommendations"), "direct_answer")

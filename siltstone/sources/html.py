@@ -226,7 +226,7 @@ def cascade() -> dict[str, Column]:
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Content, method, metadata, type, date, quality, images and links of each page."""
     out = parsed(pages, url, html).withColumns(cascade())
-    keywords = F.filter(F.transform(F.split(F.coalesce(meta("keywords"), F.lit("")), ","), F.trim), lambda k: k != "")
+    keywords = F.filter(F.transform(F.split(F.coalesce(meta("keywords"), F.lit("")), ","), lambda x: F.trim(x)), lambda k: k != "")
     kind = F.when(F.col("has_article"), "article").when(F.col("has_product"), "product").when(F.col("has_docs"), "documentation").otherwise("general")
     date = F.coalesce(*[F.try_to_timestamp(c) for c in (meta(*DATE_METAS), F.col("time_date"), F.col("json_date"))])
     out = out.withColumns({
