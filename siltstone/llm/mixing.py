@@ -38,7 +38,7 @@ def time_of_share(share: Column, schedule: Schedule) -> Column:
         done -= area
         left = share * F.lit(whole) - F.lit(done)
         slope = (r1 - r0) / (t1 - t0)
-        root = F.lit(2.0) * left / (F.lit(r0) + F.sqrt(F.greatest(F.lit(0.0), F.lit(r0 * r0) + F.lit(2 * slope) * left)))
+        root = F.try_divide(F.lit(2.0) * left, F.lit(r0) + F.sqrt(F.greatest(F.lit(0.0), F.lit(r0 * r0) + F.lit(2 * slope) * left)))
         out = F.when(share * F.lit(whole) <= F.lit(done + area), F.lit(t0) + F.coalesce(root, F.lit(0.0))).otherwise(out)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out))
 
