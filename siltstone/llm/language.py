@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,38 +30,74 @@ LEAST_SCORE = 0.2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(200_000)
-def grams_of_word(word: str) -> tuple[str, ...]:
-    marked = f"_{word}_"
-    return tuple(g for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_")
-
-
-def grams_of(text: str) -> Counter:
-    """Counts of the n-grams of a text's words of letters, in lower case."""
-    out: Counter = Counter()
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
-        # a word of thousands of letters is cut, so that none of its n-grams with marks is kept in memory for long
-        for g in grams_of_word(word) if len(word) <= 64 else grams_of_word.__wrapped__(word):
-            out[g] += n
-    return out
-
-
-def profile(counts: Counter, size: int = PROFILE) -> list[str]:
-    """The most frequent n-grams; of equal ones the first by code points."""
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
-
-
-def nearest(text: str, profiles: dict[str, dict[str, int]], size: int = PROFILE) -> tuple[str, float]:
-    """(language, score): score is 1 less the part of the greatest distance; ties go to the first name."""
-    own = profile(grams_of(text), size)
-    if not own or not profiles:
-        return UNKNOWN, 0.0
-    far = {lang: sum(abs(ranks.get(g, i + size) - i) for i, g in enumerate(own)) for lang, ranks in profiles.items()}
-    best = min(far, key=lambda lang: (far[lang], lang))
-    return best, 1 - far[best] / (size * len(own))
-
-
-def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, rows: int = SAMPLE_ROWS) -> dict[str, dict[str, int]]:
+#: Words whose n-grams a worker keeps; some 200 bytes each.
+CACHE_WORDS = 300_000
+
+Profiles = dict[str, dict[str, int]]
+
+
+class Grams:
+    """Counts n-grams as numbers, and holds the languages' ranks of each number."""
+
+    def __init__(self, profiles: Profiles | None = None, size: int = PROFILE):
+        self.profiles, self.size = profiles or {}, size
+        self.languages = sorted(self.profiles)
+        self.ids: dict[str, int] = {}
+        self.names: list[str] = []
+        self.words: dict[str, np.ndarray] = {}
+        self.ranks = np.full((len(self.languages), 1024), -1, np.int64)
+
+    def id_of(self, gram: str) -> int:
+        if (i := self.ids.get(gram)) is None:
+            i = self.ids[gram] = len(self.names)
+            self.names.append(gram)
+            if i == self.ranks.shape[1]:
+                self.ranks = np.hstack([self.ranks, np.full_like(self.ranks, -1)])
+            self.ranks[:, i] = [self.profiles[lang].get(gram, -1) for lang in self.languages]
+        return i
+
+    def of_word(self, word: str) -> np.ndarray:
+        if (found := self.words.get(word)) is None:
+            marked = f"_{word}_"
+            grams = [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
+            found = self.words[word] = np.array([self.id_of(g) for g in grams if g != "_"], np.int32)
+        return found
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the n-grams of a text's words of letters, in lower case, and how often each comes."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        words = Counter(LETTERS.findall(text.lower()))
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        parts = [self.of_word(w) for w in words]
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
+        total = np.bincount(np.concatenate(parts), times)
+        ids = np.flatnonzero(total)
+        return ids, total[ids].astype(np.int64)
+
+    def profile(self, text: str) -> np.ndarray:
+        """The most frequent n-grams, as numbers; of equal ones the first by code points."""
+        ids, n = self.counts(text)
+        if len(ids) > self.size:
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            ids, n = ids[n >= least], n[n >= least]
+        pairs = sorted(zip(map(self.names.__getitem__, ids.tolist()), n.tolist(), strict=True))
+        pairs.sort(key=itemgetter(1), reverse=True)
+        return np.array([self.ids[g] for g, _ in pairs[: self.size]], np.int64)
+
+    def nearest(self, text: str) -> tuple[str, float]:
+        """(language, score): score is 1 less the part of the greatest distance; ties go to the first name."""
+        own = self.profile(text)
+        if not len(own) or not self.languages:
+            return UNKNOWN, 0.0
+        ranks = self.ranks[:, own]
+        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
+        best = int(far.argmin())
+        return self.languages[best], float(1 - far[best] / (self.size * len(own)))
+
+
+def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, rows: int = SAMPLE_ROWS) -> Profiles:
     """Ranks of each language's profile, from `rows` of `docs` at most.
 
     Rows without a language, id or text have no part. What comes to the driver is `size` n-grams for each language.
@@ -70,23 +107,25 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sample = usable.join(F.broadcast(ids), usable[id_col] == ids["__id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = Grams()
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
                 total: Counter = Counter()
                 for t in texts:
-                    total.update(grams_of(t))
-                yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
+                    ids, n = grams.counts(t)
+                    total.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
+                yield pd.DataFrame({"lang": lang, "gram": [grams.names[i] for i in total], "n": list(total.values())})
 
     counts = sample.mapInPandas(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     kept = counts.withColumn("rank", rank).where(F.col("rank") < size).collect()
-    out: dict[str, dict[str, int]] = {}
+    out: Profiles = {}
     for r in kept:
         out.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
     return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str = "text", size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """`docs` with lang_pred and score (0 to 1). Null texts and texts without a letter: `und`, 0.
 
     Every row is judged alone, by the whole of its text; no rows: none; columns with the names of added ones are
@@ -94,15 +133,17 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str
     """
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([nearest(t, profiles, size) for t in texts], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        grams = Grams(profiles, size)
+        for texts in batches:
+            yield pd.DataFrame([grams.nearest(t) for t in texts], columns=["lang_pred", "score"])
 
     small_batches(docs.sparkSession)
     found = docs.withColumn("__found", predict(text_or_empty(text_col)))
     return found.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
 
 
-def accepted(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+def accepted(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` in a known language: nearest to one, with a score of `least` at least.
 
     Texts that are null or have no letter are rejected. Without profiles nothing else is.
