@@ -79,6 +79,12 @@ def parse_objects(rows: DataFrame, raw: str, schema: str, most: int = 10_000) ->
     return out.withColumn("error", error).drop("__j")
 
 
+def error_class(message: Column) -> Column:
+    """Authentication, quota, connection or other, in lower case throughout."""
+    low = F.lower(message)
+    return F.when(low.rlike("api key|unauthori[sz]ed|authentication|permission"), "auth").when(low.rlike("quota|rate limit|429"), "quota").when(low.rlike("connect|timeout|network"), "connection").otherwise("other")
+
+
 def error_counts(parsed: DataFrame) -> DataFrame:
     """M14."""
     return parsed.where(F.col("error").isNotNull()).groupBy(F.col("error.error_type").alias("error_type")).agg(F.count(F.lit(1)).alias("count"))

@@ -71,6 +71,11 @@ def metadata_fingerprint(items: Column) -> Column:
     return F.md5(F.to_json(F.array_sort(F.map_entries(items))))
 
 
+def cache_key(**parts: Column) -> Column:
+    """md5 of the named parts in the order of their names."""
+    return F.md5(F.concat_ws(":", *[F.concat(F.lit(f"{k}="), F.coalesce(c.cast("string"), F.lit(""))) for k, c in sorted(parts.items())]))
+
+
 def remove_ads(text: Column) -> Column:
     """T19."""
     return reduce(lambda c, p: F.regexp_replace(c, f"(?i){p}", ""), ADS, text)
