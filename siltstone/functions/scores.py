@@ -136,3 +136,27 @@ def extraction_quality(content: Column, title: Column, description: Column, auth
     has = lambda c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", 0.1).otherwise(0.0)
     size = F.when(n > 1000, 0.2).when(n > 500, 0.1).otherwise(0.0)
     return clamp(F.lit(0.5) + size + has(title) + has(description) + has(author) + has(date) + F.when(content.contains("\n\n"), 0.1).otherwise(0.0))
+
+
+def insight_quality(themes: Column, query: Column, confidence: Column, relevance: Column, recommendations: Column) -> Column:
+    """Mean of four bands: themes with a word of the query, confidence, relevance, number of recommendations."""
+    terms = F.array_remove(F.split(F.lower(query), r"\s+"), "")
+    matched = F.exists(themes, lambda t: F.exists(terms, lambda w: F.contains(F.lower(t), w)))
+    band = lambda c: F.when(F.coalesce(c, F.lit(0.0)) >= 0.7, 0.9).when(F.coalesce(c, F.lit(0.0)) >= 0.5, 0.6).otherwise(0.3)
+    n, m = F.coalesce(F.size(themes), F.lit(0)), F.coalesce(F.size(recommendations), F.lit(0))
+    by_theme = F.when(n <= 0, 0.0).when(matched, 0.8).otherwise(0.4)
+    by_advice = F.when(m <= 0, 0.0).when(m >= 2, 0.8).otherwise(0.5)
+    return (by_theme + band(confidence) + band(relevance) + by_advice) / F.lit(4.0)
+
+
+#: Kinds of entity that fit a category.
+ENTITY_KINDS = {"ai_tools": ["product", "company", "tool", "model", "technology"], "mutual_funds": ["fund", "company", "scheme", "investment", "financial"]}
+
+
+def structured_quality(kinds: Column, pairs: Column, category: Column) -> Column:
+    """Four parts for the number of entities, three for key-value pairs, three for entities that fit the category."""
+    n, k = F.size(kinds), F.size(pairs)
+    fits = F.lit(False)
+    for name, own in ENTITY_KINDS.items():
+        fits = fits | ((category == name) & F.exists(kinds, lambda x: F.lower(x).isin(own)))  # noqa: B023
+    return F.when(n >= 3, 0.4).when(n >= 1, 0.2).otherwise(0.0) + F.when(k >= 3, 0.3).when(k >= 1, 0.15).otherwise(0.0) + F.when(fits, 0.3).when(n > 0, 0.1).otherwise(0.0)

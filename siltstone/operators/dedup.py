@@ -30,6 +30,21 @@ def groups(prints: DataFrame, *keys: str) -> DataFrame:
     return prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
 
 
+def pattern_only(prints: DataFrame) -> DataFrame:
+    """Rows with a copy or an equal URL: the ids they duplicate, each once; score 1, each its own best."""
+    exact = written(groups(prints, "text_fp", "title_fp").select("text_fp", "title_fp", F.col("first_id").alias("exact_id")), "exact")
+    same = written(groups(prints, "url_fp").select("url_fp", F.col("first_id").alias("url_id")), "urls")
+    out = prints.join(exact, ["text_fp", "title_fp"], "left").join(same, "url_fp", "left")
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.array("exact_id", "url_id"))))
+    return out.select("id", ids.alias("duplicates"), F.col("id").alias("best_id"), F.when(F.size(ids) > 0, 1.0).otherwise(0.0).alias("confidence")).where(F.size("duplicates") > 0)
+
+
+def attach(content: DataFrame, analysis: DataFrame, id_col: str = "_id") -> DataFrame:
+    """Content with its duplicate analysis, null where there is none."""
+    named = analysis.select(F.col("id").alias("__a"), *[F.col(c) for c in analysis.columns if c != "id" and c not in content.columns])
+    return content.join(named, content[id_col] == named["__a"], "left").drop("__a")
+
+
 def hash_only(content: DataFrame, id_col: str = "_id") -> DataFrame:
     """By md5 of the raw text; the least id is kept."""
     rows = content.select(F.col(id_col).alias("id"), F.md5(F.coalesce("content", F.lit(""))).alias("hash"))

@@ -178,6 +178,11 @@ def leaks(samples: DataFrame, by: str, ts: str, id_col: str, value: str, factor:
     return samples.withColumn("before", before).withColumn("leak", F.coalesce(F.col(value) > F.lit(factor) * F.col("before"), F.lit(False)))
 
 
+def fetch_stats(requests: DataFrame, by: str, delay: float = 1.0) -> DataFrame:
+    """Fetches by domain: how many, the last time, and the delay that holds."""
+    return requests.groupBy(by).agg(F.count(F.lit(1)).alias("fetches"), F.max("ts").alias("last_fetch"), F.lit(float(delay)).alias("delay"))
+
+
 def last_rows(df: DataFrame, order: list[Column], n: int = 1000) -> DataFrame:
     """The last n rows of a history."""
     return df.orderBy(*order).limit(n)

@@ -38,13 +38,27 @@ def final_ranking(df: DataFrame, key: str, quality: str, relevance: str, least:
     return df.where(F.col(quality) >= least).withColumn("rank_score", score).orderBy(F.desc("rank_score"), F.desc(quality), key)
 
 
+def by_combined(content: DataFrame, category: str, key: str = "_id") -> DataFrame:
+    """Rows by their combined score."""
+    score = scores.combined(F.col("content_quality_score"), F.col("relevance_score"), F.col("content_type"), F.lit(category))
+    return content.withColumn("combined_score", score).orderBy(F.desc("combined_score"), key)
+
+
+def all_results(*methods: DataFrame) -> DataFrame:
+    """O3: results of several ways of discovery in one table; columns that some lack are null."""
+    out = methods[0]
+    for df in methods[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def post_scrape(content: DataFrame, category: str, key: str = "_id") -> DataFrame:
     """Irrelevant rows go, one row per domain stays, ranked by its combined score, and the final filter."""
     title = F.col("title") if "title" in content.columns else F.lit(None).cast("string")
     description = F.col("description") if "description" in content.columns else F.lit(None).cast("string")
     out = content.where(~scores.irrelevant(F.col("url"), title, description, F.col("content"), F.lit(category)))
     out = best_per_domain(out, "url", "content_quality_score", key)
-    out = out.withColumn("combined_score", scores.combined(F.col("content_quality_score"), F.col("relevance_score"), F.col("content_type"), F.lit(category)))
+    out = by_combined(out, category, key)
     out = out.where(scores.passes_final_filter(F.col("content_size_bytes"), F.col("content_quality_score"), F.col("relevance_score")))
     return out.orderBy(F.desc("combined_score"), key)
 

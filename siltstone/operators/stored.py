@@ -18,6 +18,24 @@ def newest(df: DataFrame, by: str, key: str, limit: int, offset: int = 0) -> Dat
     return df.orderBy(F.desc(by), key).offset(offset).limit(limit)
 
 
+def lookup(df: DataFrame, **equal: object) -> DataFrame:
+    """Rows whose columns have the given values; `a__b` is the field b of a; None asks for nothing."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.where(F.col(name.replace("__", ".")) == F.lit(value))
+    return df
+
+
+def with_errors(processed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Some columns of the rows that have errors; null counts as none."""
+    return processed.where(F.size(F.coalesce("processing_errors", F.array().cast("array<string>"))) > 0).select(*columns)
+
+
+def quality_gate(content: DataFrame, least: float = 0.4, column: str = "content_quality_score") -> DataFrame:
+    """P20: rows of `least` quality; nulls do not pass."""
+    return content.where(F.col(column) >= least)
+
+
 def by_domain(content: DataFrame, part: str) -> DataFrame:
     """P5: URLs with `part` in them, in any case."""
     return content.where(F.contains(F.lower("url"), F.lower(F.lit(part))))

@@ -8,7 +8,7 @@ from siltstone.functions import requests as rq
 from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
-from siltstone.operators import dedup, ranking, stored
+from siltstone.operators import dedup, logs, ranking, stored
 from siltstone.sources import adapters as ad
 from siltstone.sources.tables import table
 
@@ -89,6 +89,10 @@ QUERIES = {
     "exact_duplicates": lambda s, d: dedup.groups(docs(s, d).select(F.col("doc_id").alias("id"), tx.text_fingerprint(F.col("text")).alias("fp")), "fp"),
     "url_duplicates": lambda s, d: dedup.groups(pages(s, d).select(F.col("page_id").alias("id"), urls.fingerprint(F.regexp_replace("url", r"/\d+", "/")).alias("fp")), "fp"),
     "hash_only": lambda s, d: dedup.hash_only(ad.content_t(s, d).select("_id", "content")),
+    "pattern_duplicates": lambda s, d: dedup.pattern_only(dedup.fingerprints(ad.content_t(s, d))).select("id", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"), "best_id", "confidence"),
+    "session_queries": lambda s, d: stored.newest(stored.lookup(ad.queries_t(s, d), user_id=7, status="processing"), "created_at", "_id", 50).select("_id", "session_id", "created_at"),
+    "quality_gate": lambda s, d: stored.quality_gate(ad.content_t(s, d)).select("_id", "content_quality_score"),
+    "fetch_stats": lambda s, d: logs.fetch_stats(ad.requests_t(s, d), "path", 2.0),
     "near_duplicates": lambda s, d: near(s, d),
     "duplicate_components": lambda s, d: dedup.duplicate_analysis(ad.content_t(s, d)),
     "best_version": lambda s, d: dedup.best_versions(ad.content_t(s, d)).select("_id", "content_quality_score"),
@@ -250,6 +254,11 @@ SQL = {
     "exact_duplicates": f"with p as (select doc_id, {_PRINT} as fp from documents) select fp, count(*) as copies, min(doc_id) as first_id from p group by fp having count(*) > 1",
     "hash_only": f"""{_with(ad.CONTENT_SQL)} select _id as id, min(_id) over (partition by content) as kept_id, count(*) over (partition by content) as copies, _id <> min(_id) over (partition by content) as duplicate,
         case when count(*) over (partition by content) > 1 then 0.95::double else 1.0::double end as confidence from content_t""",
+    "pattern_duplicates": f"""with p as (select doc_id, case when coalesce(text, '') = '' then '' else {_PRINT} end as fp from documents), g as (select *, count(*) over (partition by fp) as n, min(doc_id) over (partition by fp) as first from p)
+        select doc_id as id, cast(first as varchar) as duplicates, doc_id as best_id, 1.0::double as confidence from g where n > 1""",
+    "session_queries": f"{_with(ad.QUERIES_SQL)} select _id, session_id, created_at from queries_t where user_id = 7 and status = 'processing' order by created_at desc, _id limit 50",
+    "quality_gate": f"{_with(ad.CONTENT_SQL)} select _id, content_quality_score from content_t where content_quality_score >= 0.4::double",
+    "fetch_stats": f"{_with(ad.REQUESTS_SQL)} select path, count(*) as fetches, max(ts) as last_fetch, 2.0::double as delay from requests_t group by path",
     "content_mapping": f"""{_with(ad.PROCESSED_SQL)} select query_id, 'https://nowhere/' || cast(original_content_id as varchar) as original_url, case when original_content_id % 3 > 0 then original_content_id end as content_id,
         original_content_id % 3 = 0 as unresolved from processed_t""",
     "query_results": f"""with {ad.SESSIONS_SQL}, {ad.PROCESSED_SQL}, c as (select query_id, count(*) as content_count, string_agg(cast(_id as varchar), ',' order by timestamp desc, _id) as content_ids from (

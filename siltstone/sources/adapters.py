@@ -47,7 +47,7 @@ def sessions_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_counters(queries: DataFrame) -> DataFrame:
-    """Sessions from the log of their queries: who, when, how many, how long, how good."""
+    """Sessions from the log of their queries: who, when, how many, how long, how good."""
     return queries.groupBy("session_id").agg(
         F.min("user_id").alias("user_id"), F.min("created_at").alias("start_time"), F.max("created_at").alias("end_time"), F.count(F.lit(1)).alias("query_count"),
         F.count_if(F.col("status") == "completed").alias("successful_queries"), F.count_if(F.col("status") == "failed").alias("failed_queries"),

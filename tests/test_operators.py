@@ -124,3 +124,18 @@ def test_content_stream_saves_each_text_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["_id"]: r["duplicate_of"] for r in spark.read.parquet(out).collect()} == {1: None, 2: 1}
+
+
+def test_small_scores_and_joins(spark):
+    from siltstone.functions import scores as sc
+
+    row = spark.range(1).select(
+        sc.insight_quality(F.array(F.lit("AI tools")), F.lit("best tools"), F.lit(0.8), F.lit(0.55), F.array(F.lit("x"))).alias("i"),
+        sc.structured_quality(F.array(F.lit("Fund"), F.lit("x"), F.lit("y")), F.create_map(F.lit("a"), F.lit(1)), F.lit("mutual_funds")).alias("s"),
+    ).first()
+    assert row["i"] == pytest.approx((0.8 + 0.9 + 0.6 + 0.5) / 4) and row["s"] == pytest.approx(0.85)
+    c = content(spark, [(1, "http://a.com", "x", 0.5), (2, "http://b.com", "y", 0.5)])
+    joined = dedup.attach(c, spark.createDataFrame([(1, 2)], "id long, group_size long"))
+    assert sorted((r["_id"], r["group_size"]) for r in joined.collect()) == [(1, 2), (2, None)]
+    assert ranking.all_results(c.select("_id"), c.select("_id", "url")).count() == 4
+    assert stored.lookup(c, url="http://a.com", title=None).count() == 1
