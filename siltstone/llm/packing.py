@@ -7,9 +7,11 @@ not on the number of documents. Pieces then take planned slots by their rank wit
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,17 +27,20 @@ from siltstone.sources.tables import written
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps; some 150 bytes each.
-CACHE_WORDS = 300_000
-#: A single space between two characters that are not white space begins a pre-token, so that text may be cut there.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Words whose ids a worker keeps, in each of two generations; some 150 bytes each.
+CACHE_WORDS = 250_000
+#: New words that are encoded in one line.
+LINE = 500
+#: A single space or newline between two characters that are not white space ends a pre-token, so that text may be cut there.
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizer, as little-endian 32-bit bytes, from the ids of parts cut at single spaces.
+    """Ids of whole texts by the tokenizer, as little-endian 32-bit bytes, from the ids of words.
 
-    The byte-level pre-tokenizer never puts the characters on both sides of such a space into one pre-token, so parts
-    encode as they do in the whole text. Parts are looked up and, if new, encoded in one batch.
+    The byte-level pre-tokenizer never puts the characters on both sides of such a space or newline into one pre-token,
+    and a newline there is one of its own, so words encode as they do in the whole text. Words are looked up and, if
+    new, encoded in one batch. Texts with other white space are cut at the same places one by one.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
@@ -43,23 +48,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), words
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        out = text.split(" ")
-        if all(out) and not any(p[0].isspace() or p[-1].isspace() for p in out):
-            return [out[0], *[" " + p for p in out[1:]]]
-        out = CUT.split(text)
-        return [out[0], *[" " + p for p in out[1:]]]
+        #: words at a line's start and after a space: ids of this generation and of the one before
+        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+        self.newline, self.comma, self.stop = self.ids(["\n", ",", "."])
+        # in a byte-level vocabulary each character of a token stands for a byte
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.sizes[i] = len(token.content.encode())
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space: of LINE words in one line, told apart by the lengths of their tokens."""
+        out = []
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in line])
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in itertools.pairwise(cuts)]
+        return out
+
+    def learn(self, words: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of all the words that follow `lead`; None for those that have white space at an end."""
+        now, before = self.caches[lead]
+        if len(now) > self.most:
+            now, before = self.caches[lead] = ({}, now)
+        new = words - now.keys()
+        for w in new & before.keys():
+            now[w] = before[w]
+        new -= before.keys()
+        if "" in new or len("".join(new).split()) > 1:
+            odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
+            now.update(dict.fromkeys(odd))
+            new.difference_update(odd)
+        # a full stop or comma after a letter is a pre-token of its own
+        stems = {w: w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w for w in new}
+        todo = [w for w in {*stems.values()} if w not in now]
+        now.update(zip(todo, self.spaced_ids(todo) if lead else self.ids(todo), strict=True))
+        for w, stem in stems.items():
+            if w != stem:
+                now[w] = now[stem] + (self.stop if w[-1] == "." else self.comma)
+        return now
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys())
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
+        heads = self.learn({x[0] for t in lines for x in t}, "")
+        tails = self.learn(set().union(*[x[1:] for t in lines for x in t]), " ")
+        out, odd = [], []
+        for i, t in enumerate(lines):
+            try:
+                out.append(self.newline.join([b"".join([heads[x[0]], *map(tails.__getitem__, x[1:])]) for x in t]))
+            except TypeError:  # a word with white space at an end
+                out.append(b"")
+                odd.append(i)
+        if odd:
+            cut = [CUT.split(texts[i]) for i in odd]
+            known = list({*itertools.chain(*cut)})
+            ids = dict(zip(known, self.ids(known), strict=True))
+            for i, parts in zip(odd, cut, strict=True):
+                out[i] = b"".join(map(ids.__getitem__, parts))
+        return out
 
 
 @lru_cache(1)
