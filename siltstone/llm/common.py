@@ -11,7 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch; texts may be long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def text_or_empty(text: str | Column) -> Column:

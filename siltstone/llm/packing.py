@@ -28,7 +28,7 @@ from siltstone.sources.tables import written
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps, in each of two generations; some 150 bytes each.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: New words that are encoded in one line.
 LINE = 500
 #: A single space or newline between two characters that are not white space ends a pre-token, so that text may be cut there.
