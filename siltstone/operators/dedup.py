@@ -12,6 +12,8 @@ from siltstone.sources.tables import written
 
 #: Near duplicates are compared on so many words in a row, and linked from this Jaccard similarity on.
 SHINGLE, SIMILAR = 5, 0.8
+#: One row in so many is looked at for frequent shingles; so many of these, at most, come last in the order of shingles.
+LOOK, FREQUENT = 16, 4000
 
 
 def fingerprints(content: DataFrame, id_col: str = "_id") -> DataFrame:
@@ -53,13 +55,18 @@ def hash_only(content: DataFrame, id_col: str = "_id") -> DataFrame:
     return out.select("id", "kept_id", "copies", (F.col("id") != F.col("kept_id")).alias("duplicate"), F.when(F.col("copies") > 1, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"))
 
 
+def representatives(prints: DataFrame) -> DataFrame:
+    """One row for each text: the one of the least id."""
+    return prints.groupBy("text_fp").agg(F.min_by(F.struct("id", "structure_fp", "length", "words"), "id").alias("r")).select("text_fp", "r.*")
+
+
 def near_candidates(prints: DataFrame) -> DataFrame:
     """Pairs of the same structure whose lengths are within 20 and words within 25 percent of the larger.
 
     One row for each text: rows of equal text are copies, and an exact link stands for them. So a group of copies makes
     no pairs, and a structure as many as it has different texts of like length.
     """
-    texts = prints.groupBy("text_fp").agg(F.min("id").alias("id"), F.min("structure_fp").alias("structure_fp"), F.min("length").alias("length"), F.min("words").alias("words"))
+    texts = representatives(prints)
     a = texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns])
     b = texts.select(*[F.col(c).alias(f"{c}_b") for c in texts.columns])
     close = lambda c, share: F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= F.lit(share) * F.greatest(f"{c}_a", f"{c}_b")
@@ -76,14 +83,45 @@ def shingle_hashes(content: DataFrame, id_col: str = "_id", size: int = SHINGLE)
     return rows.select("id", F.array_distinct(hashes).alias("shingles"))
 
 
+def similar_candidates(sets: DataFrame, similar: float) -> DataFrame:
+    """(id_a, id_b): all pairs of (id, shingles) that can have a Jaccard similarity of `similar`, and some others.
+
+    Sets that similar share one of their first n - ceil(similar * n) + 1 shingles in any one order of all shingles, and
+    enough are left in both from the first shared one on. Here frequent shingles come last: which these are is seen in
+    some of the rows, and decides how many candidates are looked at, not which pairs are found. Shingles that the same
+    rows have stand for each other.
+    """
+    a, b = sets.select(F.col("id").alias("id_a")), sets.select(F.col("id").alias("id_b"))
+    if similar <= 0:
+        return a.join(b, F.col("id_a") < F.col("id_b"))
+    seen = sets.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    often = written(seen.where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).agg(F.collect_list("s").alias("often")), "often")
+    n = F.size("shingles")
+    order = F.concat(F.array_sort(F.array_except("shingles", "often")), F.array_sort(F.array_intersect("shingles", "often")))
+    first = F.slice(order, F.lit(1), (n - F.ceil(n * F.lit(float(similar)) - F.lit(1e-9)) + 1).cast("int"))
+    entries = written(sets.crossJoin(F.broadcast(often)).select("id", n.alias("n"), F.posexplode(first).alias("p", "s")), "entries")
+    shared = written(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("of")).where("rows > 1"), "shared")
+    kinds = written(entries.join(shared, "s").groupBy("id", "n", "rows", "of").agg(F.min("p").alias("p")), "kinds")
+    a, b = (kinds.select("rows", "of", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "p")]) for k in "ab")
+    enough = F.lit(similar / (1.0 + similar)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)
+    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    return a.join(b, ["rows", "of"]).where((F.col("id_a") < F.col("id_b")) & (left >= enough)).select("id_a", "id_b").distinct()
+
+
 def near_pairs(content: DataFrame, prints: DataFrame, similar: float = SIMILAR, id_col: str = "_id") -> DataFrame:
-    """Candidates whose shingles have a Jaccard similarity of `similar` at least."""
-    sets = shingle_hashes(content, id_col)
-    pairs = near_candidates(prints)
-    a, b = sets.select(F.col("id").alias("id_a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("id_b"), F.col("shingles").alias("sb"))
+    """All pairs of different texts whose shingles have a Jaccard similarity of `similar` at least.
+
+    The least id of a text stands for its copies, as in J6; the structure of texts is not looked at.
+    """
+    texts = written(representatives(prints).select("id", "length"), "texts")
+    rows = content.join(texts.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    sets = written(shingle_hashes(rows, id_col).join(texts, "id"), "sets")
+    pairs = written(similar_candidates(sets.select("id", "shingles"), similar), "pairs")
+    a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}"), F.col("length").alias(f"length_{k}")) for k in "ab")
     both = pairs.join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     out = both.withColumn("jaccard", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).where(F.col("jaccard") >= similar)
-    return out.select("id_a", "id_b", "jaccard", (F.lit(1.0) - F.col("difference") / F.greatest(F.lit(1), "longer")).alias("length_score"))
+    longer, difference = F.greatest("length_a", "length_b"), F.abs(F.col("length_a") - F.col("length_b"))
+    return out.select("id_a", "id_b", "jaccard", (F.lit(1.0) - difference / F.greatest(F.lit(1), longer)).alias("length_score"))
 
 
 def duplicate_edges(content: DataFrame, near: bool = True, similar: float = SIMILAR, id_col: str = "_id") -> DataFrame:
