@@ -20,9 +20,15 @@ from siltstone.operators.stored import save_content
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: int = 1, names: str = "events*.parquet") -> DataFrame:
-    """Events out of the parquet files of a folder with such names, as they arrive; ts is event time."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", names).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, files: int | None = 1, names: str = "events*.parquet") -> DataFrame:
+    """Events out of the parquet files of a folder with such names, as they arrive; ts is event time.
+
+    With `files` of None all that is there makes one micro-batch.
+    """
+    at_once = {"maxFilesPerTrigger": files} if files else {}
+    source = lambda path, only: spark.readStream.schema(EVENTS).options(pathGlobFilter=only, **at_once).parquet(path)
+    rows = source(folder, names)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
