@@ -21,13 +21,18 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def event_stream(spark: SparkSession, folder: str, files: int | None = 1, names: str = "events*.parquet") -> DataFrame:
-    """Events out of the parquet files of a folder with such names, as they arrive; ts is event time.
+    """Events out of the parquet tables of a folder with such names, as they arrive; ts is event time.
 
-    With `files` of None all that is there makes one micro-batch.
+    A table is a file, or a folder of part files: files are watched in `folder` itself, part files in each folder that
+    is there when the stream starts. With `files` of None all that is there makes one micro-batch.
     """
     at_once = {"maxFilesPerTrigger": files} if files else {}
     source = lambda path, only: spark.readStream.schema(EVENTS).options(pathGlobFilter=only, **at_once).parquet(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{names}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     rows = source(folder, names)
+    for f in sorted(f.getPath().toString() for f in found if f.isDirectory()):
+        rows = rows.unionByName(source(f, "*"))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

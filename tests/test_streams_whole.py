@@ -10,6 +10,14 @@ from siltstone.plans import catalogue, page_queries
 QUERIES = catalogue.queries()
 
 
+@pytest.mark.parametrize("name", ["stream_hourly", "stream_endpoints", "stream_rate_limit"])
+def test_part_files_give_what_one_file_gives(name, spark, sf_dir, tmp_path):
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(4, "ts").sortWithinPartitions("ts")
+    parts.write.parquet(f"{tmp_path}/events.parquet")
+    got, want = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (str(tmp_path), sf_dir))
+    assert got == want and got
+
+
 def test_rate_limit_stream_keeps_no_rows_in_the_driver(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(page_queries, "ran", lambda *a: pytest.fail("memory sink"))
     got = QUERIES["stream_rate_limit"](spark, sf_dir).agg(F.sum("requests")).first()[0]
