@@ -36,6 +36,8 @@ COLUMNS = {
     "leak_lag": "before",
     "baseline_compare": "baseline current change_percent",
     "stage_compare": "baseline current difference change_percent",
+    "baseline_compare_all": "baseline current change_percent",
+    "stage_compare_all": "baseline current difference change_percent",
     "version_metrics": "success_rate mean_time mean_confidence",
     "best_versions": "score",
     "quality_range": "content_quality_score",

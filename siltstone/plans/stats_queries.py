@@ -49,14 +49,23 @@ QUERIES = {
     "leak_lag": lambda s, d: logs.leaks(ad.requests_t(s, d), "client", "ts", "event_id", "duration_ms").select("event_id", "before", "leak"),
     "baseline_compare": lambda s, d: logs.compare_averages(*halves(s, d), "scenario", "duration_ms"),
     "stage_compare": lambda s, d: logs.compare_stages(*halves(s, d), "client", "duration_ms"),
+    "baseline_compare_all": lambda s, d: logs.compare_averages(*all_halves(s, d), "scenario", "duration_ms"),
+    "stage_compare_all": lambda s, d: logs.compare_stages(*all_halves(s, d), "client", "duration_ms"),
     "advice": lambda s, d: logs.advice(ad.requests_t(s, d)),
     "version_metrics": lambda s, d: logs.version_metrics(runs(s, d)),
     "best_versions": lambda s, d: logs.best_versions(logs.version_metrics(runs(s, d)), AS_OF),
 }
 
 
+def all_halves(spark, sf_dir):
+    """The request log before and from mid-January on: all rows."""
+    r = ad.requests_t(spark, sf_dir)
+    middle = F.lit("2024-01-15").cast("timestamp")
+    return r.where(F.col("ts") < middle), r.where(F.col("ts") >= middle)
+
+
 def halves(spark, sf_dir):
-    """The request log before and from mid-January on."""
+    """The request log before mid-January, and two thirds of it from then on, as the SQL has it."""
     r = ad.requests_t(spark, sf_dir)
     middle = F.lit("2024-01-15").cast("timestamp")
     return r.where(F.col("ts") < middle), r.where((F.col("ts") >= middle) & (F.col("event_id") % 3 > 0))
@@ -193,3 +202,5 @@ SQL = {
         greatest(0.0::double, 0.1::double * (1.0::double - greatest(0.0::double, (epoch(timestamp '{AS_OF}') - floor(epoch(last_used))) / 86400.0::double) / 30.0::double))) as score from metrics where uses >= 5)
         select prompt_type, arg_max(version_id, (score, version_id)) as version_id, max(score) as score from scored group by prompt_type""",
 }
+
+SQL |= {f"{name}_all": SQL[name].replace(_HALVES, _HALVES.replace(" and event_id % 3 > 0", "")) for name in ("baseline_compare", "stage_compare")}
