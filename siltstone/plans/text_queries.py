@@ -98,6 +98,7 @@ QUERIES = {
     "best_version": lambda s, d: dedup.best_versions(ad.content_t(s, d)).select("_id", "content_quality_score"),
     "content_mapping": lambda s, d: mapping(s, d),
     "query_results": lambda s, d: stored.query_results(ad.queries_t(s, d).where("_id < 200").select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
+    "query_results_all": lambda s, d: stored.query_results(ad.queries_t(s, d).select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
     "save_content": lambda s, d: saved(s, d),
     "cross_search": lambda s, d: stored.cross_search({"query": stored.search(ad.queries_t(s, d), ["view"], ["query_text"]).select("_id"), "content": stored.search(ad.content_t(s, d), ["license"], ["content"]).select("_id")}),
     "similar_content": lambda s, d: similar(s, d),
@@ -282,3 +283,5 @@ SQL = {
     "cache_latest": f"""{_with(ad.QUERIES_SQL)}, l as (select query_text, arg_max(_id, created_at) as _id, max(created_at) as created_at from queries_t group by query_text)
         select query_text, _id from l where created_at + interval 7 day > timestamp '2024-01-30'""",
 }
+
+SQL["query_results_all"] = SQL["query_results"].removesuffix(" where q._id < 200")

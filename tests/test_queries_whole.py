@@ -17,3 +17,11 @@ def test_comparison_takes_all_rows(spark, sf_dir):
     current = ad.requests_t(spark, sf_dir).where("ts >= '2024-01-15'").groupBy("scenario").agg(F.avg("duration_ms").alias("m"))
     means = {r["scenario"]: round(r["m"], 3) for r in current.collect()}
     assert {r["scenario"]: round(r["current"], 3) for r in QUERIES["baseline_compare_all"](spark, sf_dir).collect()} == means
+
+
+def test_every_query_has_its_results(spark, sf_dir):
+    got = QUERIES["query_results_all"](spark, sf_dir)
+    queries = ad.queries_t(spark, sf_dir)
+    assert got.count() == queries.count() > 200
+    assert got.where("_id >= 200 and session_queries is null").count() == 0 == got.join(queries, "_id", "left_anti").count()
+    assert got.agg(F.sum("content_count")).first()[0] == ad.content_t(spark, sf_dir).join(queries, F.col("query_id") == queries["_id"]).count()
