@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import written
+
 
 def avg0(c: str) -> Column:
     """The average; 0.0 where there is no row at all."""
@@ -49,16 +51,20 @@ def content_stats(content: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_groups(content: DataFrame, limit: int = 20, examples: int = 50) -> DataFrame:
-    """A4: rows with duplicate_of, by original: how many, and the first `examples` ids of them.
-
-    Least ids are kept by bounded partial aggregates, so that a hot original is not gathered in one row.
-    """
+def duplicate_groups(content: DataFrame, limit: int = 20) -> DataFrame:
+    """A4: rows with duplicate_of, by original: how many, the least and greatest id, the first time. Members: duplicate_members."""
     dup = content.where(F.col("duplicate_of").isNotNull())
     top = dup.groupBy("duplicate_of").agg(F.count(F.lit(1)).alias("duplicate_count"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), F.min("timestamp").alias("first_seen"))
     return top.orderBy(F.desc("duplicate_count"), "duplicate_of").limit(limit)
 
 
+def duplicate_members(content: DataFrame, limit: int = 20) -> DataFrame:
+    """A4: the groups of duplicate_groups with all of their members, one row each, so that no group is gathered."""
+    top = written(duplicate_groups(content, limit), "top")
+    members = content.select("duplicate_of", F.col("_id").alias("member"), "url", "title", "timestamp")
+    return members.join(F.broadcast(top), "duplicate_of")
+
+
 def processing_analytics(processed: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """A5: one row; errors are the sizes of the error arrays."""
     return within(processed, "processing_timestamp", start, end).agg(

@@ -8,9 +8,9 @@ from siltstone.functions import requests as rq
 from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
-from siltstone.operators import dedup, logs, ranking, stored
+from siltstone.operators import aggregates, dedup, logs, ranking, stored
 from siltstone.sources import adapters as ad
-from siltstone.sources.tables import table
+from siltstone.sources.tables import table, written
 
 
 def docs(spark, sf_dir):
@@ -100,6 +100,7 @@ QUERIES = {
     "query_results": lambda s, d: stored.query_results(ad.queries_t(s, d).where("_id < 200").select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
     "query_results_all": lambda s, d: stored.query_results(ad.queries_t(s, d).select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
     "save_content": lambda s, d: saved(s, d),
+    "duplicate_members": lambda s, d: members(s, d),
     "cross_search": lambda s, d: stored.cross_search({"query": stored.search(ad.queries_t(s, d), ["view"], ["query_text"]).select("_id"), "content": stored.search(ad.content_t(s, d), ["license"], ["content"]).select("_id")}),
     "similar_content": lambda s, d: similar(s, d),
     "update_status": lambda s, d: updated(s, d),
@@ -148,6 +149,13 @@ def saved(spark, sf_dir):
     return stored.save_content(c.where("_id % 2 = 1"), old).select("_id", "content_hash", "duplicate_of")
 
 
+def members(spark, sf_dir):
+    """A4 on what saving all content names as duplicates."""
+    c = ad.content_t(spark, sf_dir).select("_id", "url", "title", "timestamp", "content")
+    none = spark.createDataFrame([], "_id bigint, content_hash string")
+    return aggregates.duplicate_members(written(stored.save_content(c, none).drop("content", "content_hash"), "saved"))
+
+
 def similar(spark, sf_dir):
     c = ad.content_t(spark, sf_dir)
     ids = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.col("_id") + k).cast("long"))
@@ -285,3 +293,6 @@ SQL = {
 }
 
 SQL["query_results_all"] = SQL["query_results"].removesuffix(" where q._id < 200")
+SQL["duplicate_members"] = f"""{_with(ad.CONTENT_SQL)}, h as (select _id, url, title, timestamp, {_HASH} as content_hash from content_t), d as (select *, min(_id) over (partition by content_hash) as duplicate_of from h),
+    m as (select * from d where _id <> duplicate_of), g as (select duplicate_of, count(*) as duplicate_count, min(_id) as first_id, max(_id) as last_id, min(timestamp) as first_seen from m group by 1 order by 2 desc, 1 limit 20)
+    select duplicate_of, _id as member, url, title, timestamp, duplicate_count, first_id, last_id, first_seen from m join g using (duplicate_of)"""
