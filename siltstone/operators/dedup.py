@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
@@ -164,3 +165,30 @@ def best_versions(content: DataFrame, id_col: str = "_id") -> DataFrame:
     """Content rows that are the best version of their group."""
     best = duplicate_analysis(content, id_col=id_col).where("id = best_id").select(F.col("id").alias(id_col))
     return content.join(best, id_col, "left_semi")
+
+
+def similar_content(content: DataFrame, asked: DataFrame, least: float, limit: int = 10, similar: float = SIMILAR, id_col: str = "_id") -> DataFrame:
+    """J5 for many rows: for each id of `asked` the rows that score `least` at least, best first, with their place.
+
+    A copy scores 1.0, an equal URL 0.9, a near duplicate by length; the highest counts. Rows of one text have the same
+    score, so the first limit + 1 of them are enough: the row itself may be one.
+    """
+    prints = written(fingerprints(content, id_col), "prints")
+    near = written(near_pairs(content, prints, similar, id_col), "near")
+    ask = asked.select("id")
+
+    def by(keys: list[str], other: DataFrame | None, score: float) -> DataFrame:
+        first = written(prints.groupBy(*keys).agg(F.min("id").alias("first_id")), "first")
+        rows = written(prints.join(first, keys).select("id", "first_id"), "rows")
+        few = rows.withColumn("__p", F.row_number().over(W.partitionBy("first_id").orderBy("id"))).where(F.col("__p") <= limit + 1).select(F.col("id").alias("member"), F.col("first_id").alias("to"))
+        mine = rows.join(ask, "id", "left_semi")
+        links = mine.select("id", F.col("first_id").alias("to"), F.lit(score).alias("score"))
+        if other is not None:
+            links = links.unionByName(mine.join(other, "first_id").select("id", "to", "score"))
+        return links.join(few, "to").select("id", "member", "score")
+
+    ways = [near.select(F.col(f"id_{a}").alias("first_id"), F.col(f"id_{b}").alias("to"), F.col("length_score").alias("score")) for a, b in ("ab", "ba")]
+    found = by(["text_fp"], ways[0].unionByName(ways[1]), 1.0).unionByName(by(["url_fp"], None, 0.9))
+    best = found.where((F.col("id") != F.col("member")) & (F.col("score") >= least)).groupBy("id", "member").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "member"))
+    return best.withColumn("place", place).where(F.col("place") <= limit)

@@ -103,6 +103,7 @@ QUERIES = {
     "duplicate_members": lambda s, d: members(s, d),
     "cross_search": lambda s, d: stored.cross_search({"query": stored.search(ad.queries_t(s, d), ["view"], ["query_text"]).select("_id"), "content": stored.search(ad.content_t(s, d), ["license"], ["content"]).select("_id")}),
     "similar_content": lambda s, d: similar(s, d),
+    "similar_content_all": lambda s, d: similar_rows(s, d),
     "update_status": lambda s, d: updated(s, d),
     "retention_queries": lambda s, d: stored.retained(ad.queries_t(s, d), "created_at", "2024-02-10", 30, F.col("status").isin("completed", "failed")).select("_id", "deleted"),
     "retention_content": lambda s, d: stored.retained(ad.content_t(s, d).withColumn("duplicate_of", F.when(F.col("_id") % 5 == 0, F.col("_id") - 1)), "timestamp", "2024-01-01 10:00:00", 0, F.col("duplicate_of").isNotNull()).select("_id", "deleted"),
@@ -164,6 +165,13 @@ def similar(spark, sf_dir):
     return stored.similar_content(analysis, c, 40, 0.3).select("member", "score", "url")
 
 
+def similar_rows(spark, sf_dir):
+    """J5 for every twentieth id, against all rows."""
+    c = ad.content_t(spark, sf_dir)
+    found = dedup.similar_content(c.select("_id", "url", "title", "content"), c.where("_id % 20 = 0").select(F.col("_id").alias("id")), 0.3)
+    return found.join(c.select(F.col("_id").alias("member"), "url"), "member").select(F.col("id").alias("content_id"), "place", "member", "score", "url")
+
+
 def updated(spark, sf_dir):
     q = ad.queries_t(spark, sf_dir)
     changes = q.where("_id % 50 = 0").select("_id", F.when(F.col("_id") % 100 == 0, "completed").otherwise("unheard").alias("status"), F.lit(1.5).alias("execution_time"), F.lit(None).cast("double").alias("quality_score"))

@@ -49,3 +49,14 @@ def test_an_added_word_sentence_or_blank_line_keeps_the_link(spark):
     c = spark.createDataFrame([(i, f"http://a.com/{i}", None, t, i / 10) for i, t in rows], CONTENT)
     got = {r["id"]: (r["component"], r["group_size"], r["best_id"]) for r in dedup.duplicate_analysis(c).collect()}
     assert got == {1: (1, 4, 4), 2: (1, 4, 4), 3: (1, 4, 4), 4: (1, 4, 4), 5: (5, 1, 5)}
+
+
+def test_similar_content_reads_copies_near_texts_and_urls(spark):
+    text = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(1, "http://a.com/1", text), (2, "http://a.com/2", text.upper()), (3, "http://a.com/3", text + " more"), (4, "http://a.com/4", "Other text."), (5, "http://a.com/4?utm_source=x", "A third text."), (6, "http://a.com/6", "No one's.")]
+    c = spark.createDataFrame([(i, u, None, t, 0.5) for i, u, t in rows], CONTENT)
+    ids = spark.createDataFrame([(i,) for i in range(2, 7)], "id long")
+    near = 1 - 5 / (len(text) + 5)
+    got = [tuple(r) for r in dedup.similar_content(c, ids, 0.3).select("id", "place", "member", "score").collect()]
+    assert sorted(got) == [(2, 1, 1, 1.0), (2, 2, 3, near), (3, 1, 1, near), (3, 2, 2, near), (4, 1, 5, 0.9), (5, 1, 4, 0.9)]
+    assert sorted(r["member"] for r in dedup.similar_content(c, ids, 0.3, 1).collect()) == [1, 1, 4, 5]
