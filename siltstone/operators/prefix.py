@@ -43,10 +43,23 @@ def running_total(df: DataFrame, keys: list[str], order_hash: str, tie: list[str
     return df.join(starts, by).withColumn(out, F.col("__r") + F.col("__o")).drop("__b", "__v", "__r", "__o")
 
 
+def global_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name of `sums` the sum of its column over the rows that come before this one in `order`.
+
+    Rows lie in ranges of the order; a window totals the rows of a range, another the ranges. Rows that are equal in
+    `order` take either place, and lie in the same range.
+    """
+    ranged = df.repartitionByRange(*order).withColumns({"__p": F.spark_partition_id(), **{f"__v_{n}": c for n, c in sums.items()}})
+    ranged = written(ranged, "ranged")
+    above = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy("__p").agg(*[F.sum(f"__v_{n}").alias(n) for n in sums])
+    starts = parts.select("__p", *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    before = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = ranged.withColumns({f"__r_{n}": F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)) for n in sums})
+    out = inside.join(F.broadcast(starts), "__p").withColumns({n: F.col(f"__r_{n}") + F.col(f"__o_{n}") for n in sums})
+    return out.drop("__p", *[f"__{k}_{n}" for k in "vor" for n in sums])
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Adds `out`: the place from 0 of each row in the order of all rows, by ranges of the order and their counts."""
-    ranged = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    place = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__r", place).join(F.broadcast(starts), "__p").withColumn(out, (F.col("__r") + F.col("__o")).cast("long")).drop("__p", "__r", "__o")
+    """Adds `out`: the place from 0 of each row in the order of all rows."""
+    return global_totals(df, order, {out: F.lit(1).cast("long")})
