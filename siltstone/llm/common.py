@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word, where an operator's contract counts words: anything but the six ASCII white-space characters.
@@ -10,8 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same class for functions that take characters, not patterns.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch; texts may be long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 200
+#: Rows of an Arrow batch that are worked on at once; Spark bounds the batch itself by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+SLICE_ROWS = 200
 
 
 def text_or_empty(text: str | Column) -> Column:
@@ -33,6 +36,13 @@ def id_remainder(doc_id: str, m: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
 
 
-def small_batches(spark: SparkSession) -> None:
+def slices(batches: Iterable[pa.RecordBatch] | Iterable[pa.Array]) -> Iterator:
+    """Batches or arrays in slices of SLICE_ROWS rows, so that few texts at once are Python objects."""
+    for b in batches:
+        for at in range(0, len(b), SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
+def small_batches(spark) -> None:
     """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))

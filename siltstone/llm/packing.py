@@ -7,7 +7,7 @@ not on the number of documents. Pieces then take planned slots by their rank wit
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import re
 import zlib
@@ -21,103 +21,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, text_or_empty
+from siltstone.llm.common import slices, text_or_empty
 from siltstone.operators.prefix import running_total
 from siltstone.sources.tables import written
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps, in each of two generations; some 150 bytes each.
-CACHE_WORDS = 120_000
-#: New words that are encoded in one line.
-LINE = 500
+#: Longer texts are encoded in parts of about so many characters.
+PART = 1 << 20
 #: A single space or newline between two characters that are not white space ends a pre-token, so that text may be cut there.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: The split of the byte-level pre-tokenizer, and the bytes that it writes as the characters of the same number.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTED = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+#: Runs on which the split may go back too often for the fast library.
+LONG_RUN = re.compile(r"\s{1000}")
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizer, as little-endian 32-bit bytes, from the ids of words.
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file as ranks of byte strings; None where that would not be the same thing.
 
-    The byte-level pre-tokenizer never puts the characters on both sides of such a space or newline into one pre-token,
-    and a newline there is one of its own, so words encode as they do in the whole text. Words are looked up and, if
-    new, encoded in one batch. Texts with other white space are cut at the same places one by one.
+    It is if nothing normalises or adds to the text, the pre-tokenizer splits by SPLIT, and ids follow the merges.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) == ("ByteLevel", False, True) and spec["normalizer"] is None
+    unusual = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or unusual or model["type"] != "BPE":
+        return None
+    byte_of = {chr(b): b for b in PRINTED}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token not in added}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    in_order = all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
+    return ranks if in_order else None
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizer, as little-endian 32-bit bytes.
+
+    A vocabulary that can be read as ranks is applied by the faster library for these; texts that hold an added token
+    or a very long run of white space, and other vocabularies, go to the tokenizer's own library.
+    Both give the same ids.
     """
 
-    def __init__(self, path: str, words: int = CACHE_WORDS):
+    def __init__(self, path: str, part: int = PART):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), words
-        #: words at a line's start and after a space: ids of this generation and of the one before
-        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
-        self.newline, self.comma, self.stop = self.ids(["\n", ",", "."])
-        # in a byte-level vocabulary each character of a token stands for a byte
-        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.sizes[i] = len(token)
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.sizes[i] = len(token.content.encode())
-
-    def ids(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def spaced_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a space: of LINE words in one line, told apart by the lengths of their tokens."""
-        out = []
-        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in line])
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in itertools.pairwise(cuts)]
-        return out
-
-    def learn(self, words: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of all the words that follow `lead`; None for those that have white space at an end."""
-        now, before = self.caches[lead]
-        if len(now) > self.most:
-            now, before = self.caches[lead] = ({}, now)
-        new = words - now.keys()
-        for w in new & before.keys():
-            now[w] = before[w]
-        new -= before.keys()
-        if "" in new or len("".join(new).split()) > 1:
-            odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-            now.update(dict.fromkeys(odd))
-            new.difference_update(odd)
-        # a full stop or comma after a letter is a pre-token of its own
-        stems = {w: w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w for w in new}
-        todo = [w for w in {*stems.values()} if w not in now]
-        now.update(zip(todo, self.spaced_ids(todo) if lead else self.ids(todo), strict=True))
-        for w, stem in stems.items():
-            if w != stem:
-                now[w] = now[stem] + (self.stop if w[-1] == "." else self.comma)
-        return now
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        heads = self.learn({x[0] for t in lines for x in t}, "")
-        tails = self.learn(set().union(*[x[1:] for t in lines for x in t]), " ")
-        out, odd = [], []
-        for i, t in enumerate(lines):
-            try:
-                out.append(self.newline.join([b"".join([heads[x[0]], *map(tails.__getitem__, x[1:])]) for x in t]))
-            except TypeError:  # a word with white space at an end
-                out.append(b"")
-                odd.append(i)
-        if odd:
-            cut = [CUT.split(texts[i]) for i in odd]
-            known = list({*itertools.chain(*cut)})
-            ids = dict(zip(known, self.ids(known), strict=True))
-            for i, parts in zip(odd, cut, strict=True):
-                out[i] = b"".join(map(ids.__getitem__, parts))
-        return out
+        self.tokenizer, self.part, self.fast = Tokenizer.from_file(path), part, None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if (ranks := ranks_of(path)) is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str) -> bytes:
+        if self.fast is None or any(t in text for t in self.added) or LONG_RUN.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast(text)).tobytes()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts that encode alone as they do together; without a place to cut, the rest is one."""
+        at = 0
+        while len(text) - at > self.part and (cut := CUT.search(text, at + self.part)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def encode(self, text: str) -> bytes:
+        return self.ids(text) if len(text) <= self.part else b"".join(map(self.ids, self.parts(text)))
 
 
 @lru_cache(1)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -127,9 +107,9 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
-            for key, data in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist()), strict=True):
+            for key, data in zip(b.column(0).to_pylist(), map(encoder(path).encode, b.column(1).to_pylist()), strict=True):
                 data += END_ID.to_bytes(4, "little")
                 n = len(data) // 4
                 ends = range(n - (n - 1) // capacity * capacity, n + 1, capacity)
@@ -141,7 +121,6 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     ids = ", ids array<int>" if with_ids else ""
     return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}")

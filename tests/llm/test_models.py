@@ -21,12 +21,16 @@ def texts(n: int) -> list[str]:
     return ["".join(draw.choice(PIECES) for _ in range(draw.randint(0, 25))) for _ in range(n)]
 
 
-def test_word_encoder_gives_the_tokenizer_s_ids(spark, sf_dir):
-    given = [r[0] for r in table(spark, sf_dir, "documents").select("text").collect()] + texts(4000)
-    for words in (packing.CACHE_WORDS, 30):
-        e = packing.WordEncoder(BPE, words)
-        got = [x for at in range(0, len(given), 100) for x in e.encode(given[at : at + 100])]
-        assert got == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(given, add_special_tokens=False)]
+def test_encoder_gives_the_tokenizer_s_ids(spark, sf_dir):
+    draw = random.Random(7)
+    strange = ["".join(chr(draw.choice([draw.randrange(0x20, 0x250), draw.randrange(0x250, 0xD800), draw.randrange(0xE000, 0x20000)])) for _ in range(40)) for _ in range(2000)]
+    given = [r[0] for r in table(spark, sf_dir, "documents").select("text").collect()] + texts(4000) + strange + [" " * 3000, "a" + "\t" * 1500 + "b", "x" * 20000, "é" * 3000]
+    for part in (packing.PART, 5):
+        e = packing.Encoder(BPE, part)
+        assert e.fast is not None
+        assert [e.encode(t) for t in given] == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(given, add_special_tokens=False)]
+    slow = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert slow.fast is None and slow.encode("Some words") == np.array(slow.tokenizer.encode("Some words", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_plan_fills_sequences_without_gaps():
