@@ -41,8 +41,3 @@ def slices(batches: Iterable[pa.RecordBatch] | Iterable[pa.Array]) -> Iterator:
     for b in batches:
         for at in range(0, len(b), SLICE_ROWS):
             yield b.slice(at, SLICE_ROWS)
-
-
-def small_batches(spark) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import ascii_lower, small_batches, text_or_empty
+from siltstone.llm.common import ascii_lower, slices, text_or_empty
 from siltstone.sources.tables import written
 
 PRIMES = (2147483647, 2147483629)
@@ -64,7 +64,7 @@ def _fingerprints(docs: DataFrame, hasher: tuple[tuple[int, int], int]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = Hasher(*hasher).hash
-        for b in batches:
+        for b in slices(batches):
             texts = [(t or b"").lower() for t in b.column(2).to_pylist()]
             hashes = [hash_of(t) for t in texts]
             columns = [b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())]
@@ -111,7 +111,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays, null ids last; of rows that are equal in id and text one stays. No rows: none.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__raw", F.xxhash64("__text"))
     size = F.octet_length("__text")
     hasher = (primes, chunk)

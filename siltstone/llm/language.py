@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import id_remainder, small_batches, text_or_empty
+from siltstone.llm.common import id_remainder, text_or_empty
 
 PROFILE = 300
 LONGEST = 3
@@ -27,26 +27,48 @@ SAMPLE_ROWS = 20_000
 UNKNOWN = "und"
 #: A text is taken to be in its nearest language if its score is this at least.
 LEAST_SCORE = 0.2
+#: Runs of letters and of what Python counts as word characters besides; those that are not all letters are cut anew.
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words whose n-grams a worker keeps, some 200 bytes each, and the n-grams that it has numbers for; beyond, it begins anew.
+CACHE_WORDS, CACHE_GRAMS = 300_000, 300_000
+#: Longer runs of letters are counted apart, and not kept.
+LONG_WORD = 64
 
+Profiles = dict[str, dict[str, int]]
 
-#: Words whose n-grams a worker keeps; some 200 bytes each.
-CACHE_WORDS = 300_000
 
-Profiles = dict[str, dict[str, int]]
+def words_of(text: str) -> Counter:
+    """Runs of letters (Unicode category L) of a text in lower case, and how often each comes."""
+    words = Counter(LETTERS.findall(text.lower()))
+    for odd in [w for w in words if not w.isalpha()]:
+        n = words.pop(odd)
+        for part in "".join(c if c.isalpha() else " " for c in odd).split():
+            words[part] += n
+    return words
 
 
 class Grams:
-    """Counts n-grams as numbers, and holds the languages' ranks of each number."""
+    """Counts n-grams as numbers, and holds the languages' ranks of each number.
+
+    Numbers hold until `trim`, which begins anew if there are too many: a text's work depends on the text alone,
+    whatever texts came before.
+    """
 
-    def __init__(self, profiles: Profiles | None = None, size: int = PROFILE):
-        self.profiles, self.size = profiles or {}, size
+    def __init__(self, profiles: Profiles | None = None, size: int = PROFILE, most: int = CACHE_GRAMS):
+        self.profiles, self.size, self.most = profiles or {}, size, most
         self.languages = sorted(self.profiles)
+        self.clear()
+
+    def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.names: list[str] = []
         self.words: dict[str, np.ndarray] = {}
         self.ranks = np.full((len(self.languages), 1024), -1, np.int64)
 
+    def trim(self) -> None:
+        if len(self.names) > self.most or len(self.words) > CACHE_WORDS:
+            self.clear()
+
     def id_of(self, gram: str) -> int:
         if (i := self.ids.get(gram)) is None:
             i = self.ids[gram] = len(self.names)
@@ -58,23 +80,28 @@ class Grams:
 
     def of_word(self, word: str) -> np.ndarray:
         if (found := self.words.get(word)) is None:
-            marked = f"_{word}_"
-            grams = [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
-            found = self.words[word] = np.array([self.id_of(g) for g in grams if g != "_"], np.int32)
+            found = self.words[word] = np.array([self.id_of(g) for g in grams_of(word)], np.int64)
         return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the n-grams of a text's words of letters, in lower case, and how often each comes."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = Counter(LETTERS.findall(text.lower()))
+        """Numbers of the n-grams of a text's words, and how often each comes."""
+        words = words_of(text)
         if not words:
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        long = {w: words.pop(w) for w in [w for w in words if len(w) > LONG_WORD]}
         parts = [self.of_word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        total = np.bincount(np.concatenate(parts), times)
-        ids = np.flatnonzero(total)
-        return ids, total[ids].astype(np.int64)
+        times = [np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])]
+        for w, n in long.items():
+            found = Counter(grams_of(w))
+            parts.append(np.array([self.id_of(g) for g in found], np.int64))
+            times.append(n * np.fromiter(found.values(), np.int64, len(found)))
+        ids, n = np.concatenate(parts), np.concatenate(times)
+        if len(self.names) <= 16 * len(ids):
+            total = np.bincount(ids, n)
+            ids = np.flatnonzero(total)
+            return ids, total[ids].astype(np.int64)
+        ids, at = np.unique(ids, return_inverse=True)
+        return ids, np.bincount(at, n).astype(np.int64)
 
     def profile(self, text: str) -> np.ndarray:
         """The most frequent n-grams, as numbers; of equal ones the first by code points."""
@@ -88,6 +115,7 @@ class Grams:
 
     def nearest(self, text: str) -> tuple[str, float]:
         """(language, score): score is 1 less the part of the greatest distance; ties go to the first name."""
+        self.trim()
         own = self.profile(text)
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
@@ -97,6 +125,12 @@ class Grams:
         return self.languages[best], float(1 - far[best] / (self.size * len(own)))
 
 
+def grams_of(word: str) -> Iterator[str]:
+    """The n-grams of a word with its ends marked, without the mark alone."""
+    marked = f"_{word}_"
+    return (g for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_")
+
+
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, rows: int = SAMPLE_ROWS) -> Profiles:
     """Ranks of each language's profile, from `rows` of `docs` at most.
 
@@ -111,10 +145,12 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
                 total: Counter = Counter()
+                grams.trim()
                 for t in texts:
                     ids, n = grams.counts(t)
                     total.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
-                yield pd.DataFrame({"lang": lang, "gram": [grams.names[i] for i in total], "n": list(total.values())})
+                if total:
+                    yield pd.DataFrame({"lang": lang, "gram": [grams.names[i] for i in total], "n": list(total.values())})
 
     counts = sample.mapInPandas(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
@@ -138,7 +174,6 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", size:
         for texts in batches:
             yield pd.DataFrame([grams.nearest(t) for t in texts], columns=["lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     found = docs.withColumn("__found", predict(text_or_empty(text_col)))
     return found.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
 
@@ -146,7 +181,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", size:
 def accepted(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` in a known language: nearest to one, with a score of `least` at least.
 
-    Texts that are null or have no letter are rejected. Without profiles nothing else is.
+    Texts that are null or have no letter are rejected. Without profiles nothing else is. Each row is judged alone and
+    comes out with all its columns, repeated rows as often; no rows: none.
     """
     found = identify(docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("__text")), profiles, "__text")
     known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)

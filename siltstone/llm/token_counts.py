@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, text_or_empty
+from siltstone.llm.common import slices, text_or_empty
 
 LIMIT = 4096
 #: Characters of a chunk, and of the overlap that is tried first. Longer texts are huge.
@@ -51,11 +51,16 @@ def piece_chars(path: str) -> np.ndarray:
 def begins(path: str, text: str) -> np.ndarray | None:
     """Where the tokens of a text begin, in characters; the mark that the library puts first begins at 0.
 
-    None where pieces and text differ in length, as under a model that changes characters.
+    All bytes of a character begin where it does. None where the pieces are not the text, as under a model that changes
+    characters or where the text has a mark of its own.
     """
-    sizes = piece_chars(path)[np.array(processor(path).encode(text), np.int64)]
+    model = processor(path)
+    ids = model.encode(text)
+    if model.decode(ids) != text:
+        return None
+    sizes = piece_chars(path)[np.array(ids, np.int64)]
     ends = np.cumsum(sizes)
-    return np.maximum(0, ends - sizes - 1) if (ends[-1] if len(ends) else 1) == len(text) + 1 else None
+    return np.maximum(0, ends - np.maximum(sizes, 1) - 1) if (ends[-1] if len(ends) else 1) == len(text) + 1 else None
 
 
 def stable(text: str, places: np.ndarray) -> np.ndarray:
@@ -63,23 +68,26 @@ def stable(text: str, places: np.ndarray) -> np.ndarray:
     return np.array([p for p in places.tolist() if text[p] == " " and text[p - 1] not in (" ", MARK)], np.int64)
 
 
-def count_spliced(text: str, encode: Begins, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """The number of tokens of a text, of which `chunk` characters and a widened overlap are encoded at a time."""
+def count_spliced(text: str, encode: Begins, chunk: int = CHUNK, overlap: int = OVERLAP) -> int | None:
+    """The number of tokens of a text, of which `chunk` characters and a widened overlap are encoded at a time.
+
+    None where `encode` has no places for a chunk: such a text is to be encoded whole.
+    """
 
-    def tokens(start: int, end: int, spliced: bool) -> np.ndarray:
+    def tokens(start: int, end: int, spliced: bool) -> np.ndarray | None:
         # after a splice the library's own mark stands for the space there, which is left out
         at = encode(text[start + spliced : end])
-        if at is None:
-            raise ValueError("the model's pieces don't add up to the text")
-        return np.where(at > 0, at + start + spliced, start)
+        return None if at is None else np.where(at > 0, at + start + spliced, start)
 
     total, start, end, width = 0, 0, min(len(text), chunk), overlap
     now = tokens(start, end, False)
-    while end < len(text):
+    while now is not None and end < len(text):
         back = max(start, end - width)
         if back > start:
             later = min(len(text), back + max(chunk, 2 * width))
             then = tokens(back, later, False)
+            if then is None:
+                return None
             common = np.intersect1d(now, then)
             places = stable(text, common[(common > back) & (common < end)])
             if len(places):
@@ -91,25 +99,32 @@ def count_spliced(text: str, encode: Begins, chunk: int = CHUNK, overlap: int =
         else:  # no place for a splice in all of the chunk
             end = min(len(text), end + max(chunk, end - start))
             now, width = tokens(start, end, start > 0), overlap
-    return total + len(now)
+    return None if now is None else total + len(now)
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, out: str = "n_tokens") -> DataFrame:
     """`docs` with `out`: tokens of the text as the library counts them, null 0.
 
     Every row is counted alone; no rows: none; a column named `out` is replaced. Where the vocabulary has pieces across
-    spaces, huge texts are encoded whole.
+    spaces, or pieces are not the text, huge texts are encoded whole.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        size = chunk if splits_at_spaces(path) else 1 << 62
+        model, size = processor(path), chunk if splits_at_spaces(path) else 1 << 62
+
+        def huge(t: str) -> int:
+            n = count_spliced(t, lambda s: begins(path, s), size, overlap)
+            return len(model.encode(t)) if n is None else n
+
         for texts in batches:
-            values = [t or "" for t in texts.to_pylist()]
-            short = [t for t in values if len(t) <= size]
-            counts = iter([len(ids) for ids in processor(path).encode(short, num_threads=1)] if short else [])
-            yield pa.array([next(counts) if len(t) <= size else count_spliced(t, lambda s: begins(path, s), size, overlap) for t in values], pa.int64())
+            out: list[int] = []
+            for part in slices([texts]):
+                values = [t or "" for t in part.to_pylist()]
+                short = [t for t in values if len(t) <= size]
+                counts = iter([len(ids) for ids in model.encode(short, num_threads=1)] if short else [])
+                out += [next(counts) if len(t) <= size else huge(t) for t in values]
+            yield pa.array(out, pa.int64())
 
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.arrow_udf(run, "bigint")(text_or_empty(text_col)))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import id_remainder, small_batches, text_or_empty
+from siltstone.llm.common import id_remainder, text_or_empty
 from siltstone.sources.tables import written
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -246,7 +246,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out:
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, score(text_or_empty(text_col)))
 
 

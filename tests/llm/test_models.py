@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -71,13 +72,28 @@ def test_spliced_counts_are_the_library_s():
     model = token_counts.processor(PIECE)
     for t in [*texts(400), " " * 100, "x" * 300, "a b " * 200]:
         for chunk, overlap in ((16, 4), (40, 8), (300, 20)):
-            assert token_counts.count_spliced(t, lambda s: token_counts.begins(PIECE, s), chunk, overlap) == len(model.encode(t))
+            got = token_counts.count_spliced(t, lambda s: token_counts.begins(PIECE, s), chunk, overlap)
+            assert got == len(model.encode(t)) or (got is None and "▁" in t)
+
+
+def test_spliced_counts_with_bytes_before_a_long_run():
+    model = token_counts.processor(PIECE)
+    given = ["ab " * 10866 + "ab ① " + "x" * 80000, "ab " * 10866 + "ab 힣 " + "中文" * 40000, "中" * 32600 + "① " + "y" * 60000, "a▁b " * 20000]
+    draw = random.Random(11)
+    for _ in range(60):
+        given.append("".join(draw.choice(["ab ", "① ", " 힣", "𒀀 ", "😀", "x" * draw.randint(1, 300), "中文" * draw.randint(1, 100)]) for _ in range(draw.randint(5, 60))))
+    for t in given:
+        for chunk, overlap in ((token_counts.CHUNK, token_counts.OVERLAP), *([(64, 8), (17, 3)] if len(t) < 20000 else [])):
+            got = token_counts.count_spliced(t, lambda s: token_counts.begins(PIECE, s), chunk, overlap)
+            assert got == (None if "▁" in t else len(model.encode(t)))
 
 
 def test_token_counts_of_null_and_huge(spark):
-    rows = [(1, None), (2, ""), (3, "word " * 20000), (4, "x" * 40000)]
-    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.op6_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: len(token_counts.processor(PIECE).encode(t or "")) for i, t in rows}
+    """Marks in a text make it one that is encoded whole; repeated rows are counted each; other columns have no effect."""
+    rows = [(1, None), (2, ""), (3, "word " * 20000), (4, "x" * 40000), (5, "a▁b " * 20000), (6, "ab " * 10866 + "ab ① " + "x" * 80000), (6, "w"), (6, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_tokens": F.lit("x"), "n_bytes": F.lit("y")})
+    got = sorted((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in token_counts.op6_query(docs).collect())
+    assert got == sorted((i, len(token_counts.processor(PIECE).encode(t or "")), len((t or "").encode())) for i, t in rows)
     assert token_counts.op6_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -94,6 +110,51 @@ def test_language_is_right_on_held_out_documents(spark, sf_dir):
     assert language.accepted(odd, profiles).columns == odd.columns
 
 
+def place(text: str, profiles: dict, size: int) -> tuple[str, float]:
+    """By brute force: all n-grams of the runs of letters, ranked, against each language's ranks."""
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    found: Counter = Counter()
+    for w in runs:
+        m = f"_{w}_"
+        found.update(m[i:j] for i in range(len(m)) for j in range(i + 1, min(i + 4, len(m) + 1)) if m[i:j] != "_")
+    own = sorted(found, key=lambda g: (-found[g], g))[:size]
+    if not own:
+        return "und", 0.0
+    far = {lang: sum(abs(ranks[g] - i) if g in ranks else size for i, g in enumerate(own)) for lang, ranks in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (size * len(own))
+
+
+def test_nearest_profile_matches_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(docs) | {"aa": {"a": 0, "b": 1}, "ab": {"b": 0, "a": 1}}
+    draw = random.Random(5)
+    given = [r[0] for r in docs.select("text").collect() if r[0]] + ["", "12 ½ ² ① !", "a½b x²", "ab ba", "a", "x" * 5000, "é" * 100 + " ß", "_a_ b_c", "İstanbul Ǆ", "a\u0301b"]
+    given += ["".join(draw.choice(["a", "b", " ", "é", "²", "日", "本", "ж", "_", "1"]) for _ in range(draw.randint(0, 200))) for _ in range(300)]
+    for size, most in ((300, 300_000), (300, 50), (5, 50)):
+        grams = language.Grams(profiles, size, most)
+        for t in given:
+            lang, score = grams.nearest(t)
+            assert (lang, pytest.approx(score)) == place(t, profiles, size)
+
+
+def test_profile_state_is_bounded():
+    """After texts with over a million different n-grams a worker keeps few, and is as fast as before."""
+    draw = random.Random(6)
+    grams = language.Grams({"xx": {"a": 0}})
+    for _ in range(1500):
+        grams.nearest("".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(400)) + " " + "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(40)))
+        assert len(grams.names) <= language.CACHE_GRAMS + 2000 and len(grams.words) <= language.CACHE_WORDS + 100 and grams.ranks.shape[1] <= 1 << 19
+
+
+def test_language_of_clashing_columns_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", "x"), (1, "the cat", "en", "x"), (None, "der Hund", "de", "y"), (2, "²", None, "z")], "doc_id long, text string, lang string, lang_pred string")
+    out = language.op8_query(docs)
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in out.collect())[-1] == (2, "und") and out.count() == 4
+    assert language.op8_query(docs.limit(0)).count() == 0
+
+
 def test_grammar_reads_clauses():
     model = toxicity.Model(words={"idiot": 2.0}, stems={"stup": 3.0})
     found = lambda text: {k for k, v in zip(toxicity.FEATURES, toxicity.Scorer(model).features(text), strict=True) if v}
