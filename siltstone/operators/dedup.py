@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.functions import urls
+from siltstone.operators.bloom import excluding, including
 from siltstone.operators.components import connected_components
 from siltstone.sources.tables import written
 
@@ -76,12 +77,12 @@ def near_candidates(prints: DataFrame) -> DataFrame:
 
 
 def shingle_hashes(content: DataFrame, id_col: str = "_id", size: int = SHINGLE) -> DataFrame:
-    """(id, shingles): the different hashes of `size` words in a row, lower-cased; shorter texts have one."""
+    """(id, length, shingles): the different hashes of `size` words in a row, lower-cased; shorter texts have one."""
     tokens = tx.words(F.lower(F.coalesce("content", F.lit(""))))
-    rows = content.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    first = F.greatest(F.lit(1), F.size("t") - (size - 1))
-    hashes = F.transform(F.sequence(F.lit(1), first), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(size)), " ")))
-    return rows.select("id", F.array_distinct(hashes).alias("shingles"))
+    rows = content.select(F.col(id_col).alias("id"), F.length(F.coalesce("content", F.lit(""))).cast("long").alias("length"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("h"))
+    # places beyond the end of a shorter text are null, and add nothing to a hash
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - size)), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)]))
+    return rows.select("id", "length", F.array_distinct(hashes).alias("shingles"))
 
 
 def similar_candidates(sets: DataFrame, similar: float) -> DataFrame:
@@ -92,15 +93,16 @@ def similar_candidates(sets: DataFrame, similar: float) -> DataFrame:
     some of the rows, and decides how many candidates are looked at, not which pairs are found. Shingles that the same
     rows have stand for each other.
     """
-    a, b = sets.select(F.col("id").alias("id_a")), sets.select(F.col("id").alias("id_b"))
     if similar <= 0:
-        return a.join(b, F.col("id_a") < F.col("id_b"))
+        raise ValueError("all pairs are similar to a degree of 0: a join of pairs needs a greater one")
     seen = sets.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     often = written(seen.where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).agg(F.collect_list("s").alias("often")), "often")
     n = F.size("shingles")
     order = F.concat(F.array_sort(F.array_except("shingles", "often")), F.array_sort(F.array_intersect("shingles", "often")))
     first = F.slice(order, F.lit(1), (n - F.ceil(n * F.lit(float(similar)) - F.lit(1e-9)) + 1).cast("int"))
-    entries = written(sets.crossJoin(F.broadcast(often)).select("id", n.alias("n"), F.posexplode(first).alias("p", "s")), "entries")
+    # one row of a bounded list meets all sets over a constant key
+    with_often = sets.withColumn("one", F.lit(1)).join(F.broadcast(often.withColumn("one", F.lit(1))), "one")
+    entries = written(with_often.select("id", n.alias("n"), F.posexplode(first).alias("p", "s")), "entries")
     shared = written(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("of")).where("rows > 1"), "shared")
     kinds = written(entries.join(shared, "s").groupBy("id", "n", "rows", "of").agg(F.min("p").alias("p")), "kinds")
     a, b = (kinds.select("rows", "of", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "p")]) for k in "ab")
@@ -109,16 +111,27 @@ def similar_candidates(sets: DataFrame, similar: float) -> DataFrame:
     return a.join(b, ["rows", "of"]).where((F.col("id_a") < F.col("id_b")) & (left >= enough)).select("id_a", "id_b").distinct()
 
 
+def singled(content: DataFrame, prints: DataFrame, id_col: str = "_id") -> DataFrame:
+    """The rows of `content` that stand for their texts, those of the least id.
+
+    What is shuffled are the copies, not the texts.
+    """
+    least = written(prints.groupBy("text_fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copied")
+    copies = written(prints.join(least, "text_fp").where("id <> first_id").select("id"), "copies")
+    return excluding(content, {"id": F.col(id_col)}, copies)
+
+
 def near_pairs(content: DataFrame, prints: DataFrame, similar: float = SIMILAR, id_col: str = "_id") -> DataFrame:
     """All pairs of different texts whose shingles have a Jaccard similarity of `similar` at least.
 
-    The least id of a text stands for its copies, as in J6; the structure of texts is not looked at.
+    The least id of a text stands for its copies, as in J6; the structure of texts is not looked at. Sets of shingles
+    are compared where their texts are candidates; a Bloom filter keeps the others out of the shuffle.
     """
-    texts = written(representatives(prints).select("id", "length"), "texts")
-    rows = content.join(texts.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    sets = written(shingle_hashes(rows, id_col).join(texts, "id"), "sets")
+    sets = written(shingle_hashes(singled(content.select(id_col, "content"), prints, id_col), id_col), "sets")
     pairs = written(similar_candidates(sets.select("id", "shingles"), similar), "pairs")
-    a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}"), F.col("length").alias(f"length_{k}")) for k in "ab")
+    asked = written(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "asked")
+    few = written(including(sets, {"id": F.col("id")}, asked), "few")
+    a, b = (few.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}"), F.col("length").alias(f"length_{k}")) for k in "ab")
     both = pairs.join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     out = both.withColumn("jaccard", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).where(F.col("jaccard") >= similar)
     longer, difference = F.greatest("length_a", "length_b"), F.abs(F.col("length_a") - F.col("length_b"))
@@ -146,7 +159,7 @@ def duplicate_edges(content: DataFrame, near: bool = True, similar: float = SIMI
 
 
 def duplicate_analysis(content: DataFrame, near: bool = True, similar: float = SIMILAR, id_col: str = "_id", quality: str = "content_quality_score") -> DataFrame:
-    """One row per content row: its component, the component's size, best version, and the row's confidence.
+    """One row per content row: its component, the component's size, best version, the row's confidence, advice.
 
     Best is the highest quality, the least id on ties; a row without duplicates is its own best, with confidence 0.
     """
@@ -158,7 +171,8 @@ def duplicate_analysis(content: DataFrame, near: bool = True, similar: float = S
     ends = edges.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("confidence"))
     found = linked.join(best, "component").join(ends, "id").select("id", "component", "group_size", "best_id", "confidence")
     alone = rows.join(parts, rows["id"] == parts["node"], "left_anti").select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("group_size"), F.col("id").alias("best_id"), F.lit(0.0).alias("confidence"))
-    return found.unionByName(alone)
+    keep = F.when(F.col("group_size") > 1, F.concat(F.lit("Keep "), F.col("best_id").cast("string"), F.lit(", remove others")))
+    return found.unionByName(alone).withColumn("advice", keep)
 
 
 def best_versions(content: DataFrame, id_col: str = "_id") -> DataFrame:

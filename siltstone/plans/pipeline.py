@@ -26,8 +26,8 @@ class PipelineConfig:
     least_quality: float = 0.4
 
     def __post_init__(self):
-        if not 0 <= self.similar <= 1 or not 0 <= self.least_quality <= 1:
-            raise ValueError("similar and least_quality lie between 0 and 1")
+        if not 0 < self.similar <= 1 or not 0 <= self.least_quality <= 1:
+            raise ValueError("similar and least_quality lie between 0 and 1, and similar is not 0")
 
 
 def process(content: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:

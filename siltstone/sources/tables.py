@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,28 +16,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master a temporary one if it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         path = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Folders of the tables that each thread has written, in order.
+_made = threading.local()
+
+
+def _folders() -> list[str]:
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path for a table in this application's part of the shared folder."""
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders().append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """`df` as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, as a written table; tables that were written on the way are deleted."""
+    before = len(_folders())
+    out = written(make(), name)
+    keep = _folders().pop()
+    for path in _folders()[before:]:
+        _delete(spark, path)
+    del _folders()[before:]
+    _folders().append(keep)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written on the way to results which are stored by now."""
+    _delete(spark, own_dir(spark))
+    _folders().clear()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that `written` made and nothing reads any more."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/siltstone/".removeprefix("file://")
-    jvm = spark._jvm
+    root = f"{own_dir(df.sparkSession)}/".removeprefix("file://")
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if root in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, parent)
