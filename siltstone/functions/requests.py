@@ -67,35 +67,62 @@ def categorise(df: DataFrame, query: str, entities: str | None = None) -> DataFr
     return df.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)
 
 
+# Parts of words that name a category, values of attributes that a text does not give, and tips.
+AI_PARTS = ("ai", "artificial intelligence", "tool", "generation")
+FUND_PARTS = ("mutual fund", "investment", "finance", "money")
+TOOL_DEFAULTS = {"use_case": "general purpose", "budget_range": "medium", "technical_expertise": "beginner"}
+FUND_DEFAULTS = {"risk_level": "medium", "time_horizon": "long-term", "amount_range": "medium", "investment_goal": "wealth creation"}
+UNSURE_TIP = "Consider providing more specific details for better results"
+TIPS = {
+    "ai_tools": ["Specify your budget range for more targeted recommendations", "Mention your technical expertise level"],
+    "mutual_funds": ["Consider your risk tolerance and investment timeline", "Specify your investment amount range"],
+}
+LAST_TIP = "Ask follow-up questions for more detailed information"
+REPHRASE_TIP = "Please try rephrasing your query"
+# End of the fixed values.
+
+
+def _has(text: Column, *parts: str) -> Column:
+    hit = F.lit(False)
+    for p in parts:
+        hit = hit | text.contains(p)
+    return hit
+
+
 def fallback_domain(text: Column) -> Column:
     """A category from parts of words alone."""
     low = F.lower(text)
-    return F.when(low.rlike("ai|artificial intelligence|machine learning|chatbot"), "ai_tools").when(low.rlike("mutual fund|invest|stock|portfolio|finance"), "mutual_funds").otherwise("general")
+    return F.when(_has(low, *AI_PARTS), "ai_tools").when(_has(low, *FUND_PARTS), "mutual_funds").otherwise("general")
 
 
 def fallback_attributes(text: Column, category: Column) -> Column:
-    """What is read off the text where nothing else gives it."""
+    """What is read off the text where nothing else gives it: a struct for each category, null for the others."""
     low = F.lower(text)
-    tool = F.when(low.rlike("image|picture|photo"), "image_generation").when(low.rlike("code|programming"), "code_generation").when(low.rlike("chat|conversation"), "chatbot").when(low.rlike("text|writing"), "text_generation").otherwise("general")
-    fund = F.when(low.contains("equity"), "equity").when(low.contains("debt"), "debt").when(low.contains("hybrid"), "hybrid").when(low.contains("index"), "index").otherwise("general")
-    return F.struct(F.when(category == "ai_tools", tool).alias("tool_type"), F.when(category == "mutual_funds", fund).alias("investment_type"), F.when(category == "general", F.create_map(F.lit("topic"), F.substr(text, F.lit(1), F.lit(100)))).alias("general"))
+    tool = F.when(_has(low, "image", "logo"), "image generation").when(_has(low, "text", "writing"), "text generation").when(_has(low, "code", "programming"), "code generation").otherwise("general")
+    fund = F.when(_has(low, "debt", "bond"), "debt").when(_has(low, "hybrid", "balanced"), "hybrid").otherwise("equity")
+    given = lambda values: [F.lit(v).alias(k) for k, v in values.items()]
+    none = F.array().cast("array<string>")
+    tools = F.struct(tool.alias("tool_type"), none.alias("features_required"), *given(TOOL_DEFAULTS))
+    funds = F.struct(fund.alias("investment_type"), *given(FUND_DEFAULTS))
+    general = F.struct(F.lit("query_processing").alias("intent"), none.alias("entities"), F.lit("").alias("context"), F.lit("general").alias("category"))
+    return F.struct(*[F.when(category == k, v).alias(k) for k, v in (("ai_tools", tools), ("mutual_funds", funds), ("general", general))])
 
 
 def suggestions(category: Column, confidence: Column) -> Column:
-    """T27."""
-    tips = F.array(
-        F.when(confidence < 0.7, "Add detail to the query"),
-        F.when(category == "ai_tools", "Name the task the tool is for"),
-        F.when(category == "mutual_funds", "Name the kind of fund, the risk and the term"),
-        F.when(category == "general", "Name a field of interest"),
-    )
-    return F.filter(tips, lambda t: t.isNotNull())
+    """A tip for unsure queries, two for each of the special categories, and one for all."""
+    tips = [F.when(confidence < REVIEW_BELOW, UNSURE_TIP), *[F.when(category == k, t) for k, own in TIPS.items() for t in own], F.lit(LAST_TIP)]
+    return F.filter(F.array(*tips), lambda t: t.isNotNull())
 
 
 def parsed_queries(df: DataFrame, query: str) -> DataFrame:
-    """Validated, categorised and assembled; rejected texts come out with the reason and no category."""
+    """Validated, categorised and assembled; rejected texts come out with the reason, unknown and sure of nothing."""
     out = df.withColumn("reject_reason", reject_reason(F.col(query)))
     out = categorise(out.withColumn("query_text", F.when(F.col("reject_reason").isNull(), sanitise(F.col(query)))), "query_text")
     good = F.col("reject_reason").isNull()
-    base = F.struct("query_text", F.col("confidence").alias("confidence_score"), "category")
-    return out.withColumns({"base_result": F.when(good, base), "attributes": F.when(good, fallback_attributes(F.col("query_text"), F.col("category"))), "suggestions": F.when(good, suggestions(F.col("category"), F.col("confidence")))})
+    base = lambda text, confidence, category: F.struct(text.alias("query_text"), confidence.alias("confidence_score"), category.alias("category"))
+    failed = F.array(F.concat(F.lit("Processing failed: "), F.col("reject_reason")), F.lit(REPHRASE_TIP))
+    return out.withColumns({
+        "base_result": F.when(good, base(F.col("query_text"), F.col("confidence"), F.col("category"))).otherwise(base(F.col(query), F.lit(0.0), F.lit("unknown"))),
+        "attributes": F.when(good, fallback_attributes(F.col("query_text"), F.col("category"))),
+        "suggestions": F.when(good, suggestions(F.col("category"), F.col("confidence"))).otherwise(failed),
+    })

@@ -95,41 +95,75 @@ def site_rank(relevance: Column, same_category: Column, confidence: Column) -> C
     return F.least(F.lit(1.0), first + F.lit(0.05) * confidence)
 
 
-def matches(text: Column, terms: Column) -> Column:
-    """How many of the terms the text has in it, in lower case."""
-    return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
+# What the relevance of a result to its category is read off, by category: domains, parts of domains, words.
+RESULT_DOMAINS = {
+    "ai_tools": ["github.com", "huggingface.co", "openai.com", "anthropic.com", "replicate.com", "stability.ai", "cohere.com", "together.ai", "perplexity.ai", "claude.ai", "chatgpt.com", "bard.google.com"],
+    "mutual_funds": ["morningstar.com", "moneycontrol.com", "valueresearchonline.com", "etmoney.com", "groww.in", "zerodha.com", "paytmmoney.com", "vanguard.com", "fidelity.com", "schwab.com", "blackrock.com"],
+}
+RESULT_HINTS = {"ai_tools": ["ai", "ml", "tech", "dev", "code"], "mutual_funds": ["finance", "money", "invest", "fund", "bank"]}
+RESULT_WORDS = {
+    "ai_tools": ["ai", "agent", "model", "llm", "neural", "machine learning", "deep learning", "nlp", "generative", "transformer", "gpt", "claude", "coding", "development", "programming", "software"],
+    "mutual_funds": ["fund", "nav", "return", "equity", "debt", "sip", "mutual", "investment", "portfolio", "expense ratio", "aum", "scheme", "retirement", "planning", "index", "etf"],
+}
+# End of the fixed values.
+SNIPPET_CHARS = 500
+
+
+def query_terms(query: Column) -> Column:
+    """Words of a query of over two characters, in lower case, as often as they come."""
+    return F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"(?U)\s+"), lambda w: F.length(w) > 2)
+
 
+def _own_words(category: Column) -> Column:
+    """The words of a category, none for others."""
+    out = F.array().cast("array<string>")
+    for name, own in RESULT_WORDS.items():
+        out = F.when(category == name, F.array(*map(F.lit, own))).otherwise(out)
+    return out
 
-def title_relevance(title: Column, terms: Column) -> Column:
-    """By the number of terms in the title; 0 for none to look at."""
-    n = matches(title, terms)
+
+def title_relevance(title: Column, query: Column, category: Column) -> Column:
+    """By how many different terms of the query and words of the category the title has in it; 0 for no title."""
+    low = F.lower(title)
+    inside = lambda words: F.size(F.filter(words, lambda w: F.contains(low, w)))
+    n = inside(F.array_distinct(query_terms(query))) + inside(_own_words(category))
     return F.when(F.coalesce(title, F.lit("")) == "", 0.0).when(n >= 3, 0.9).when(n == 2, 0.7).when(n == 1, 0.5).otherwise(0.3)
 
 
-def snippet_relevance(snippet: Column, terms: Column, n_words: Column) -> Column:
-    """By how often terms stand in the snippet, in all and to a word."""
-    text = F.lower(snippet)
-    n = F.aggregate(terms, F.lit(0), lambda a, t: a + F.regexp_count(text, F.concat(F.lit(r"\Q"), F.lower(t), F.lit(r"\E"))))
-    density = n / F.greatest(F.lit(1), n_words)
-    return F.when(F.coalesce(snippet, F.lit("")) == "", 0.0).when((density > 0.1) | (n >= 5), 0.8).when((density > 0.05) | (n >= 3), 0.6).when(n >= 1, 0.4).otherwise(0.2)
+def snippet_relevance(content: Column, query: Column, category: Column, most: int = SNIPPET_CHARS) -> Column:
+    """By how often terms and words of the category stand in the first `most` characters, in all and to a word."""
+    text = F.lower(F.substr(F.coalesce(content, F.lit("")), F.lit(1), F.lit(most)))
+    # an empty term can not come: query_terms and the words of categories are longer
+    times = lambda w: ((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("int")
+    n = F.aggregate(F.concat(query_terms(query), _own_words(category)), F.lit(0), lambda a, w: a + times(w))
+    words = F.size(F.array_remove(F.split(text, r"(?U)\s+"), ""))
+    density = n / words
+    return F.when(words == 0, 0.0).when((density > 0.1) | (n >= 5), 0.8).when((density > 0.05) | (n >= 3), 0.6).when((density > 0.02) | (n >= 1), 0.4).otherwise(0.2)
 
 
 def url_relevance(domain: Column, category: Column) -> Column:
-    """A known domain, one that holds or is held by a known one, or another; 0.5 for general queries."""
-    exact = near = F.lit(False)
-    for name in ("ai_tools", "mutual_funds"):
-        own = category == name
-        exact = exact | (own & domain.isin(DOMAINS[name]))
-        for d in DOMAINS[name]:
-            near = near | (own & (domain.contains(d) | ((domain != "") & F.contains(F.lit(d), domain))))
-    hint = ((category == "ai_tools") & domain.rlike("ai|tech|tool")) | ((category == "mutual_funds") & domain.rlike("fund|invest|finance"))
-    return F.when(category == "general", 0.5).when(exact, 0.9).when(near, 0.8).when(hint, 0.6).otherwise(0.3)
+    """A known domain without `www.`, one that holds or is held by a known one, one with a hint; 0.5 for general queries."""
+    host = F.regexp_replace(F.lower(domain), r"^www\.", "")
+    out = F.lit(0.5)
+    for name, known in RESULT_DOMAINS.items():
+        near = _any_of(host, known)
+        for d in known:
+            near = near | F.contains(F.lit(d), host)
+        out = F.when(category == name, F.when(host.isin(known), 0.9).when(near, 0.8).when(_any_of(host, RESULT_HINTS[name]), 0.6).otherwise(0.3)).otherwise(out)
+    return out
 
 
 def overall_relevance(url: Column, title: Column, snippet: Column) -> Column:
+    """T30."""
     return F.lit(0.3) * url + F.lit(0.3) * title + F.lit(0.4) * snippet
 
 
+def relevance_issues(url: Column, title: Column, snippet: Column) -> Column:
+    """The parts that score under 0.5, with their scores."""
+    low = lambda name, c: F.when(c < 0.5, F.concat(F.lit(f"Low {name} relevance: "), F.format_number(c, 2)))
+    return F.array_compact(F.array(low("URL", url), low("title", title), low("content", snippet)))
+
+
 def extraction_quality(content: Column, title: Column, description: Column, author: Column, date: Column) -> Column:
     """H12."""
     n = F.length(content)

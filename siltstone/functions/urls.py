@@ -48,11 +48,16 @@ def fingerprint(url: Column) -> Column:
 
 
 def validate_lists(urls: DataFrame, request: str, url: str, position: str, most: int = 50) -> DataFrame:
-    """Adds `reason`: why a URL of a request's list is rejected, null if it is not."""
+    """Adds `reason`: why a URL of a request's list is rejected, null if it is not. Positions of a request differ.
+
+    The last position that is within the limit is all that is kept of a request.
+    """
     place = F.row_number().over(W.partitionBy(request).orderBy(position))
+    within = urls.select(request, position).withColumn("__place", place).where(F.col("__place") <= most)
+    last = within.groupBy(F.col(request).alias("__request")).agg(F.max(position).alias("__last"))
     u = F.trim(F.col(url))
-    why = F.when(place > most, "too_many").when(u.isNull() | (u == ""), "blank").when(~u.rlike("(?i)^https?://"), "scheme").when(netloc(u) == "", "host")
-    return urls.withColumn("reason", why)
+    why = F.when(F.col(position) > F.col("__last"), "too_many").when(u.isNull() | (u == ""), "blank").when(~u.rlike("(?i)^https?://"), "scheme").when(netloc(u) == "", "host")
+    return urls.join(last, F.col(request).eqNullSafe(F.col("__request")), "left").withColumn("reason", why).drop("__request", "__last")
 
 
 def robots_rules(files: DataFrame, host: str = "host", text: str = "robots") -> DataFrame:

@@ -178,4 +178,11 @@ def table_profile(tables: dict[str, DataFrame], required: list[str], sizes: dict
             row = spark.range(1).select(F.lit(name).alias("table"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("double").alias("average_size"))
         out = row if out is None else out.unionByName(row)
     status = F.when(F.col("rows").isNull(), "unhealthy").when(F.col("rows") == 0, "degraded").otherwise("healthy")
-    return out.withColumn("status", status)
+    return out.withColumns({"status": status, "has_sample": F.coalesce(F.col("rows") > 0, F.lit(False))})
+
+
+def overall_health(parts: DataFrame, status: str = "status") -> DataFrame:
+    """The worst of all statuses, healthy < degraded < unhealthy, with how many parts have each; unknown ones are unhealthy."""
+    level = F.when(F.col(status) == "healthy", 0).when(F.col(status) == "degraded", 1).otherwise(2)
+    worst = F.element_at(F.array(*map(F.lit, ("healthy", "degraded", "unhealthy"))), F.coalesce(F.max(level), F.lit(0)) + 1)
+    return parts.agg(worst.alias("status"), *[F.count_if(level == i).alias(name) for i, name in enumerate(("healthy", "degraded", "unhealthy"))])

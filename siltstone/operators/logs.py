@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone.operators.prefix import global_totals
+from siltstone.sources.tables import written
+
 #: Upper bounds of a duration histogram in seconds, fixed values of the metrics format.
-BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)
+BUCKETS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
 
 def endpoint_metrics(requests: DataFrame, slow_ms: float = 5000.0) -> DataFrame:
@@ -31,29 +34,59 @@ def histogram(requests: DataFrame, buckets: Sequence[float] = BUCKETS) -> DataFr
     return wide.select("path", "total_seconds", F.inline(rows))
 
 
+def counters(requests: DataFrame, by: str, amount: Column, resets: DataFrame) -> DataFrame:
+    """Counters by name: the sum of what came since the last reset; `resets` (by, ts) may lack names.
+
+    `resets` is joined by name; its last row of a name counts.
+    """
+    last = resets.groupBy(F.col(by).alias("__by")).agg(F.max("ts").alias("__reset"))
+    since = requests.join(last, F.col(by) == F.col("__by"), "left")
+    counted = F.when(F.col("__reset").isNull() | (F.col("ts") >= F.col("__reset")), amount).otherwise(0)
+    return since.groupBy(by).agg(F.sum(counted).alias("value"), F.max("__reset").alias("reset_at"))
+
+
+def gauges(samples: DataFrame, by: str, value: str, key: str) -> DataFrame:
+    """Gauges by name: the value that was set last."""
+    return samples.groupBy(by).agg(F.max_by(value, F.struct("ts", key)).alias("value"), F.max("ts").alias("set_at"))
+
+
+def ranked_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, v, c, before, n): each different value of a group, its rows, the rows below it, and the group's.
+
+    Counts come first and are then totalled by ranges of (group, value), so that a group of any size is no task's own.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    total = global_totals(counts, [F.col(group), F.col("v")], {"below": F.col("c")})
+    heads = total.groupBy(F.col(group).alias("__g")).agg(F.min("below").alias("start"), F.sum("c").alias("n"))
+    return total.join(heads, F.col(group).eqNullSafe(F.col("__g"))).select(group, "v", "c", (F.col("below") - F.col("start")).alias("before"), "n")
+
+
 def percentiles_nearest(df: DataFrame, group: str, value: str, ps: Sequence[int] = (50, 95, 99)) -> DataFrame:
     """The value at place min(int(n * p / 100), n - 1) of the sorted ones, by ranks, without gathering a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = W.partitionBy(group).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.select(group, "v", F.sum("c").over(upto).alias("upto"), F.sum("c").over(W.partitionBy(group)).alias("n"))
     at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return ranked.groupBy(group).agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{p}") for p in ps], F.max("n").alias("n"))
+    here = lambda p: (F.col("before") <= at(p)) & (at(p) < F.col("before") + F.col("c"))
+    return ranked_values(df, group, value).groupBy(group).agg(*[F.max(F.when(here(p), F.col("v"))).alias(f"p{p}") for p in ps], F.max("n").alias("n"))
 
 
-def percentiles_linear(df: DataFrame, group: str, value: str, ps: Sequence[int] = (50, 90, 95, 99), approximate: bool = False) -> DataFrame:
-    """Interpolated at (n - 1) p / 100. percentile() keeps a count for each value; percentile_approx is bounded."""
-    of = (lambda p: F.percentile_approx(value, p / 100)) if approximate else (lambda p: F.percentile(value, F.lit(p / 100)))
-    return df.groupBy(group).agg(*[of(p).alias(f"p{p}") for p in ps], F.count(value).alias("n"))
+def percentiles_linear(df: DataFrame, group: str, value: str, ps: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
+    """Interpolated at (n - 1) p / 100, by ranks, without gathering a group. Groups without a value are absent."""
+    place = lambda p: (F.col("n") - 1) * p / F.lit(100.0)
+    here = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("c"))
+    ends = [F.max(F.when(here(end(place(p))), F.col("v"))).alias(f"{k}{p}") for p in ps for k, end in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked_values(df, group, value).groupBy(group).agg(*ends, F.max("n").alias("n"))
+    between = lambda p: F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * (place(p) - F.floor(place(p)))
+    return found.select(group, *[between(p).alias(f"p{p}") for p in ps], "n")
 
 
 def load_summary(requests: DataFrame) -> DataFrame:
     """By scenario: success rate, durations, cache hits and throttled requests in percent."""
     n, d = F.count(F.lit(1)), F.col("duration_ms")
     percent = lambda c: F.lit(100.0) * F.count_if(c) / n
-    return requests.groupBy("scenario").agg(
+    out = requests.groupBy("scenario").agg(
         n.alias("requests"), percent(F.col("status") < 400).alias("success_rate"), F.min(d).alias("least_ms"), F.max(d).alias("most_ms"), F.avg(d).alias("average_ms"),
-        F.percentile(d, F.lit(0.5)).alias("p50"), F.percentile(d, F.lit(0.95)).alias("p95"), percent(F.col("cache") == "HIT").alias("cache_hit_rate"), percent(F.col("status") == 429).alias("throttled_rate"),
+        percent(F.col("cache") == "HIT").alias("cache_hit_rate"), percent(F.col("status") == 429).alias("throttled_rate"),
     )
+    return out.join(percentiles_linear(requests, "scenario", "duration_ms", (50, 95)).drop("n"), "scenario", "left")
 
 
 def cache_efficiency(requests: DataFrame) -> DataFrame:
@@ -67,9 +100,16 @@ def cache_efficiency(requests: DataFrame) -> DataFrame:
 
 
 def rate_limit_behaviour(flagged: DataFrame, limit: int) -> DataFrame:
-    """Of requests with `blocked` and `in_window`: sent, blocked, block rate, and those over the limit that passed."""
+    """Of requests with `blocked` and `in_window`: sent, blocked, block rate, and those over the limit that passed.
+
+    With `remaining`, what an answer's header says is left, answers whose header is absent or wrong are counted too.
+    """
     n = F.count(F.lit(1))
-    return flagged.groupBy("client").agg(n.alias("sent"), F.count_if("blocked").alias("blocked"), (F.lit(100.0) * F.count_if("blocked") / n).alias("block_rate"), F.count_if((F.col("in_window") > limit) & ~F.col("blocked")).alias("passed_over_limit"))
+    out = [n.alias("sent"), F.count_if("blocked").alias("blocked"), (F.lit(100.0) * F.count_if("blocked") / n).alias("block_rate"), F.count_if((F.col("in_window") > limit) & ~F.col("blocked")).alias("passed_over_limit")]
+    if "remaining" in flagged.columns:
+        right = F.col("remaining") == F.greatest(F.lit(0), F.lit(limit) - F.col("in_window"))
+        out.append(F.count_if(~F.coalesce(right, F.lit(False))).alias("header_failures"))
+    return flagged.groupBy("client").agg(*out)
 
 
 def memory_growth(samples: DataFrame, by: str, ts: str, mb: str, leak_mb: float = 10.0, per: int = 100, peak_mb: float = 1000.0) -> DataFrame:
@@ -90,9 +130,8 @@ def pool_utilisation(samples: DataFrame, by: str, used: str, size: str, full: fl
 
 def stage_report(timings: DataFrame, stage: str, value: str, limits: dict[str, float], default_limit: float) -> DataFrame:
     """By stage: spread, percentiles, outliers over p95, advice and status against the stage's limit."""
-    stats = timings.groupBy(stage).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"),
-    )
+    stats = timings.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    stats = written(stats.join(percentiles_linear(timings, stage, value, (50, 95)).drop("n").withColumnRenamed("p50", "median"), stage, "left"), "stages")
     over = timings.join(stats.select(stage, "p95"), stage).where(F.col(value) > F.col("p95")).groupBy(stage).agg(F.count(F.lit(1)).alias("outliers"))
     limit = F.lit(float(default_limit))
     for name, x in limits.items():
@@ -108,9 +147,10 @@ def stage_status(value: Column, limit: Column) -> Column:
 
 
 def stage_shares(timings: DataFrame, request: str, value: str) -> DataFrame:
-    """Each stage's part of its request's time, in percent."""
-    total = F.sum(value).over(W.partitionBy(request))
-    return timings.withColumn("percent_of_total", F.when(total > 0, F.lit(100.0) * F.col(value) / total).otherwise(0.0))
+    """Each stage's part of its request's time, in percent. Rows without a request have no total, and 0."""
+    totals = timings.groupBy(F.col(request).alias("__request")).agg(F.sum(value).alias("__total"))
+    share = F.when(F.col("__total") > 0, F.lit(100.0) * F.col(value) / F.col("__total")).otherwise(0.0)
+    return timings.join(totals, F.col(request) == F.col("__request"), "left").withColumn("percent_of_total", share).drop("__request", "__total")
 
 
 def success_summary(requests: DataFrame) -> DataFrame:
@@ -120,12 +160,21 @@ def success_summary(requests: DataFrame) -> DataFrame:
     return requests.agg(n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), F.when(n > 0, F.bround(ok / n, 3)).otherwise(0.0).alias("success_rate"))
 
 
-def error_patterns(requests: DataFrame, examples: int = 3) -> DataFrame:
-    """Errors by path with the first examples by id: found by rank, so that no path's errors are gathered."""
+def error_patterns(requests: DataFrame, kind: str = "path", site: str = "client", key: str = "event_id", message: str | None = None, examples: int = 3) -> DataFrame:
+    """Errors by their type: how many, on how many sites, the first examples, and the success rate of all requests.
+
+    Examples are the messages, or keys, of the errors that come first by key: found by rank, so that no type's errors
+    are gathered.
+    """
     errors = requests.where(F.col("status") >= 400)
-    first = errors.withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy("event_id"))).where(F.col("rank") <= examples)
-    named = first.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("examples"))
-    return errors.groupBy("path").agg(F.count(F.lit(1)).alias("errors"), F.count_distinct("client").alias("clients")).join(named, "path")
+    first = errors.withColumn("rank", F.row_number().over(W.partitionBy(kind).orderBy(key))).where(F.col("rank") <= examples)
+    said = F.col(message or key).cast("string").alias("said")
+    named = first.groupBy(F.col(kind).alias("__kind")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", said))), lambda x: x["said"]), ",").alias("examples"))
+    overall = requests.agg(F.try_divide(F.count_if(F.col("status") < 400), F.count(F.lit(1))).alias("overall_success_rate"))
+    out = errors.groupBy(kind).agg(F.count(F.lit(1)).alias("errors"), F.count_distinct(site).alias("sites"))
+    # one row of one number meets every type over a constant key
+    out = out.join(named, F.col(kind).eqNullSafe(F.col("__kind"))).drop("__kind").withColumn("__one", F.lit(1))
+    return out.join(F.broadcast(overall.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
 def window_counts(requests: DataFrame, seconds: int = 60) -> DataFrame:
@@ -162,22 +211,38 @@ def polite_schedule(requests: DataFrame, by: str, delay: float, duration: str |
     return out.withColumn("start", start).withColumn("wait", F.col("start") - F.col("arrival")).drop("__before")
 
 
-def degradation(requests: DataFrame, by: str, value: str, limit: float = 20.0) -> DataFrame:
-    """The mean of the second half against the first, in order of arrival."""
-    place = F.row_number().over(W.partitionBy(by).orderBy("ts", "event_id"))
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
-    halves = requests.select(by, value, (place <= F.floor(n / 2)).alias("first"))
+def degradation(requests: DataFrame, by: str, value: str, limit: float = 20.0, key: str = "event_id") -> DataFrame:
+    """The mean of the second half against the first, in order of arrival.
+
+    Places come from ranges of (by, ts, key), so that the requests of a path are spread over tasks.
+    """
+    placed = global_totals(requests.select(by, "ts", key, value), [F.col(by), F.col("ts"), F.col(key)], {"place": F.lit(1).cast("long")})
+    heads = placed.groupBy(F.col(by).alias("__by")).agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    first = F.col("place") - F.col("start") < F.floor(F.col("n") / 2)
+    halves = placed.join(heads, F.col(by).eqNullSafe(F.col("__by"))).select(by, value, first.alias("first"))
     out = halves.groupBy(by).agg(F.avg(F.when(F.col("first"), F.col(value))).alias("first_half"), F.avg(F.when(~F.col("first"), F.col(value))).alias("second_half"))
     change = F.when(F.col("first_half") > 0, F.lit(100.0) * (F.col("second_half") - F.col("first_half")) / F.col("first_half")).otherwise(0.0)
     return out.withColumn("change_percent", change).withColumn("degraded", F.col("change_percent") > limit)
 
 
+#: Growth from one snapshot to the next beyond which a resource leaks, fixed values.
+LEAK_FACTORS = {"memory_mb": 1.1, "open_files": 1.5, "threads": 1.2}
+
+
 def leaks(samples: DataFrame, by: str, ts: str, id_col: str, value: str, factor: float = 1.1) -> DataFrame:
-    """Samples that are over `factor` times the one before."""
+    """W12 for one resource: samples that are over `factor` times the one before."""
     before = F.lag(value).over(W.partitionBy(by).orderBy(ts, id_col))
     return samples.withColumn("before", before).withColumn("leak", F.coalesce(F.col(value) > F.lit(factor) * F.col("before"), F.lit(False)))
 
 
+def leak_warnings(snapshots: DataFrame, by: str, ts: str, key: str, factors: dict[str, float] = LEAK_FACTORS) -> DataFrame:
+    """Adds `warnings`, the resources of `factors` that grew beyond their factor since the snapshot before."""
+    order = W.partitionBy(by).orderBy(ts, key)
+    out = snapshots.withColumn("__before", F.lag(F.struct(*factors)).over(order))
+    grown = [F.when(F.col(c) > F.lit(f) * F.col("__before")[c], c) for c, f in factors.items()]
+    return out.withColumn("warnings", F.array_compact(F.array(*grown))).drop("__before")
+
+
 def fetch_stats(requests: DataFrame, by: str, delay: float = 1.0) -> DataFrame:
     """Fetches by domain: how many, the last time, and the delay that holds."""
     return requests.groupBy(by).agg(F.count(F.lit(1)).alias("fetches"), F.max("ts").alias("last_fetch"), F.lit(float(delay)).alias("delay"))
@@ -205,29 +270,62 @@ def compare_stages(base: DataFrame, now: DataFrame, key: str, value: str) -> Dat
     return both.withColumns({"difference": F.col("current") - F.col("baseline"), "change_percent": change})
 
 
-def advice(requests: DataFrame) -> DataFrame:
-    """One row for each finding of the other analyses."""
-    slow = degradation(requests, "scenario", "duration_ms").where("degraded").select("scenario", F.lit("degradation").alias("finding"))
-    cache = cache_efficiency(requests).where("low_hit_rate").select("scenario", F.lit("low cache hit rate").alias("finding"))
-    hits = cache_efficiency(requests).where("slow_hits").select("scenario", F.lit("cache hits are slow").alias("finding"))
-    failing = load_summary(requests).where("success_rate < 95").select("scenario", F.lit("failures").alias("finding"))
-    return slow.unionByName(cache).unionByName(hits).unionByName(failing)
+def advice(requests: DataFrame, memory: DataFrame | None = None, pools: DataFrame | None = None) -> DataFrame:
+    """One row for each finding of the other analyses: slower second halves, over a tenth of outliers, few or slow
+    cache hits, failures, memory that leaks (of `memory_growth`), pools that are full (of `pool_utilisation`).
+    """
+    finding = lambda df, where, text, name="scenario": df.where(where).select(F.col(name).cast("string").alias("scenario"), F.lit(text).alias("finding"))
+    cache, load = cache_efficiency(requests), load_summary(requests)
+    limits = written(load.select(F.col("scenario").alias("__s"), "p95"), "p95")
+    beyond = requests.join(F.broadcast(limits), F.col("scenario") == F.col("__s")).groupBy("scenario").agg((F.lit(100.0) * F.count_if(F.col("duration_ms") > F.col("p95")) / F.count(F.lit(1))).alias("outliers_percent"))
+    parts = [
+        finding(degradation(requests, "scenario", "duration_ms"), "degraded", "degradation"), finding(beyond, "outliers_percent > 10", "many outliers"), finding(cache, "low_hit_rate", "low cache hit rate"),
+        finding(cache, "slow_hits", "cache hits are slow"), finding(load, "success_rate < 95", "failures"),
+    ]
+    if memory is not None:
+        parts.append(finding(memory, "leak", "memory leak", memory.columns[0]))
+    if pools is not None:
+        parts.append(finding(pools, "saturated", "pool saturated", pools.columns[0]))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def version_metrics(runs: DataFrame) -> DataFrame:
     """By prompt type and version: uses, success rate, mean time, and mean confidence of the runs that have one."""
     return runs.groupBy("prompt_type", "version_id").agg(
         F.count(F.lit(1)).alias("uses"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("response_time").alias("mean_time"), F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"), F.max("created_at").alias("last_used"),
+        F.min("created_at").alias("created_at"),
+    )
+
+
+def version_summary(metrics: DataFrame) -> DataFrame:
+    """By prompt type, and of all in a row without type: versions, uses, success rate of all uses, mean of the mean times."""
+    parts = metrics.cube("prompt_type").agg(
+        F.count(F.lit(1)).alias("versions"), F.sum("uses").alias("total_uses"), F.try_divide(F.sum(F.col("success_rate") * F.col("uses")), F.sum("uses")).alias("success_rate"), F.avg("mean_time").alias("mean_time"), F.grouping("prompt_type").alias("all_types"),
     )
+    return parts.withColumn("success_rate", F.coalesce("success_rate", F.lit(0.0)))
 
 
-def best_versions(metrics: DataFrame, as_of: str, least_uses: int = 5, match: Column | None = None) -> DataFrame:
-    """Per type the version of most 0.6 success + 0.4 confidence + recency (0.1, falling over 30 days) + 0.2 match."""
-    age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_used")) / F.lit(86400.0))
-    recency = F.greatest(F.lit(0.0), F.lit(0.1) * (F.lit(1.0) - age / F.lit(30.0)))
+def best_versions(metrics: DataFrame, as_of: str, least_uses: int = 5, match: Column | None = None, active: Column | None = None) -> DataFrame:
+    """Per type the active version of most 0.6 success + 0.4 confidence + recency + 0.2 match, 1 at most.
+
+    Recency falls from 0.1 to 0 over 30 whole days since the version was made. Of equal scores the oldest version.
+    """
+    seconds = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("created_at")
+    days = F.floor(seconds / F.lit(86_400_000_000))
+    recency = F.greatest(F.lit(0.0), F.lit(1.0) - days / F.lit(30.0)) * F.lit(0.1)
     score = F.least(F.lit(1.0), F.lit(0.6) * F.col("success_rate") + F.lit(0.4) * F.col("mean_confidence") + recency + F.lit(0.2) * (F.lit(0.0) if match is None else match))
-    scored = metrics.where(F.col("uses") >= least_uses).withColumn("score", score)
-    return scored.groupBy("prompt_type").agg(F.max_by("version_id", F.struct("score", "version_id")).alias("version_id"), F.max("score").alias("score"))
+    scored = metrics.where((F.col("uses") >= least_uses) & (F.lit(True) if active is None else active)).withColumn("score", score)
+    return scored.groupBy("prompt_type").agg(F.max_by("version_id", F.struct("score", -F.unix_micros("created_at"))).alias("version_id"), F.max("score").alias("score"))
+
+
+def characteristics_match(actual: Column, expected: Column) -> Column:
+    """The share of the numbers in map `expected` that map `actual` has within a fifth; of those in both."""
+    both = F.filter(F.map_entries(expected), lambda e: F.map_contains_key(actual, e["key"]))
+    near = F.filter(both, lambda e: F.abs(F.try_element_at(actual, e["key"]) - e["value"]) <= F.lit(0.2) * e["value"])
+    return F.coalesce(F.try_divide(F.size(near), F.size(both)), F.lit(0.0))
 
 
 def weighted_choice(rows: DataFrame, versions: DataFrame, row_id: str) -> DataFrame:

@@ -26,10 +26,14 @@ def top_per_group(df: DataFrame, group: str, scores_: Sequence[str], key: str, n
 
 
 def limited(df: DataFrame, group: str, order: list[Column], n: int = 50) -> DataFrame:
-    """The first n rows of each group, with the number there were and whether rows were left out."""
-    w = W.partitionBy(group)
-    out = df.withColumns({"__p": F.row_number().over(w.orderBy(*order)), "original_count": F.count(F.lit(1)).over(w)})
-    return out.where(F.col("__p") <= n).withColumn("limited", F.col("original_count") > n).drop("__p")
+    """The first n rows of each group, with the number there were and whether rows were left out.
+
+    Counts are an aggregate of their own, so that only the first n of a group need meet in one task.
+    """
+    counts = df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("original_count"))
+    first = df.withColumn("__p", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("__p") <= n)
+    out = first.join(counts, F.col(group).eqNullSafe(F.col("__group"))).drop("__group", "__p")
+    return out.withColumn("limited", F.col("original_count") > n)
 
 
 def final_ranking(df: DataFrame, key: str, quality: str, relevance: str, least: float) -> DataFrame:

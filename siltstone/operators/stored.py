@@ -103,6 +103,45 @@ def content_rules() -> dict[str, Column]:
     }
 
 
+#: Stages that a response reports, fixed values; the last one where results are stored.
+STAGES = ("query_processing", "web_scraping", "ai_processing", "database_storage")
+
+
+def response_rules(stored: bool = True) -> dict[str, Column]:
+    """The contract of a response: query, results, analytics, execution_metadata and error (all may be null), status.
+
+    query has text, category and confidence_score; results total_items, processed_items, success_rate and contents
+    (array of url and content); analytics pages_scraped and processing_time_breakdown; execution_metadata
+    execution_time_ms and stages_timing; error code, message and details (array of error_code and message).
+    """
+    there = lambda c: F.col(c).isNotNull()
+    or_null = lambda c, rule: F.col(c).isNull() | rule
+    least_0 = lambda c: or_null(c, F.col(c) >= 0)
+    unit = lambda c: or_null(c, F.col(c).between(0.0, 1.0))
+    times = lambda c: or_null(c, F.forall(F.map_values(c), lambda t: F.coalesce(t >= 0, F.lit(False))))
+    timing = "execution_metadata.stages_timing"
+    ok = F.col("status") == "success"
+    unless = lambda when, rule: ~F.coalesce(when, F.lit(False)) | rule
+    needed = {f"no {c}": unless(ok, F.col(c).isNotNull()) for c in (
+        "query.text", "query.category", "query.confidence_score", "results.total_items", "results.processed_items", "results.success_rate", "analytics.pages_scraped", "analytics.processing_time_breakdown",
+        "execution_metadata.execution_time_ms",
+    )}
+    stages = {f"no stage {x}": or_null(timing, F.map_contains_key(timing, F.lit(x))) for x in STAGES[: len(STAGES) - (not stored)]}
+    return {
+        "no status": there("status"), **needed, **stages, "empty category": or_null("query.category", F.col("query.category") != ""), "confidence out of range": unit("query.confidence_score"),
+        "negative total": least_0("results.total_items"), "negative processed": least_0("results.processed_items"), "success rate out of range": unit("results.success_rate"),
+        "content without url or text": or_null("results.contents", F.forall("results.contents", lambda x: x["url"].isNotNull() & x["content"].isNotNull())),
+        "negative pages": least_0("analytics.pages_scraped"), "negative breakdown": times("analytics.processing_time_breakdown"), "negative execution time": least_0("execution_metadata.execution_time_ms"),
+        "negative stage time": times(timing), "error without code or message": unless(~ok, there("error.code") & there("error.message")),
+        "error detail incomplete": or_null("error.details", F.forall("error.details", lambda x: x["error_code"].isNotNull() & x["message"].isNotNull())),
+    }
+
+
+def response_violations(responses: DataFrame, key: str, stored: bool = True) -> DataFrame:
+    """(key, violation): a row for each rule that a response breaks."""
+    return violations(responses, response_rules(stored)).select(key, F.explode("violations").alias("violation"))
+
+
 def size_guard(pages: DataFrame, limit: int = 10_485_760) -> tuple[DataFrame, DataFrame]:
     """Pages up to the limit, and an error row for each larger one."""
     size = F.octet_length(F.coalesce("html", F.lit("")))

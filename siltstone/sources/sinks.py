@@ -17,9 +17,9 @@ def append(df: DataFrame, name: str, path: str, day: str | None = None) -> None:
         out.withColumn("day", F.to_date(day)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def load_tests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests out of JSON documents of load tests, in rows."""
-    runs = spark.read.schema(LOAD_TEST).option("multiLine", True).json(path)
+def load_tests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Requests out of JSON documents of load tests, one a file or one a line, in rows."""
+    runs = spark.read.schema(LOAD_TEST).option("multiLine", not lines).json(path)
     return runs.select("scenario", "started", F.posexplode("requests").alias("request", "r")).select("scenario", "started", "request", "r.*")
 
 

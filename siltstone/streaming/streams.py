@@ -20,20 +20,25 @@ from siltstone.operators.stored import save_content
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: int | None = 1, names: str = "events*.parquet") -> DataFrame:
-    """Events out of the parquet tables of a folder with such names, as they arrive; ts is event time.
+def table_stream(spark: SparkSession, folder: str, schema: str, names: str, files: int | None = 1) -> DataFrame:
+    """Rows of the parquet tables of a folder with such names, as they arrive.
 
     A table is a file, or a folder of part files: files are watched in `folder` itself, part files in each folder that
     is there when the stream starts. With `files` of None all that is there makes one micro-batch.
     """
     at_once = {"maxFilesPerTrigger": files} if files else {}
-    source = lambda path, only: spark.readStream.schema(EVENTS).options(pathGlobFilter=only, **at_once).parquet(path)
+    source = lambda path, only: spark.readStream.schema(schema).options(pathGlobFilter=only, **at_once).parquet(path)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{names}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     rows = source(folder, names)
     for f in sorted(f.getPath().toString() for f in found if f.isDirectory()):
         rows = rows.unionByName(source(f, "*"))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows
+
+
+def event_stream(spark: SparkSession, folder: str, files: int | None = 1, names: str = "events*.parquet") -> DataFrame:
+    """Events as they arrive; ts is event time."""
+    return table_stream(spark, folder, EVENTS, names, files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -60,7 +65,7 @@ def first_of_content(content: DataFrame, late: str = "1 day") -> DataFrame:
     return content.withColumn("content_hash", content_hash(F.coalesce("content", F.lit("")))).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def save_batches(content: DataFrame, path: str, checkpoint: str):
+def save_batches(content: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """ST3, exact: each micro-batch is joined with what is stored, and appended with its duplicates named.
 
     A batch that is run again after a failure finds its own rows stored: these are left out by id.
@@ -74,7 +79,7 @@ def save_batches(content: DataFrame, path: str, checkpoint: str):
         stored = spark.read.parquet(path) if there else spark.createDataFrame([], "_id bigint, content_hash string")
         save_content(batch.join(stored.select("_id"), "_id", "left_anti"), stored.select("_id", "content_hash")).write.mode("append").parquet(path)
 
-    return content.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).start()
+    return content.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -104,17 +109,63 @@ def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     return kept.applyInPandasWithState(judge, "user_id bigint, event_id bigint, in_window bigint, blocked boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cached_results(rows: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
-    """ST6: the last value of each key that arrives, until it is `seconds` old."""
+def cached_results(rows: DataFrame, key: str, value: str, seconds: int, late: str = "1 minute") -> DataFrame:
+    """ST6: the last value of each key by event time `ts`, until the watermark is `seconds` past it; then it expires.
+
+    A row that is older than the one that is held has no effect; equal times go by value.
+    """
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        name = str(k[0])
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"key": [str(k[0])], "value": [None], "expired": [True]})
+            yield pd.DataFrame({"key": [name], "value": [None], "expired": [True]})
             return
-        last = pd.concat(list(batches)).sort_values("ts").iloc[-1]
-        state.update((str(last[value]),))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"key": [str(k[0])], "value": [str(last[value])], "expired": [False]})
+        new = pd.concat(list(batches)).sort_values(["ts", value]).iloc[-1]
+        at = int(new["ts"].value // 1000)
+        if state.exists and state.get[1] > at:
+            return
+        state.update((str(new[value]), at))
+        state.setTimeoutTimestamp(max(at // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [name], "value": [str(new[value])], "expired": [False]})
+
+    kept = rows.withWatermark("ts", late).groupBy(key)
+    return kept.applyInPandasWithState(keep, "key string, value string, expired boolean", "value string, at bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
-    return rows.groupBy(key).applyInPandasWithState(keep, "key string, value string, expired boolean", "value string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+def session_states(actions: DataFrame, idle: int = 1800, late: str = "1 minute") -> DataFrame:
+    """ST4 by explicit ids: sessions out of (session_id, ts, seq, action, ok), action being create, update or end.
+
+    A session begins with its first action, whichever that is; it comes out when it ends, as completed, or when the
+    watermark is `idle` seconds past its last action, as expired. An action after the end begins another one.
+    """
+    out = "session_id string, start_time timestamp, end_time timestamp, actions bigint, successful bigint, status string"
+
+    def row(key: str, held: list[int], status: str) -> tuple:
+        return key, pd.Timestamp(held[0], unit="us"), pd.Timestamp(held[1], unit="us"), held[2], held[3], status
+
+    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, key, done = ["session_id", "start_time", "end_time", "actions", "successful", "status"], str(k[0]), []
+        held = list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([row(key, held, "expired")], columns=names)
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        for at, action, ok in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["action"], rows["ok"], strict=True):
+            held = held or [int(at), int(at), 0, 0]
+            held = [held[0], max(held[1], int(at)), held[2] + 1, held[3] + int(ok)]
+            if action == "end":
+                done.append(row(key, held, "completed"))
+                held = None
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(max(held[1] // 1000 + idle * 1000, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame(done, columns=names)
+
+    kept = actions.withWatermark("ts", late).groupBy("session_id")
+    return kept.applyInPandasWithState(follow, out, "first bigint, last bigint, actions bigint, successful bigint", "append", GroupStateTimeout.EventTimeTimeout)
