@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.plans import page_queries, stats_queries, text_queries
+from siltstone.plans import page_queries, record_queries, stats_queries, text_queries
 from siltstone.plans.rounding import COLUMNS, DIGITS
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (stats_queries, text_queries, page_queries)
+_PARTS = (stats_queries, text_queries, page_queries, record_queries)
 
 
 def _rounded(name: str, query: Query) -> Query:

@@ -14,7 +14,7 @@ from siltstone.operators.stored import size_guard
 from siltstone.plans import pipeline
 from siltstone.sources import adapters as ad
 from siltstone.sources import html
-from siltstone.sources.tables import shared_dir, table
+from siltstone.sources.tables import fresh, table
 from siltstone.streaming import streams
 
 
@@ -67,11 +67,18 @@ def site_lists(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
+    """M13 over content: the first sentence is its summary, the next four its key points; every eighth row names a product."""
     c = ad.content_t(spark, sf_dir)
-    points = F.slice(F.filter(F.transform(F.split("content", r"\."), lambda x: F.trim(x)), lambda s: F.length(s) > 3), 1, 4)
-    rows = c.select("query_id", F.col("_id").alias("key"), F.col("relevance_score").alias("relevance"), F.col("content_quality_score").alias("quality"), "url", points.alias("key_points"))
-    out = mo.answers(rows)
-    return out.select("query_id", "confidence", F.array_join("sources", ",").alias("sources"), F.size("findings").alias("findings"), F.size("recommendations").alias("recommendations"), "direct_answer")
+    said = F.filter(F.transform(F.split("content", r"\."), lambda x: F.trim(x)), lambda s: F.length(s) > 3)
+    text = lambda c, on: F.when(on, c)
+    product = F.struct(F.col("content_type").alias("name"), F.lit("product").alias("type"), text(F.lit("TCK"), F.col("_id") % 16 == 0).alias("ticker"), F.lit("0.5%").alias("expense_ratio"), F.lit(None).cast("string").alias("minimum_investment"), F.lit("low").alias("risk_level"))
+    fund = F.struct(F.concat(F.lit("Fund "), (F.col("_id") % 5).cast("string")).alias("name"), F.lit("FND").alias("ticker"), F.lit(None).cast("string").alias("expense_ratio"), F.lit("100").alias("minimum_investment"))
+    rows = c.withColumn("said", said).select(
+        "query_id", F.col("_id").alias("key"), F.col("relevance_score").alias("relevance"), F.col("content_quality_score").alias("quality"), "url", F.get("said", 0).alias("summary"), F.slice("said", 2, 4).alias("key_points"),
+        F.when(F.col("_id") % 8 == 0, F.array(product)).alias("entities"), F.when(F.col("_id") % 9 == 0, F.array(fund)).alias("funds"), F.slice("said", 6, 2).alias("advice"),
+    )
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return mo.answers(rows).select("query_id", "confidence", joined("sources"), joined("findings"), joined("recommendations"), "direct_answer")
 
 
 def prompt_rows(spark, sf_dir):
@@ -83,7 +90,7 @@ def ran(stream, mode: str):
     """What a stream over all files that are there gives: its result through the memory sink, for results of bounded size only."""
     name = f"s_{uuid.uuid4().hex}"
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/siltstone/{name}").start()
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh(spark, name)).start()
     query.awaitTermination()
     return spark.table(name)
 
@@ -93,7 +100,7 @@ def blocked_requests(spark, sf_dir):
 
     All files make one micro-batch: part files come in no order of time, and rows behind the watermark would be lost.
     """
-    path = f"{shared_dir(spark)}/siltstone/limited-{uuid.uuid4().hex}"
+    path = fresh(spark, "limited")
     limited = streams.rate_limited(streams.event_stream(spark, sf_dir, None), 3, 3600)
     query = limited.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start(path)
     query.awaitTermination()
@@ -145,7 +152,7 @@ SQL = {
     "site_lists": "select doc_id, 'https://' || source || '.example.org' as url, lang as title, least(1.0::double, cast(doc_id % 7 as double) / 5.0::double) as relevance_score from documents",
     "prompt_rendering": "select doc_id, md5('Summarise [' || left(lang, 5) || ']: ' || left(text, 3500)) as prompt_md5 from documents",
     "stream_hourly": "select date_trunc('hour', ts)::timestamp as period_start, count(*) as events, count(*) filter (event_type = 'error') as errors, round(sum(value), 4) as value from events group by 1",
-    "stream_endpoints": """select event_type, count(*) as requests, round(sum(value / 10.0::double), 3) as seconds, min(value / 10.0::double) as least, max(value / 10.0::double) as most, count(*) filter (value / 10.0::double <= 2.0) as le_3 from events group by 1""",
+    "stream_endpoints": """select event_type, count(*) as requests, round(sum(value / 10.0::double), 3) as seconds, min(value / 10.0::double) as least, max(value / 10.0::double) as most, count(*) filter (value / 10.0::double <= 2.5) as le_3 from events group by 1""",
     "stream_rate_limit": f"""with {ad.REQUESTS_SQL}, c as (select count(*) over (partition by client order by epoch_us(ts) range between 3599999999 preceding and current row)
         - (count(*) over (partition by client, ts) - row_number() over (partition by client, ts order by event_id)) as n from requests_t) select n > 3 as blocked, count(*) as requests from c group by 1""",
 }

@@ -36,9 +36,23 @@ COLUMNS = {
     "leak_lag": "before",
     "baseline_compare": "baseline current change_percent",
     "stage_compare": "baseline current difference change_percent",
-    "baseline_compare_all": "baseline current change_percent",
-    "stage_compare_all": "baseline current difference change_percent",
     "version_metrics": "success_rate mean_time mean_confidence",
+    "version_summary": "success_rate mean_time",
+    "matched_versions": "score",
+    "error_patterns": "overall_success_rate",
+    "title_relevance": "title_score snippet_score",
+    "result_relevance": "url_score title_score snippet_score overall",
+    "insight_scores": "insight structured confidence relevance summary",
+    "cut_summaries": "confidence",
+    "fallback_records": "confidence quality",
+    "validated_records": "score a b",
+    "batch_scores": "score",
+    "metric_gauges": "value",
+    "appended_queries": "execution_time",
+    "load_test_requests": "duration_ms",
+    "near_duplicates": "jaccard length_score",
+    "duplicate_components": "confidence",
+    "best_version": "content_quality_score",
     "best_versions": "score",
     "quality_range": "content_quality_score",
     "quality_metrics": "readability information_density coherence",

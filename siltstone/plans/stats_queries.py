@@ -14,7 +14,6 @@ QUERIES = {
     "query_statistics": lambda s, d: a.query_statistics(ad.queries_t(s, d), "2024-01-03", "2024-01-28"),
     "popular_queries": lambda s, d: a.popular_queries(ad.queries_t(s, d), AS_OF, 20, 15),
     "content_stats": lambda s, d: a.content_stats(ad.content_t(s, d)),
-    "duplicate_groups": lambda s, d: a.duplicate_groups(ad.content_t(s, d).withColumn("duplicate_of", F.when(F.col("_id") % 7 < 3, F.col("_id") % 40))),
     "processing_analytics": lambda s, d: a.processing_analytics(ad.processed_t(s, d)),
     "quality_distribution": lambda s, d: a.quality_distribution(ad.processed_t(s, d)),
     "usage_statistics": lambda s, d: a.usage_statistics(ad.sessions_t(s, d)),
@@ -35,7 +34,7 @@ QUERIES = {
     "percentiles_linear": lambda s, d: logs.percentiles_linear(ad.requests_t(s, d), "path", "duration_ms"),
     "loadtest_summary": lambda s, d: logs.load_summary(ad.requests_t(s, d)),
     "cache_efficiency": lambda s, d: logs.cache_efficiency(ad.requests_t(s, d)),
-    "rate_limit_behaviour": lambda s, d: logs.rate_limit_behaviour(logs.rate_limited(ad.requests_t(s, d), 2, 3600), 2),
+    "rate_limit_behaviour": lambda s, d: logs.rate_limit_behaviour(with_header(logs.rate_limited(ad.requests_t(s, d), 2, 3600)), 2),
     "memory_growth": lambda s, d: logs.memory_growth(ad.requests_t(s, d), "client", "ts", "duration_ms"),
     "pool_utilisation": lambda s, d: logs.pool_utilisation(ad.requests_t(s, d).withColumn("size", F.lit(50000.0)), "path", "duration_ms", "size"),
     "stage_status": lambda s, d: logs.stage_report(ad.requests_t(s, d), "scenario", "duration_ms", {"click": 20000.0, "view": 30000.0}, 25000.0),
@@ -49,26 +48,28 @@ QUERIES = {
     "leak_lag": lambda s, d: logs.leaks(ad.requests_t(s, d), "client", "ts", "event_id", "duration_ms").select("event_id", "before", "leak"),
     "baseline_compare": lambda s, d: logs.compare_averages(*halves(s, d), "scenario", "duration_ms"),
     "stage_compare": lambda s, d: logs.compare_stages(*halves(s, d), "client", "duration_ms"),
-    "baseline_compare_all": lambda s, d: logs.compare_averages(*all_halves(s, d), "scenario", "duration_ms"),
-    "stage_compare_all": lambda s, d: logs.compare_stages(*all_halves(s, d), "client", "duration_ms"),
-    "advice": lambda s, d: logs.advice(ad.requests_t(s, d)),
+    "advice": lambda s, d: advice(ad.requests_t(s, d)),
     "version_metrics": lambda s, d: logs.version_metrics(runs(s, d)),
     "best_versions": lambda s, d: logs.best_versions(logs.version_metrics(runs(s, d)), AS_OF),
 }
 
 
-def all_halves(spark, sf_dir):
+def halves(spark, sf_dir):
     """The request log before and from mid-January on: all rows."""
     r = ad.requests_t(spark, sf_dir)
     middle = F.lit("2024-01-15").cast("timestamp")
     return r.where(F.col("ts") < middle), r.where(F.col("ts") >= middle)
 
 
-def halves(spark, sf_dir):
-    """The request log before mid-January, and two thirds of it from then on, as the SQL has it."""
-    r = ad.requests_t(spark, sf_dir)
-    middle = F.lit("2024-01-15").cast("timestamp")
-    return r.where(F.col("ts") < middle), r.where((F.col("ts") >= middle) & (F.col("event_id") % 3 > 0))
+def with_header(flagged):
+    """What the answer's header says is left: right, but in every seventh answer one too many, and absent in every ninth."""
+    left = F.greatest(F.lit(0), F.lit(2) - F.col("in_window"))
+    return flagged.withColumn("remaining", F.when(F.col("event_id") % 9 > 0, left + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)))
+
+
+def advice(requests):
+    memory = logs.memory_growth(requests, "client", "ts", "duration_ms")
+    return logs.advice(requests, memory, logs.pool_utilisation(requests.withColumn("size", F.lit(50000.0)), "path", "duration_ms", "size"))
 
 
 def runs(spark, sf_dir):
@@ -98,11 +99,11 @@ _ROLLUP = """count(*) as total_queries, count(*) filter (status = 'completed') a
   count(distinct user_id) as unique_users, count(distinct session_id) as unique_sessions, avg(quality_score) as average_quality_score"""
 _IN_WINDOW = """counted as (select *, count(*) over (partition by client order by epoch_us(ts) range between 3599999999 preceding and current row)
   - (count(*) over (partition by client, ts) - row_number() over (partition by client, ts order by event_id)) as in_window from requests_t)"""
-_HALVES = "base as (select * from requests_t where ts < timestamp '2024-01-15'), now as (select * from requests_t where ts >= timestamp '2024-01-15' and event_id % 3 > 0)"
+_HALVES = "base as (select * from requests_t where ts < timestamp '2024-01-15'), now as (select * from requests_t where ts >= timestamp '2024-01-15')"
 _RUNS = """runs as (select category as prompt_type, 'v' || cast(_id % 4 as varchar) as version_id, case when status <> 'failed' then 1 else 0 end as success, execution_time as response_time,
   coalesce(quality_score, 0.0::double) as confidence, created_at from queries_t), metrics as (
   select prompt_type, version_id, count(*) as uses, avg(cast(success as double)) as success_rate, avg(response_time) as mean_time,
-    coalesce(avg(confidence) filter (confidence > 0), 0.0::double) as mean_confidence, max(created_at) as last_used from runs group by all)"""
+    coalesce(avg(confidence) filter (confidence > 0), 0.0::double) as mean_confidence, max(created_at) as last_used, min(created_at) as created_at from runs group by all)"""
 _CACHE = """cached as (select scenario, count(*) filter (cache = 'HIT') as hits, count(*) filter (cache <> 'HIT') as misses, avg(duration_ms) filter (cache = 'HIT') as hit_ms,
   avg(duration_ms) filter (cache <> 'HIT') as miss_ms from requests_t group by scenario)"""
 _DEGRADED = """placed as (select path, scenario, duration_ms, row_number() over (partition by path order by ts, event_id) <= floor(count(*) over (partition by path) / 2) as first from requests_t),
@@ -120,8 +121,6 @@ SQL = {
     "content_stats": f"""{_with(ad.CONTENT_SQL)} select count(*) as total_content, coalesce(sum(content_size_bytes), 0)::bigint as total_size_bytes, {_avg0("processing_time")} as average_processing_time,
         {_avg0("content_quality_score")} as average_quality_score, {_avg0("relevance_score")} as average_relevance_score,
         count(distinct nullif(regexp_extract(url, 'https?://([^/]+)', 0), '')) as unique_domains, string_agg(distinct content_type, ',' order by content_type) as content_types from content_t""",
-    "duplicate_groups": f"""{_with(ad.CONTENT_SQL)} select _id % 40 as duplicate_of, count(*) as duplicate_count, min(_id) as first_id, max(_id) as last_id, min(timestamp) as first_seen
-        from content_t where _id % 7 < 3 group by 1 order by 2 desc, 1 limit 20""",
     "processing_analytics": f"""{_with(ad.PROCESSED_SQL)} select count(*) as total_processed, {_avg0("processing_duration")} as average_duration, coalesce(sum(processing_duration), 0.0::double) as total_duration,
         {_avg0("enhanced_quality_score")} as average_quality_score, coalesce(sum(len(processing_errors)), 0)::bigint as total_errors, string_agg(distinct processing_version, ',') as versions from processed_t""",
     "quality_distribution": f"""{_with(ad.PROCESSED_SQL)} select case when enhanced_quality_score is null or enhanced_quality_score < 0.3::double then 'low' when enhanced_quality_score < 0.7::double then 'medium' else 'high' end as quality_band,
@@ -149,8 +148,8 @@ SQL = {
         select date_trunc('month', period_start)::timestamp as month, sum(total_queries)::bigint as total_queries, avg(average_quality_score) as average_quality, count(*) as periods,
         (select string_agg(category || '=' || n, ',' order by category || '=' || n) from last l where l.month = date_trunc('month', d.period_start)) as category_breakdown from daily d group by 1, 5""",
     "system_metrics": f"with {ad.SESSIONS_SQL}, {ad.PROCESSED_SQL} " + " union all ".join(f"select '{k}.{n}' as metric, cast({e} as double) as value from {t}" for k, n, e, t in _SYSTEM),
-    "table_profile": f"""with {ad.QUERIES_SQL}, {ad.CONTENT_SQL} select 'queries' as "table", count(*) as rows, cast(null as double) as average_size, case when count(*) = 0 then 'degraded' else 'healthy' end as status from queries_t
-        union all select 'content', count(*), avg(content_size_bytes)::double, case when count(*) = 0 then 'degraded' else 'healthy' end from content_t union all select 'analytics', null, null, 'unhealthy'""",
+    "table_profile": f"""with {ad.QUERIES_SQL}, {ad.CONTENT_SQL} select 'queries' as "table", count(*) as rows, cast(null as double) as average_size, case when count(*) = 0 then 'degraded' else 'healthy' end as status, count(*) > 0 as has_sample from queries_t
+        union all select 'content', count(*), avg(content_size_bytes)::double, case when count(*) = 0 then 'degraded' else 'healthy' end, count(*) > 0 from content_t union all select 'analytics', null, null, 'unhealthy', false""",
     "endpoint_metrics": f"""{_with(ad.REQUESTS_SQL)} select path, count(*) as requests, sum(duration_ms) as total_ms, avg(duration_ms) as average_ms, min(duration_ms) as least_ms, max(duration_ms) as most_ms,
         count(*) filter (status >= 400) as errors, count(*) filter (status >= 400 and status < 500) as client_errors, count(*) filter (status >= 500) as server_errors,
         count(*) filter (cache = 'HIT') as cache_hits, count(*) filter (cache = 'MISS') as cache_misses, count(*) filter (duration_ms > 5000) as slow from requests_t group by path""",
@@ -164,8 +163,8 @@ SQL = {
         from requests_t group by scenario""",
     "cache_efficiency": f"""{_with(ad.REQUESTS_SQL, _CACHE)} select *, 100.0::double * hits / (hits + misses) as hit_rate, miss_ms / nullif(hit_ms, 0) as speed_up, 100.0::double * hits / (hits + misses) < 50 as low_hit_rate,
         hit_ms > 0.8::double * miss_ms as slow_hits from cached""",
-    "rate_limit_behaviour": f"""{_with(ad.REQUESTS_SQL, _IN_WINDOW)} select client, count(*) as sent, count(*) filter (in_window > 2) as blocked, 100.0::double * count(*) filter (in_window > 2) / count(*) as block_rate, 0::bigint as passed_over_limit
-        from counted group by client""",
+    "rate_limit_behaviour": f"""{_with(ad.REQUESTS_SQL, _IN_WINDOW)} select client, count(*) as sent, count(*) filter (in_window > 2) as blocked, 100.0::double * count(*) filter (in_window > 2) / count(*) as block_rate, 0::bigint as passed_over_limit,
+        count(*) filter (event_id % 9 = 0 or event_id % 7 = 0) as header_failures from counted group by client""",
     "memory_growth": f"""{_with(ad.REQUESTS_SQL)}, g as (select client, arg_min(duration_ms, (ts, duration_ms)) as start_mb, arg_max(duration_ms, (ts, duration_ms)) as end_mb, max(duration_ms) as peak_mb, min(duration_ms) as least_mb, avg(duration_ms) as average_mb,
         count(*) as samples from requests_t group by client)
         select *, (end_mb - start_mb) / samples as growth_per_request, (end_mb - start_mb) / samples * 100 > 10 as leak, peak_mb > 1000 as high_peak from g""",
@@ -178,7 +177,8 @@ SQL = {
     "stage_shares": f"{_with(ad.REQUESTS_SQL)}, t as (select *, sum(duration_ms) over (partition by client) as total from requests_t) select event_id, case when total > 0 then 100.0::double * duration_ms / total else 0.0::double end as percent_of_total from t",
     "success_summary": f"{_with(ad.REQUESTS_SQL)} select count(*) as total, count(*) filter (status < 400) as successful, count(*) filter (status >= 400) as failed, round_even(count(*) filter (status < 400) / count(*)::double, 3) as success_rate from requests_t",
     "error_patterns": f"""{_with(ad.REQUESTS_SQL)}, e as (select *, row_number() over (partition by path order by event_id) as rank from requests_t where status >= 400)
-        select path, count(*) as errors, count(distinct client) as clients, string_agg(cast(event_id as varchar), ',' order by event_id) filter (rank <= 3) as examples from e group by path""",
+        select path, count(*) as errors, count(distinct client) as sites, string_agg(cast(event_id as varchar), ',' order by event_id) filter (rank <= 3) as examples,
+        (select count(*) filter (status < 400) / count(*)::double from requests_t) as overall_success_rate from e group by path""",
     "rate_limited_requests": f"{_with(ad.REQUESTS_SQL, _IN_WINDOW)} select event_id, in_window, in_window > 3 as blocked from counted",
     "key_allowed": f"{_with(ad.REQUESTS_SQL, _IN_WINDOW)} select event_id, in_window - 1 < 3 as allowed from counted",
     "polite_schedule": f"""{_with(ad.REQUESTS_SQL)}, a as (select event_id, client, ts, epoch_us(ts) / 1e6::double as arrival, 7200.0::double * (row_number() over (partition by client order by ts, event_id) - 1) as before from requests_t),
@@ -196,11 +196,12 @@ SQL = {
     "advice": f"""{_with(ad.REQUESTS_SQL, _CACHE, _DEGRADED)} select path as scenario, 'degradation' as finding from degraded where change_percent > 20
         union all select scenario, 'low cache hit rate' from cached where 100.0::double * hits / (hits + misses) < 50
         union all select scenario, 'cache hits are slow' from cached where hit_ms > 0.8::double * miss_ms
-        union all select scenario, 'failures' from requests_t group by scenario having 100.0::double * count(*) filter (status < 400) / count(*) < 95""",
+        union all select scenario, 'failures' from requests_t group by scenario having 100.0::double * count(*) filter (status < 400) / count(*) < 95
+        union all select r.scenario, 'many outliers' from requests_t r join (select scenario, quantile_cont(duration_ms, 0.95) as p95 from requests_t group by 1) p on r.scenario = p.scenario group by 1 having count(*) filter (duration_ms > p95) * 10 > count(*)
+        union all select cast(client as varchar), 'memory leak' from requests_t group by client having (arg_max(duration_ms, (ts, duration_ms)) - arg_min(duration_ms, (ts, duration_ms))) / count(*) * 100 > 10
+        union all select path, 'pool saturated' from requests_t group by path having max(100.0::double * duration_ms / 50000.0::double) > 80""",
     "version_metrics": f"{_with(ad.QUERIES_SQL, _RUNS)} select * from metrics",
     "best_versions": f"""{_with(ad.QUERIES_SQL, _RUNS)}, scored as (select *, least(1.0::double, 0.6::double * success_rate + 0.4::double * mean_confidence +
-        greatest(0.0::double, 0.1::double * (1.0::double - greatest(0.0::double, (epoch(timestamp '{AS_OF}') - floor(epoch(last_used))) / 86400.0::double) / 30.0::double))) as score from metrics where uses >= 5)
-        select prompt_type, arg_max(version_id, (score, version_id)) as version_id, max(score) as score from scored group by prompt_type""",
+        greatest(0.0::double, 1.0::double - floor((epoch_us(timestamp '{AS_OF}') - epoch_us(created_at)) / 86400000000.0::double) / 30.0::double) * 0.1::double) as score from metrics where uses >= 5)
+        select prompt_type, arg_max(version_id, (score, -epoch_us(created_at))) as version_id, max(score) as score from scored group by prompt_type""",
 }
-
-SQL |= {f"{name}_all": SQL[name].replace(_HALVES, _HALVES.replace(" and event_id % 3 > 0", "")) for name in ("baseline_compare", "stage_compare")}

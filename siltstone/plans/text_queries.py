@@ -52,7 +52,7 @@ QUERIES = {
     "ranked_documents": ranked_documents,
     "content_by_domain": lambda s, d: stored.by_domain(ad.content_t(s, d), "SRC1.example").select("_id", "url"),
     "quality_range": lambda s, d: stored.by_quality(ad.content_t(s, d), 0.5, 0.95).select("_id", "content_quality_score"),
-    "processing_errors": lambda s, d: ad.processed_t(s, d).where(F.size("processing_errors") > 0).select("original_content_id", "query_id", F.array_join("processing_errors", ",").alias("errors"), "processing_timestamp", "processing_version"),
+    "processing_errors": lambda s, d: stored.with_errors(ad.processed_t(s, d), ["original_content_id", "query_id", F.array_join("processing_errors", ",").alias("errors"), "processing_timestamp", "processing_version"]),
     "queries_by_category": lambda s, d: stored.newest(ad.queries_t(s, d).where("category = 'ai_tools'"), "created_at", "_id", 20).select("_id", "query_text", "created_at"),
     "recent_queries": lambda s, d: stored.newest(ad.queries_t(s, d), "created_at", "_id", 20, 10).select("_id", "query_text", "created_at"),
     "query_page": lambda s, d: stored.page(ad.queries_t(s, d).where("status = 'failed'").select("_id", "query_text"), [F.col("_id")], 3, 25),
@@ -74,7 +74,7 @@ QUERIES = {
     "url_fingerprint": lambda s, d: pages(s, d).select("page_id", urls.fingerprint(F.col("url")).alias("fingerprint"), urls.domain(F.col("url")).alias("domain"), urls.normalise(F.col("url")).alias("normalised")),
     "url_list_validation": lambda s, d: urls.validate_lists(pages(s, d).withColumn("request", F.col("page_id") % 4), "request", "url", "page_id").select("page_id", "reason"),
     "categorize": lambda s, d: rq.categorise(ad.user_queries_t(s, d).withColumn("q", F.concat_ws(" ", F.col("raw_query"), F.when(F.col("conv_id") % 3 == 0, "AI model training"), F.when(F.col("conv_id") % 4 == 1, "low risk mutual fund"))), "q").select("conv_id", "turn", "category", "confidence", "needs_review"),
-    "parsed_queries": lambda s, d: rq.parsed_queries(ad.user_queries_t(s, d), "raw_query").select("conv_id", "turn", "reject_reason", F.col("base_result.category").alias("category"), F.size("suggestions").alias("tips")),
+    "parsed_queries": lambda s, d: rq.parsed_queries(ad.user_queries_t(s, d), "raw_query").select("conv_id", "turn", "reject_reason", F.col("base_result.category").alias("category"), F.col("base_result.confidence_score").alias("confidence"), "attributes.ai_tools.tool_type", "attributes.mutual_funds.investment_type", F.array_join("suggestions", "|").alias("tips")),
     "domain_relevance": lambda s, d: ranked_sites(s, d).select("page_id", "relevance"),
     "title_relevance": lambda s, d: title_scores(s, d),
     "combined_rank": lambda s, d: ad.content_t(s, d).select("_id", sc.combined(F.col("content_quality_score"), F.col("relevance_score"), F.col("content_type"), F.lit("general")).alias("score")),
@@ -97,13 +97,12 @@ QUERIES = {
     "duplicate_components": lambda s, d: dedup.duplicate_analysis(ad.content_t(s, d)),
     "best_version": lambda s, d: dedup.best_versions(ad.content_t(s, d)).select("_id", "content_quality_score"),
     "content_mapping": lambda s, d: mapping(s, d),
-    "query_results": lambda s, d: stored.query_results(ad.queries_t(s, d).where("_id < 200").select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
-    "query_results_all": lambda s, d: stored.query_results(ad.queries_t(s, d).select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
+    "query_results": lambda s, d: stored.query_results(ad.queries_t(s, d).select("_id", "session_id", "query_text"), ad.content_t(s, d), ad.processed_t(s, d), ad.sessions_t(s, d)),
     "save_content": lambda s, d: saved(s, d),
-    "duplicate_members": lambda s, d: members(s, d),
+    "duplicate_groups": lambda s, d: aggregates.duplicate_groups(duplicates(s, d)),
+    "duplicate_members": lambda s, d: aggregates.duplicate_members(duplicates(s, d)),
     "cross_search": lambda s, d: stored.cross_search({"query": stored.search(ad.queries_t(s, d), ["view"], ["query_text"]).select("_id"), "content": stored.search(ad.content_t(s, d), ["license"], ["content"]).select("_id")}),
-    "similar_content": lambda s, d: similar(s, d),
-    "similar_content_all": lambda s, d: similar_rows(s, d),
+    "similar_content": lambda s, d: similar_rows(s, d),
     "update_status": lambda s, d: updated(s, d),
     "retention_queries": lambda s, d: stored.retained(ad.queries_t(s, d), "created_at", "2024-02-10", 30, F.col("status").isin("completed", "failed")).select("_id", "deleted"),
     "retention_content": lambda s, d: stored.retained(ad.content_t(s, d).withColumn("duplicate_of", F.when(F.col("_id") % 5 == 0, F.col("_id") - 1)), "timestamp", "2024-01-01 10:00:00", 0, F.col("duplicate_of").isNotNull()).select("_id", "deleted"),
@@ -126,10 +125,11 @@ def ranked_sites(spark, sf_dir):
 
 
 def title_scores(spark, sf_dir):
+    """User queries against their own beginnings as titles and contents."""
     q = ad.user_queries_t(spark, sf_dir)
-    terms = F.slice(tx.words(F.lower("raw_query")), 1, 3)
+    category = F.when(F.col("conv_id") % 2 == 0, "ai_tools").otherwise("mutual_funds")
     title = F.substr("raw_query", F.lit(1), F.lit(20))
-    return q.select("conv_id", "turn", sc.title_relevance(title, terms).alias("title_score"), sc.snippet_relevance(F.col("raw_query"), terms, tx.word_count(F.col("raw_query"))).alias("snippet_score"))
+    return q.select("conv_id", "turn", sc.title_relevance(title, F.col("raw_query"), category).alias("title_score"), sc.snippet_relevance(F.substr("raw_query", F.lit(1), F.lit(60)), F.col("raw_query"), category).alias("snippet_score"))
 
 
 def near(spark, sf_dir):
@@ -138,9 +138,12 @@ def near(spark, sf_dir):
 
 
 def mapping(spark, sf_dir):
+    """Two thirds of processed rows know their content, of the others half have its URL, and half one that nothing has."""
     c = ad.content_t(spark, sf_dir).withColumn("duplicate_of", F.when(F.col("_id") % 5 == 0, F.col("_id") - 1))
-    p = ad.processed_t(spark, sf_dir).withColumn("original_url", F.concat(F.lit("https://nowhere/"), F.col("original_content_id").cast("string")))
-    p = p.withColumn("original_content_id", F.when(F.col("original_content_id") % 3 > 0, F.col("original_content_id")))
+    i = F.col("original_content_id")
+    p = ad.processed_t(spark, sf_dir).join(c.select(F.col("_id").alias("__c"), "url"), i == F.col("__c")).drop("__c")
+    p = p.withColumn("original_url", F.when(i % 6 == 3, F.col("url")).otherwise(F.concat(F.lit("https://nowhere/"), i.cast("string")))).drop("url")
+    p = p.withColumn("original_content_id", F.when(i % 3 > 0, i))
     return stored.resolved(p, c).select("query_id", "original_url", "content_id", "unresolved")
 
 
@@ -150,19 +153,11 @@ def saved(spark, sf_dir):
     return stored.save_content(c.where("_id % 2 = 1"), old).select("_id", "content_hash", "duplicate_of")
 
 
-def members(spark, sf_dir):
-    """A4 on what saving all content names as duplicates."""
+def duplicates(spark, sf_dir):
+    """All content, with what saving it names as duplicates."""
     c = ad.content_t(spark, sf_dir).select("_id", "url", "title", "timestamp", "content")
     none = spark.createDataFrame([], "_id bigint, content_hash string")
-    return aggregates.duplicate_members(written(stored.save_content(c, none).drop("content", "content_hash"), "saved"))
-
-
-def similar(spark, sf_dir):
-    c = ad.content_t(spark, sf_dir)
-    ids = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.col("_id") + k).cast("long"))
-    scores = F.map_from_arrays(F.transform(ids, lambda i: i.cast("string")), F.transform(ids, lambda i: (i % 10).cast("double") / F.lit(10.0)))
-    analysis = c.where("_id = 40").select(F.col("_id").alias("content_id"), F.array(F.slice(ids, 1, 4), F.slice(ids, 3, 6)).alias("duplicate_groups"), scores.alias("similarity_scores"))
-    return stored.similar_content(analysis, c, 40, 0.3).select("member", "score", "url")
+    return written(stored.save_content(c, none).drop("content", "content_hash"), "saved")
 
 
 def similar_rows(spark, sf_dir):
@@ -276,18 +271,17 @@ SQL = {
     "session_queries": f"{_with(ad.QUERIES_SQL)} select _id, session_id, created_at from queries_t where user_id = 7 and status = 'processing' order by created_at desc, _id limit 50",
     "quality_gate": f"{_with(ad.CONTENT_SQL)} select _id, content_quality_score from content_t where content_quality_score >= 0.4::double",
     "fetch_stats": f"{_with(ad.REQUESTS_SQL)} select path, count(*) as fetches, max(ts) as last_fetch, 2.0::double as delay from requests_t group by path",
-    "content_mapping": f"""{_with(ad.PROCESSED_SQL)} select query_id, 'https://nowhere/' || cast(original_content_id as varchar) as original_url, case when original_content_id % 3 > 0 then original_content_id end as content_id,
-        original_content_id % 3 = 0 as unresolved from processed_t""",
+    "content_mapping": f"""{_with(ad.CONTENT_SQL)} select query_id, case when _id % 6 = 3 then url else 'https://nowhere/' || cast(_id as varchar) end as original_url,
+        case when _id % 3 > 0 then _id when _id % 6 = 3 then case when _id % 5 = 0 then _id - 1 else _id end end as content_id, _id % 6 = 0 as unresolved from content_t""",
     "query_results": f"""with {ad.SESSIONS_SQL}, {ad.PROCESSED_SQL}, c as (select query_id, count(*) as content_count, string_agg(cast(_id as varchar), ',' order by timestamp desc, _id) as content_ids from (
         select *, row_number() over (partition by query_id order by timestamp desc, _id) as p from content_t) where p <= 50 group by query_id), n as (select query_id, count(*) as n from content_t group by query_id)
         select q._id, q.session_id, q.query_text, c.content_ids, coalesce(n.n, 0) as content_count, c.content_ids as processed_ids, coalesce(n.n, 0) as processed_count, s.query_count as session_queries
-        from queries_t q left join c on q._id = c.query_id left join n on q._id = n.query_id left join sessions_t s on q.session_id = s.session_id where q._id < 200""",
+        from queries_t q left join c on q._id = c.query_id left join n on q._id = n.query_id left join sessions_t s on q.session_id = s.session_id""",
     "save_content": f"""{_with(ad.CONTENT_SQL)}, h as (select _id, {_HASH} as content_hash from content_t), o as (select content_hash, min(_id) as old from h where _id % 2 = 0 group by 1),
         n as (select *, min(_id) over (partition by content_hash) as first from h where _id % 2 = 1)
         select _id, n.content_hash, coalesce(old, case when _id <> first then first end) as duplicate_of from n left join o on n.content_hash = o.content_hash""",
     "cross_search": f"""with {ad.QUERIES_SQL}, {ad.CONTENT_SQL} select _id, 'query' as kind from queries_t where list_contains(regexp_split_to_array(lower(query_text), '[^\\p{{L}}\\p{{N}}]+'), 'view')
         union all select _id, 'content' from content_t where list_contains(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), 'license')""",
-    "similar_content": f"{_with(ad.CONTENT_SQL)} select _id as member, cast(_id % 10 as double) / 10.0::double as score, url from content_t where _id between 41 and 48 and _id % 10 >= 3 order by 2 desc, 1 limit 10",
     "update_status": f"{_with(ad.QUERIES_SQL)} select _id, case when _id % 100 = 0 then 'completed' else status end as status, case when _id % 100 = 0 then 1.5::double else execution_time end as execution_time, quality_score from queries_t",
     "retention_queries": f"{_with(ad.QUERIES_SQL)} select _id, created_at < timestamp '2024-02-10' - interval 30 day and status in ('completed', 'failed') as deleted from queries_t",
     "retention_content": f"{_with(ad.CONTENT_SQL)} select _id, timestamp < timestamp '2024-01-01 10:00:00' and _id % 5 = 0 as deleted from content_t",
@@ -300,7 +294,30 @@ SQL = {
         select query_text, _id from l where created_at + interval 7 day > timestamp '2024-01-30'""",
 }
 
-SQL["query_results_all"] = SQL["query_results"].removesuffix(" where q._id < 200")
-SQL["duplicate_members"] = f"""{_with(ad.CONTENT_SQL)}, h as (select _id, url, title, timestamp, {_HASH} as content_hash from content_t), d as (select *, min(_id) over (partition by content_hash) as duplicate_of from h),
-    m as (select * from d where _id <> duplicate_of), g as (select duplicate_of, count(*) as duplicate_count, min(_id) as first_id, max(_id) as last_id, min(timestamp) as first_seen from m group by 1 order by 2 desc, 1 limit 20)
-    select duplicate_of, _id as member, url, title, timestamp, duplicate_count, first_id, last_id, first_seen from m join g using (duplicate_of)"""
+_MEMBERS = f"""{_with(ad.CONTENT_SQL)}, h as (select _id, url, title, timestamp, {_HASH} as content_hash from content_t), d as (select *, min(_id) over (partition by content_hash) as duplicate_of from h),
+    m as (select * from d where _id <> duplicate_of), g as (select duplicate_of, count(*) as duplicate_count, min(_id) as first_id, max(_id) as last_id, min(timestamp) as first_seen from m group by 1 order by 2 desc, 1 limit 20)"""
+SQL["duplicate_groups"] = f"{_MEMBERS} select * from g"
+SQL["duplicate_members"] = f"{_MEMBERS} select duplicate_of, _id as member, url, title, timestamp, duplicate_count, first_id, last_id, first_seen from m join g using (duplicate_of)"
+_NEAR = f"""p as (select doc_id, case when coalesce(text, '') = '' then '' else {_PRINT} end as fp from documents), r as (select min(doc_id) as id from p group by fp),
+    d as (select id, length(coalesce(text, '')) as chars, regexp_extract_all(lower(coalesce(text, '')), '\\S+') as t from r join documents on id = doc_id), i as (select id, t, unnest(range(1, greatest(1, len(t) - 4) + 1)) as k from d),
+    s as (select distinct id, array_to_string(list_slice(t, k, k + 4), ' ') as g from i), n as (select id, count(*) as n from s group by id),
+    c as (select a.id as id_a, b.id as id_b, count(*) as common from s a join s b on a.g = b.g and a.id < b.id group by all),
+    near as (select id_a, id_b, common / (x.n + y.n - common)::double as jaccard, 1.0::double - abs(da.chars - db.chars) / greatest(1, da.chars, db.chars)::double as length_score
+    from c join n x on x.id = id_a join n y on y.id = id_b join d da on da.id = id_a join d db on db.id = id_b where common / (x.n + y.n - common)::double >= 0.8)"""
+SQL["near_duplicates"] = f"with {_NEAR} select * from near"
+# no two rows of content have a URL in common
+_COMPONENTS = f"""{_NEAR}, copies as (select doc_id as id, min(doc_id) over (partition by fp) as first_id from p),
+    edges as (select first_id as a, id as b, 1.0::double as score from copies where id <> first_id union all select id_a, id_b, length_score from near), both_ways as (select a, b, score from edges union all select b, a, score from edges),
+    reach(id, other) as (select doc_id, doc_id from documents union select r.id, w.b from reach r join both_ways w on r.other = w.a),
+    parts as (select id, min(other) as component from reach group by id), sure as (select a as id, max(score) as confidence from both_ways group by a),
+    sized as (select parts.id, component, count(*) over (partition by component) as group_size,
+      first_value(parts.id) over (partition by component order by coalesce(0.4::double + 0.5::double * cast(l.quality as double), -1.0) desc, parts.id) as best_id from parts left join labels l on l.doc_id = parts.id)"""
+SQL["duplicate_components"] = f"""with recursive {_COMPONENTS} select sized.id, component, group_size, best_id, coalesce(confidence, 0.0::double) as confidence, case when group_size > 1 then 'Keep ' || best_id || ', remove others' end as advice
+    from sized left join sure on sized.id = sure.id"""
+SQL["best_version"] = f"with recursive {_COMPONENTS} select id as _id, 0.4::double + 0.5::double * cast(quality as double) as content_quality_score from sized left join labels on doc_id = id where id = best_id"
+SQL["title_relevance"] = f"""{_with(ad.USER_QUERIES_SQL)}, l as (select conv_id, turn, lower(left(raw_query, 20)) as title, lower(left(raw_query, 60)) as body, list_filter(regexp_split_to_array(lower(raw_query), '\\s+'), lambda w: length(w) > 2) as terms,
+    case when conv_id % 2 = 0 then [{_list(sc.RESULT_WORDS["ai_tools"])}] else [{_list(sc.RESULT_WORDS["mutual_funds"])}] end as own from user_queries_t),
+    n as (select conv_id, turn, len(list_filter(list_concat(list_distinct(terms), own), lambda w: contains(title, w))) as t, coalesce(list_sum(list_transform(list_concat(terms, own), lambda w: (length(body) - length(replace(body, w, ''))) // length(w))), 0) as k,
+    len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> '')) as words from l)
+    select conv_id, turn, case when t >= 3 then 0.9::double when t = 2 then 0.7::double when t = 1 then 0.5::double else 0.3::double end as title_score,
+    case when k / words::double > 0.1 or k >= 5 then 0.8::double when k / words::double > 0.05 or k >= 3 then 0.6::double when k / words::double > 0.02 or k >= 1 then 0.4::double else 0.2::double end as snippet_score from n"""

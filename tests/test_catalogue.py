@@ -41,6 +41,13 @@ def test_same_rows_as_sql(name, spark, sf_dir, duck):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in rel.fetchall())
 
 
+#: The small tables have no page with images.
+EMPTY = {"page_images"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
-def test_queries_without_sql_run(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_queries_without_sql_give_the_same_rows_again(name, spark, sf_dir):
+    rows = lambda: sorted(str(tuple(map(plain, r))) for r in QUERIES[name](spark, sf_dir).collect())
+    first = rows()
+    assert bool(first) == (name not in EMPTY)
+    assert first == rows()

@@ -1,4 +1,4 @@
-"""Queries that take all rows of their tables, where an older one of nearly the same name takes some."""
+"""Queries take all rows of their tables."""
 
 from __future__ import annotations
 
@@ -12,16 +12,16 @@ QUERIES = catalogue.queries()
 
 
 def test_comparison_takes_all_rows(spark, sf_dir):
-    got = QUERIES["stage_compare_all"](spark, sf_dir).agg(F.sum("baseline") + F.sum("current")).first()[0]
+    got = QUERIES["stage_compare"](spark, sf_dir).agg(F.sum("baseline") + F.sum("current")).first()[0]
     want = ad.requests_t(spark, sf_dir).agg(F.sum("duration_ms")).first()[0]
     assert abs(got - want) < 1e-3 * want / 1000
     current = ad.requests_t(spark, sf_dir).where("ts >= '2024-01-15'").groupBy("scenario").agg(F.avg("duration_ms").alias("m"))
     means = {r["scenario"]: round(r["m"], 3) for r in current.collect()}
-    assert {r["scenario"]: round(r["current"], 3) for r in QUERIES["baseline_compare_all"](spark, sf_dir).collect()} == means
+    assert {r["scenario"]: round(r["current"], 3) for r in QUERIES["baseline_compare"](spark, sf_dir).collect()} == means
 
 
 def test_every_query_has_its_results(spark, sf_dir):
-    got = QUERIES["query_results_all"](spark, sf_dir)
+    got = QUERIES["query_results"](spark, sf_dir)
     queries = ad.queries_t(spark, sf_dir)
     assert got.count() == queries.count() > 200
     assert got.where("_id >= 200 and session_queries is null").count() == 0 == got.join(queries, "_id", "left_anti").count()
