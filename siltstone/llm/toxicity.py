@@ -4,19 +4,21 @@ Words are read as symbols: insult, threat, target, negation, reporting verb, oth
 thing through a clause (a negation just passed, a target near by, reported speech, an open threat); their product
 reads a clause once and puts out matches, such as an insult at a target that is not negated, with the insult's weight.
 A document's score is a logistic function of its sums of matches. Insults (words and stems) and all weights are
-learned from labelled documents.
+learned from labelled documents. Some stems come in clean texts by chance: those are insults from the second word of a
+text on that has them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import id_remainder, text_or_empty
@@ -93,7 +95,8 @@ class Grammar:
             moves = [p.step[(s, symbol)] for p, s in zip(self.parts, state, strict=True)]
             says = [m[1] for m in moves if m[1]]
             kind = says[0] if says and says[0] in ("insult", "threat") else ""
-            how = next((x for x in ("negated", "reported", "targeted") if x in says), "plain")
+            # a threat has met its target
+            how = next((x for x in ("negated", "reported", "targeted") if x in says), "targeted" if kind == "threat" else "plain")
             known = self.step[(state, symbol)] = (tuple(m[0] for m in moves), f"{kind}:{how}" if kind else "")
         return known
 
@@ -106,28 +109,34 @@ class Grammar:
                 yield says, weight
 
 
-FEATURES = tuple(f"{kind}:{how}" for kind in ("insult", "threat") for how in ("plain", "targeted", "negated", "reported"))
+#: Matches by kind, and all of them to a hundred words.
+FEATURES = ("density", "insult:plain", *(f"{kind}:{how}" for kind in ("insult", "threat") for how in ("targeted", "negated", "reported")))
 
 
 @dataclass
 class Model:
-    """Weights of words and stems, and of the logistic function over FEATURES."""
+    """Weights of words and stems, and of the logistic function over FEATURES.
+
+    Entries are words and stems; those in `repeated` count, the first match too, from their second match in a text on.
+    """
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    repeated: frozenset[str] = frozenset()
     bias: float = -2.0
     weights: tuple[float, ...] = (2.0,) * len(FEATURES)
 
-    def symbol(self, word: str) -> tuple[int, float]:
+    def symbol(self, word: str) -> tuple[int, float, str]:
+        """(symbol, weight, entry): the entry is empty but for those that need a second match."""
         for k, text in _FIXED.items():
             if word in text:
-                return k, 1.0
+                return k, 1.0, ""
         if word in self.words:
-            return INSULT, self.words[word]
+            return INSULT, self.words[word], ""
         for n in STEMS:
             if (w := self.stems.get(word[:n])) is not None and len(word) >= n:
-                return INSULT, w
-        return OTHER, 0.0
+                return INSULT, w, word[:n] if word[:n] in self.repeated else ""
+        return OTHER, 0.0, ""
 
 
 _FIXED = {k: frozenset(v.split()) for k, v in WORDS.items()}
@@ -140,12 +149,15 @@ class Scorer:
         self.model, self.grammar, self.symbols = model, Grammar(), {}
 
     def features(self, text: str) -> np.ndarray:
-        """log(1 + sum of weights) of the matches of each kind, over the clauses that hold an insult or a threat."""
-        out = dict.fromkeys(FEATURES, 0.0)
+        """log(1 + sum of weights) of the matches of each kind, and of all to a hundred words.
+
+        Only clauses that hold an insult or a threat are read by the grammar.
+        """
+        out, n_words = dict.fromkeys(FEATURES, 0.0), 0
         if len(self.symbols) > 300_000:
             self.symbols.clear()
         clause: list[tuple[int, float]] = []
-        hot = False
+        hot, met = False, Counter()
         for token in [*TOKEN.findall(text.lower()), "."]:
             if token in ENDS:
                 if hot:
@@ -155,46 +167,68 @@ class Scorer:
                 continue
             if (s := self.symbols.get(token)) is None:
                 s = self.symbols[token] = self.model.symbol(token)
-            hot |= s[0] in (INSULT, THREAT)
-            clause.append(s)
+            symbol, weight, entry = s
+            n_words += 1
+            if entry:
+                met[entry] += 1
+                if met[entry] == 1:
+                    symbol, weight = OTHER, 0.0
+                elif met[entry] == 2:
+                    weight *= 2
+            hot |= symbol in (INSULT, THREAT)
+            clause.append((symbol, weight))
+        out["density"] = 100 * sum(out.values()) / max(1, n_words)
         return np.log1p(np.array([out[k] for k in FEATURES]))
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.model.bias + float(np.dot(self.features(text), self.model.weights))))))
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark toxic documents, with log odds, from a written sample (text, toxic).
+def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """Words and stems that mark toxic documents, with log odds, and the stems that do so from their second match on.
 
-    Of documents that share their least window of three words, as copies do, one counts. An entry's toxic share must be
-    PRECISION at least, and its likelihood ratio beyond what chance gives among all entries seen. A stem stands for
-    all words and longer stems that begin with it.
+    `sample` is a written table (text, toxic). Of documents that share their least window of three words, as copies do,
+    one counts. Of the documents with an entry, or else of those that match it twice, PRECISION at least must be toxic,
+    and the likelihood ratio must be beyond what chance gives among all entries seen. A stem stands for all words and
+    longer stems that begin with it.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))
     tokens = F.split(F.lower("text"), r"\s+")
     size = F.size(tokens)
     first = F.array_min(F.transform(F.arrays_zip(tokens.alias("a"), F.slice(tokens, F.lit(2), F.greatest(size, F.lit(1))).alias("b"), F.slice(tokens, F.lit(3), F.greatest(size, F.lit(1))).alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
     single = sample.select("toxic", words.alias("words"), first.alias("key")).groupBy("key", "toxic").agg(F.max("words").alias("words"))
     entries = F.array(F.concat(F.lit("="), F.col("w")), *[F.when(F.length("w") >= n, F.substr("w", F.lit(1), F.lit(n))) for n in STEMS])
-    # a document has a stem once, with however many words
-    per_doc = single.withColumn("d", F.monotonically_increasing_id()).select("toxic", "d", F.explode("words").alias("w")).select("toxic", "d", F.explode(entries).alias("e")).where("e is not null").distinct()
-    counts = written(per_doc.groupBy("e").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")), "entries")
+    matches = single.withColumn("d", F.monotonically_increasing_id()).select("toxic", "d", F.explode("words").alias("w")).select("toxic", "d", F.explode(entries).alias("e")).where("e is not null")
+    per_doc = matches.groupBy("toxic", "d", "e").agg((F.count(F.lit(1)) > 1).cast("int").alias("twice"))
+    both = F.col("toxic") * F.col("twice")
+    counts = written(per_doc.groupBy("e").agg(F.sum("toxic").alias("a1"), F.count(F.lit(1)).alias("a"), F.sum(both).alias("b1"), F.sum("twice").alias("b")), "entries")
     seen, (docs, toxic) = counts.count(), single.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == docs:
-        return {}, {}
+        return {}, {}, frozenset()
     base = toxic / docs
-    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
-    part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
-    ratio = 2 * (part(n1, base) + part(n0, 1 - base))
-    chosen = counts.withColumn("ratio", ratio).where((n1 / F.col("n") >= PRECISION) & (F.col("ratio") >= 2 * math.log(seen / 0.01)))
-    odds = lambda r: math.log((r["n1"] + 0.5) / (toxic + 1)) - math.log((r["n"] - r["n1"] + 0.5) / (docs - toxic + 1))
-    rows = {r["e"]: odds(r) for r in chosen.orderBy(F.desc("ratio"), "e").limit(MOST_ENTRIES).collect()}
+    # each entry is looked at in two ways
+    cut = 2 * math.log(2 * seen / 0.01)
+
+    def evidence(n1: Column, n: Column) -> Column:
+        """The likelihood ratio of an entry whose documents are toxic often enough; null for others."""
+        part = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+        ratio = 2 * (part(n1, base) + part(n - n1, 1 - base))
+        return F.when((F.try_divide(n1, n) >= PRECISION) & (ratio >= cut), ratio)
+
+    once, twice = evidence(F.col("a1"), F.col("a")), F.when(~F.startswith("e", F.lit("=")), evidence(F.col("b1"), F.col("b")))
+    chosen = counts.withColumns({"ratio": F.coalesce(once, twice), "again": once.isNull()}).where("ratio is not null")
+    odds = lambda n1, n: math.log((n1 + 0.5) / (toxic + 1)) - math.log((n - n1 + 0.5) / (docs - toxic + 1))
+    rows = {r["e"]: (odds(*((r["b1"], r["b"]) if r["again"] else (r["a1"], r["a"]))), r["again"]) for r in chosen.orderBy(F.desc("ratio"), "e").limit(MOST_ENTRIES).collect()}
     stems: dict[str, float] = {}
-    for e in sorted((e for e in rows if e[0] != "="), key=len):
-        if not any(e[:n] in stems for n in STEMS if n < len(e)):
-            stems[e] = rows[e]
-    words_only = {e[1:]: w for e, w in rows.items() if e[0] == "=" and not any(e[1 : n + 1] in stems for n in STEMS)}
-    return words_only, stems
+    repeated: set[str] = set()
+    # stems that count at once come before those that need a second match
+    for e in sorted((e for e in rows if e[0] != "="), key=lambda e: (rows[e][1], len(e))):
+        if not any(e[:n] in stems for n in STEMS if n <= len(e)):
+            stems[e] = rows[e][0]
+            if rows[e][1]:
+                repeated.add(e)
+    words_only = {e[1:]: w for e, (w, _) in rows.items() if e[0] == "=" and not any(e[1 : n + 1] in stems and e[1 : n + 1] not in repeated for n in STEMS)}
+    return words_only, stems, frozenset(repeated)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> tuple[float, tuple[float, ...]]:
@@ -219,8 +253,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
     sample = written(docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(text_or_empty(text_col).alias("text"), "toxic"), "labelled")
-    words, stems = learn_lexicon(sample)
-    model = Model(words, stems)
+    words, stems, repeated = learn_lexicon(sample)
+    model = Model(words, stems, repeated)
     if not words and not stems:
         return model
 
