@@ -7,18 +7,17 @@ the language's profile lacks it; the nearest language is the answer.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import id_remainder, text_or_empty
+from siltstone.llm.common import id_remainder, slices, text_or_empty
 
 PROFILE = 300
 LONGEST = 3
@@ -27,108 +26,99 @@ SAMPLE_ROWS = 20_000
 UNKNOWN = "und"
 #: A text is taken to be in its nearest language if its score is this at least.
 LEAST_SCORE = 0.2
-#: Runs of letters and of what Python counts as word characters besides; those that are not all letters are cut anew.
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose n-grams a worker keeps, some 200 bytes each, and the n-grams that it has numbers for; beyond, it begins anew.
-CACHE_WORDS, CACHE_GRAMS = 300_000, 300_000
-#: Longer runs of letters are counted apart, and not kept.
-LONG_WORD = 64
+#: Stands for the end of a word in an n-gram.
+MARK = ord("_")
+#: An n-gram is a number: its code points, of so many bits, from the highest bits on. So numbers are ordered as the strings are.
+BITS = 21
+#: Characters of a text whose n-grams are counted at once.
+BLOCK = 1 << 18
 
 Profiles = dict[str, dict[str, int]]
 
 
-def words_of(text: str) -> Counter:
-    """Runs of letters (Unicode category L) of a text in lower case, and how often each comes."""
-    words = Counter(LETTERS.findall(text.lower()))
-    for odd in [w for w in words if not w.isalpha()]:
-        n = words.pop(odd)
-        for part in "".join(c if c.isalpha() else " " for c in odd).split():
-            words[part] += n
-    return words
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter (Unicode category L)."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-class Grams:
-    """Counts n-grams as numbers, and holds the languages' ranks of each number.
+def marked_words(text: str) -> np.ndarray:
+    """Code points of the words of a text, in lower case, with one mark before, between and after them."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters()[codes]
+    # of a run of other characters the first becomes the mark
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    words = np.where(letter, codes, MARK)[kept].astype(np.int64)
+    if not len(words):
+        return words
+    ends = [MARK] if words[-1] != MARK else []
+    return np.concatenate([[MARK], words, ends]).astype(np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the n-grams of one to LONGEST characters inside the words of a text, ascending, and how often each comes."""
+    words = marked_words(text)
+    keys, counts = [], []
+    for at in range(0, len(words), BLOCK):
+        part = words[at : at + BLOCK + LONGEST - 1]
+        first, second, third = part[: min(BLOCK, len(part))], part[1 : BLOCK + 1], part[2 : BLOCK + 2]
+        high = first << 2 * BITS
+        pairs = high[: len(second)] | second << BITS
+        # a mark in the middle is the end of one word and the beginning of the next
+        triples = (pairs[: len(third)] | third)[second[: len(third)] != MARK]
+        k, n = np.unique(np.concatenate([high[first != MARK], pairs, triples]), return_counts=True)
+        keys.append(k)
+        counts.append(n)
+    return merged(keys, counts)
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several counts of n-grams."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    total, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return total, np.bincount(at, np.concatenate(counts), len(total)).astype(np.int64)
+
+
+def number_of(gram: str) -> int:
+    return sum(ord(c) << (LONGEST - 1 - i) * BITS for i, c in enumerate(gram))
 
-    Numbers hold until `trim`, which begins anew if there are too many: a text's work depends on the text alone,
-    whatever texts came before.
-    """
 
-    def __init__(self, profiles: Profiles | None = None, size: int = PROFILE, most: int = CACHE_GRAMS):
-        self.profiles, self.size, self.most = profiles or {}, size, most
-        self.languages = sorted(self.profiles)
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: dict[str, np.ndarray] = {}
-        self.ranks = np.full((len(self.languages), 1024), -1, np.int64)
-
-    def trim(self) -> None:
-        if len(self.names) > self.most or len(self.words) > CACHE_WORDS:
-            self.clear()
-
-    def id_of(self, gram: str) -> int:
-        if (i := self.ids.get(gram)) is None:
-            i = self.ids[gram] = len(self.names)
-            self.names.append(gram)
-            if i == self.ranks.shape[1]:
-                self.ranks = np.hstack([self.ranks, np.full_like(self.ranks, -1)])
-            self.ranks[:, i] = [self.profiles[lang].get(gram, -1) for lang in self.languages]
-        return i
-
-    def of_word(self, word: str) -> np.ndarray:
-        if (found := self.words.get(word)) is None:
-            found = self.words[word] = np.array([self.id_of(g) for g in grams_of(word)], np.int64)
-        return found
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the n-grams of a text's words, and how often each comes."""
-        words = words_of(text)
-        if not words:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        long = {w: words.pop(w) for w in [w for w in words if len(w) > LONG_WORD]}
-        parts = [self.of_word(w) for w in words]
-        times = [np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])]
-        for w, n in long.items():
-            found = Counter(grams_of(w))
-            parts.append(np.array([self.id_of(g) for g in found], np.int64))
-            times.append(n * np.fromiter(found.values(), np.int64, len(found)))
-        ids, n = np.concatenate(parts), np.concatenate(times)
-        if len(self.names) <= 16 * len(ids):
-            total = np.bincount(ids, n)
-            ids = np.flatnonzero(total)
-            return ids, total[ids].astype(np.int64)
-        ids, at = np.unique(ids, return_inverse=True)
-        return ids, np.bincount(at, n).astype(np.int64)
+def gram_of(number: int) -> str:
+    codes = [number >> (LONGEST - 1 - i) * BITS & (1 << BITS) - 1 for i in range(LONGEST)]
+    return "".join(chr(c) for c in codes if c)
+
+
+class Nearest:
+    """Compares texts with profiles; holds the ranks of the profiles' n-grams, and nothing of the texts."""
+
+    def __init__(self, profiles: Profiles, size: int = PROFILE):
+        self.size, self.languages = size, sorted(profiles)
+        ranks = {lang: {number_of(g): r for g, r in profiles[lang].items()} for lang in self.languages}
+        self.known = np.array(sorted(set().union(*ranks.values())), np.int64)
+        self.ranks = np.array([[ranks[lang].get(k, -1) for k in self.known.tolist()] for lang in self.languages], np.int64).reshape(len(self.languages), len(self.known))
 
     def profile(self, text: str) -> np.ndarray:
-        """The most frequent n-grams, as numbers; of equal ones the first by code points."""
-        ids, n = self.counts(text)
-        if len(ids) > self.size:
-            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
-            ids, n = ids[n >= least], n[n >= least]
-        pairs = sorted(zip(map(self.names.__getitem__, ids.tolist()), n.tolist(), strict=True))
-        pairs.sort(key=itemgetter(1), reverse=True)
-        return np.array([self.ids[g] for g, _ in pairs[: self.size]], np.int64)
+        """The most frequent n-grams; of equal ones the first by code points."""
+        keys, n = gram_counts(text)
+        return keys[np.argsort(-n, kind="stable")[: self.size]]
 
     def nearest(self, text: str) -> tuple[str, float]:
         """(language, score): score is 1 less the part of the greatest distance; ties go to the first name."""
-        self.trim()
         own = self.profile(text)
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
-        ranks = self.ranks[:, own]
-        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
-        best = int(far.argmin())
-        return self.languages[best], float(1 - far[best] / (self.size * len(own)))
-
-
-def grams_of(word: str) -> Iterator[str]:
-    """The n-grams of a word with its ends marked, without the mark alone."""
-    marked = f"_{word}_"
-    return (g for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_")
+        far = np.full((len(self.languages), len(own)), self.size)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            ranks = np.where(self.known[at] == own, self.ranks[:, at], -1)
+            far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))))
+        total = far.sum(axis=1)
+        best = int(total.argmin())
+        return self.languages[best], float(1 - total[best] / (self.size * len(own)))
 
 
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, rows: int = SAMPLE_ROWS) -> Profiles:
@@ -140,19 +130,16 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = usable.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
     sample = usable.join(F.broadcast(ids), usable[id_col] == ids["__id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = Grams()
-        for b in batches:
-            for lang, texts in b.groupby("lang")["text"]:
-                total: Counter = Counter()
-                grams.trim()
-                for t in texts:
-                    ids, n = grams.counts(t)
-                    total.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
-                if total:
-                    yield pd.DataFrame({"lang": lang, "gram": [grams.names[i] for i in total], "n": list(total.values())})
-
-    counts = sample.mapInPandas(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            of_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of_lang.setdefault(lang, []).append(gram_counts(text))
+            for lang, found in of_lang.items():
+                keys, n = merged(*map(list, zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([gram_of(k) for k in keys.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    counts = sample.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     kept = counts.withColumn("rank", rank).where(F.col("rank") < size).collect()
     out: Profiles = {}
@@ -170,9 +157,9 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", size:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams = Grams(profiles, size)
+        own = Nearest(profiles, size)
         for texts in batches:
-            yield pd.DataFrame([grams.nearest(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.nearest(t) for t in texts], columns=["lang_pred", "score"])
 
     found = docs.withColumn("__found", predict(text_or_empty(text_col)))
     return found.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
