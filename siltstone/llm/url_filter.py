@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import ascii_lower
+from siltstone.operators.bloom import bloom_blocks, with_maybe
 from siltstone.sources.tables import written
 
 Rule = tuple[str, str, str]
@@ -15,8 +16,8 @@ Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Words that mark a host of the list, as parts of a label between dots and hyphens.
 LISTED_TERMS = ("casino", "bets", "pills", "adult")
-#: Blocks of 256 bits, at most; 2**20 hold 30 million URLs at 9 bits each, in 40 MB. A longer list passes more to the exact join.
-MOST_BLOCKS = 1 << 20
+#: A list of up to so many URLs is broadcast for the exact join (some 20 MB); a longer one meets the possible hits by a shuffle.
+BROADCAST_LISTED = 200_000
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 
@@ -46,46 +47,30 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return rule, action
 
 
-def _block_and_masks(key: Column, blocks: int) -> dict[str, Column]:
-    """The key's block, and four longs with two bits each: one bit in each of the block's eight 32-bit words."""
-    bit = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(1), key), 5 * i).bitwiseAND(F.lit(31))
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(i) + 32 * (i % 2)).cast("int"))
-    masks = {f"__m{i}": one(2 * i).bitwiseOR(one(2 * i + 1)) for i in range(4)}
-    return {"__block": F.xxhash64(key).bitwiseAND(F.lit(blocks - 1)), **masks}
-
-
-def bloom_blocks(keys: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
-    """The filter as a table (__block, __f0..__f3) of at most MOST_BLOCKS rows, and the number of its blocks."""
-    blocks = 64
-    while blocks < MOST_BLOCKS and blocks * 256 < 12 * count:
-        blocks *= 2
-    rows = keys.select(*[c.alias(n) for n, c in _block_and_masks(F.col(key), blocks).items()])
-    return rows.groupBy("__block").agg(*[F.bit_or(f"__m{i}").alias(f"__f{i}") for i in range(4)]), blocks
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url") -> DataFrame:
     """`pages` with host, path, rule, canonical, listed and verdict.
 
     `listed` has a column canonical; nulls and repeats in it have no effect. A rule's verdict stands; else listed URLs
-    are blocked and the others allowed. The Bloom filter, broadcast with at most MOST_BLOCKS rows, lets most rows past
+    are blocked and the others allowed. The Bloom filter, broadcast with a bounded number of rows, lets most rows past
     the join; possible hits are joined by the canonical URL itself, so that no false positive stays. Null URLs and such
     without `://` are not listed, and have an empty host and path. Each row of `pages` comes out once, repeats too; no
     rows: none. Columns of `pages` with the names of added ones are replaced.
     """
     known = written(listed.select(F.col("canonical").alias("__listed")).where("__listed is not null and __listed != ''").distinct(), "listed")
-    table, blocks = bloom_blocks(known, "__listed", known.count())
+    count = known.count()
+    table, blocks = bloom_blocks(known, "__listed", count)
     host, path, query = host_path_query(F.col(url_col))
     out = pages.withColumns({"__host": host, "__path": path, "__query": query})
     rule, action = matching_rule(F.col("__host"), F.col("__path"), rules)
     out = out.withColumns({"canonical": canonical_url(F.col("__host"), F.col("__path"), F.col("__query")), "rule": rule, "__action": action})
-    out = out.withColumns({"host": F.col("__host"), "path": F.col("__path")}).withColumns(_block_and_masks(F.col("canonical"), blocks))
-    out = out.join(F.broadcast(table), "__block", "left")
-    all_set = F.lit(True)
-    for i in range(4):
-        all_set &= F.coalesce(F.col(f"__f{i}").bitwiseAND(F.col(f"__m{i}")) == F.col(f"__m{i}"), F.lit(False))
-    out = out.withColumn("__maybe", all_set).drop("__block", "__host", "__path", "__query", *[f"__{k}{i}" for k in "fm" for i in range(4)])
-    hits = out.where("__maybe").join(known, F.col("canonical") == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull()).drop("__listed")
-    out = out.where("not __maybe").withColumn("listed", F.lit(False)).unionByName(hits)
+    out = out.withColumns({"host": F.col("__host"), "path": F.col("__path")}).drop("__host", "__path", "__query")
+    out = with_maybe(out, F.col("canonical"), table, blocks)
+    if count <= BROADCAST_LISTED:
+        out = out.withColumn("__key", F.when(F.col("__maybe"), F.col("canonical"))).join(F.broadcast(known), F.col("__key") == F.col("__listed"), "left")
+        out = out.withColumn("listed", F.col("__listed").isNotNull()).drop("__key", "__listed")
+    else:  # rows that are not listed for sure keep out of the shuffle, at the price of a second scan
+        hits = out.where("__maybe").join(known, F.col("canonical") == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull()).drop("__listed")
+        out = out.where("not __maybe").withColumn("listed", F.lit(False)).unionByName(hits)
     verdict = F.coalesce(F.col("__action"), F.when(F.col("listed"), "block").otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("__action", "__maybe")
 
@@ -97,9 +82,10 @@ def listed_of(pages: DataFrame, terms: Sequence[str] = LISTED_TERMS, url_col: st
     return urls.where(F.col("host").rlike(rf"(^|[.-])({'|'.join(terms)})([.-]|$)")).select(canonical_url(F.col("host"), F.col("path"), F.col("query")).alias("canonical"))
 
 
-def op10_query(pages: DataFrame) -> DataFrame:
+def op10_query(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Verdicts by the rules and a list of canonical URLs; without one, the list is the pages of hosts with a listed term."""
     thin = pages.select("page_id", "url")
-    return filter_urls(thin, listed_of(thin)).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+    return filter_urls(thin, listed_of(thin) if listed is None else listed).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
 OP10_SQL = rf"""
