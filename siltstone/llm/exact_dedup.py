@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import ascii_lower, slices, text_or_empty
+from siltstone.operators.bloom import bloom_blocks, excluding, including, with_maybe
 from siltstone.sources.tables import written
 
 PRIMES = (2147483647, 2147483629)
@@ -97,14 +98,24 @@ def _huge_fingerprints(docs: DataFrame, hasher: tuple[tuple[int, int], int], pie
 
 
 def _unequal(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
-    """Fingerprints (n, h0, h1) whose members do not all have the same bytes: their chunks are compared in streams."""
-    both = docs.select("__id", "__raw", "__text").join(members.select("__id", "__raw", "n", "h0", "h1").distinct(), ["__id", "__raw"])
-    both = both.withColumn("__bytes", F.encode(ascii_lower(F.col("__text")), "utf-8"))
+    """Fingerprints (n, h0, h1) whose members do not all have the same bytes: their chunks are compared in streams.
+
+    Texts meet their fingerprints by a hash of id and text; a Bloom filter keeps the others out of the shuffle.
+    """
+    wanted = written(members.select(_row_hash().alias("__key"), "n", "h0", "h1").distinct(), "wanted")
+    table, blocks = bloom_blocks(wanted, "__key", wanted.count())
+    both = with_maybe(docs.select(_row_hash().alias("__key"), "__text"), F.col("__key"), table, blocks).where("__maybe").join(wanted, "__key")
+    both = both.withColumn("__bytes", F.encode(ascii_lower(F.col("__text")), "utf-8")).where(F.octet_length("__bytes") == F.col("n"))
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(chunk).cast("long"))).alias("at")
     chunks = both.select("n", "h0", "h1", "__bytes", at).withColumn("c", F.substr("__bytes", (F.col("at") + 1).cast("int"), F.lit(chunk))).drop("__bytes")
     return chunks.groupBy("n", "h0", "h1", "at").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("n", "h0", "h1").distinct()
 
 
+def _row_hash() -> Column:
+    """Of the id, null ids too, and the text's hash."""
+    return F.xxhash64(F.col("__id").cast("string"), "__raw")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, int] = PRIMES, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
     """One row per row of `docs`: __id, keep_id, group_size, kept, text_sha256 and __raw, a hash of the text as given.
 
@@ -133,12 +144,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row is found again by its id and the hash of its text; of rows that are equal in both, one stays.
     """
     groups = written(exact_groups(docs, id_col, text_col), "exact")
-    kept = groups.where("kept").select(F.col("__id").alias("__kept"), F.col("__raw").alias("__hash"))
-    named = docs.withColumn("__key", F.xxhash64(text_or_empty(text_col)))
-    found = named.join(kept, named[id_col].eqNullSafe(kept["__kept"]) & (named["__key"] == kept["__hash"]), "left_semi")
-    if groups.groupBy("__id", "__raw").count().where("count > 1").isEmpty():
-        return found.drop("__key")
-    return found.dropDuplicates([id_col, "__key"]).drop("__key")
+    rows = written(groups.groupBy("__id", "__raw").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows")), "rows")
+    keys = {"__id": F.col(id_col), "__raw": F.xxhash64(text_or_empty(text_col))}
+    found = excluding(docs, keys, written(rows.where("not stays").select("__id", "__raw"), "dropped"))
+    twice = written(rows.where("stays and rows > 1").select("__id", "__raw"), "twice")
+    if twice.isEmpty():
+        return found
+    once = including(found, keys, twice).withColumn("__key", keys["__raw"]).dropDuplicates([id_col, "__key"]).drop("__key")
+    return excluding(found, keys, twice).unionByName(once)
 
 
 def op3_query(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import text_or_empty
+from siltstone.operators.bloom import excluding
 from siltstone.operators.components import connected_components
 from siltstone.sources.tables import dropped, written
 
@@ -212,8 +213,8 @@ def hex_of(fp: Column) -> Column:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay: of each group the document with the least id; all rows with that id."""
-    kept = near_groups(docs, id_col, text_col, radius).where(F.col("__id").eqNullSafe(F.col("component"))).select(F.col("__id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    groups = near_groups(docs, id_col, text_col, radius).groupBy("__id").agg(F.max(F.col("__id").eqNullSafe(F.col("component"))).alias("stays"))
+    return excluding(docs, {"__id": F.col(id_col)}, written(groups.where("not stays").select("__id"), "dropped"))
 
 
 def op7_query(docs: DataFrame) -> DataFrame:
