@@ -55,3 +55,14 @@ def test_repeated_rows_keep_one_and_columns_stay(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["keep_id"]) for r in kept.collect()) == [(1, "x"), (2, "z")]
     assert e.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_collisions_among_null_ids(spark):
+    draw = random.Random(4)
+    rows = [(None, "".join(draw.choice("ab") for _ in range(draw.choice([5, 40])))) for _ in range(60)]
+    out = e.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), primes=(7, 5), chunk=8)
+    want = defaultdict(int)
+    for _, t in rows:
+        want[hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert sorted((r["text_sha256"], r["group_size"]) for r in out.distinct().collect() if r["kept"]) == sorted(want.items())
+    assert out.where("kept").count() == len(want) and out.count() == len(rows)

@@ -48,12 +48,22 @@ def test_base_spans_match_brute_force(spark, sf_dir):
 
 
 def test_added_kinds_need_their_proof(spark):
-    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE88 3704 0044 0532 0130 00."), (3, "my ssn 123-45-6789"), (4, "part 123-45-6789")]
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE88 3704 0044 0532 0130 00."), (3, "my ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "BE68 5390 0754 7034 BANK OF X"), (6, "123-45-6789 is my social security number"), (7, "NO93 8601 1117 947, GB82WEST12345698765432"), (8, "ZZ68 5390 0754 7034")]
     got = {r["doc_id"]: r["spans"] for r in pii.op9_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "iban:5:32", 2: "", 3: "ssn:7:18", 4: ""}
+    assert got == {1: "iban:5:32", 2: "", 3: "ssn:7:18", 4: "", 5: "iban:0:19", 6: "ssn:0:11", 7: "iban:0:18,iban:20:42", 8: ""}
 
 
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "x@y.zz", 1)], "doc_id long, text string, pii_email int")
     assert pii.find_pii(df).select(F.size("pii_email")).first()[0] == 1
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """One page of 30,000 addresses is no hurdle; repeated rows are judged each."""
+    text = " ".join(f"a{i}@b{i % 7}.org" for i in range(30_000))
+    rows = [(1, text), (1, text), (2, "1.2.3.4 " * 3000)]
+    out = pii.op9_query(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_email", "n_ip", "base_sha256").collect()
+    want = {i: brute(t) for i, t in rows}
+    assert sorted(r["doc_id"] for r in out) == [1, 1, 2]
+    assert all(((r["n_email"], r["n_ip"]), r["base_sha256"]) == (want[r["doc_id"]][0][:2], want[r["doc_id"]][1]) for r in out)

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
 from siltstone.llm import quality_rules as q
 from siltstone.sources.tables import table
 
@@ -44,3 +49,34 @@ def test_empty_table_and_clashing_columns(spark):
     assert q.quality_rules(empty, trusted).count() == 0
     one = spark.createDataFrame([(None, "a b", "x", 3), (None, "a b", "x", 3)], empty.schema)
     assert [r["n_words"] for r in q.quality_rules(one, trusted).collect()] == [2, 2]
+
+
+def grams(text: str | None) -> list[int]:
+    """Hashes of the words and of the pairs of neighbours."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(words, words[1:], strict=False)]
+    return words + pairs
+
+
+def test_ratio_and_verdict_match_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-2, "one"), (-2, "one"), (-3, "long text " * 60_000)], "doc_id long, text string"))
+    trusted = q.trusted_ids(table(spark, sf_dir, "labels"))
+    good = {r["doc_id"] for r in trusted.collect()}
+    buckets, prior, threshold = 256, 1000.0, -0.05
+    rows = [tuple(r) for r in docs.collect()]
+    raw, own = Counter(), Counter()
+    for i, t in rows:
+        counts = Counter(g % buckets for g in grams(t))
+        raw += counts
+        own += counts if i in good else Counter()
+    n_raw, n_own = sum(raw.values()), sum(own.values())
+    p = [(raw[b] + 0.5) / (n_raw + 0.5 * buckets) for b in range(buckets)]
+    ratio = [math.log((own[b] + prior * p[b]) / (n_own + prior) / p[b]) for b in range(buckets)]
+    want = []
+    for i, t in rows:
+        g = grams(t)
+        mean = sum(ratio[x % buckets] for x in g) / len(g) if g else 0.0
+        want.append((i or 0, not brute(t)[-1] and mean >= threshold, mean))
+    out = q.quality_rules(docs, trusted, threshold=threshold, buckets=buckets, prior=prior).select(F.coalesce("doc_id", F.lit(0)), "kept", "ratio").collect()
+    for a, b in zip(sorted(map(tuple, out)), sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)

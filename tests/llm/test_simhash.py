@@ -99,3 +99,10 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(3, " ".join(words), "a"), (1, " ".join(words), "b"), (7, " ".join(words[::-1]), "c"), (None, "zz", "d")], "doc_id long, text string, fp string")
     assert sorted(r["fp"] for r in s.near_dedup(docs).collect()) == ["b", "c", "d"]
     assert s.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    long = "some long text of many words " * 60_000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long.upper()), (None, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in s.op7_query(docs).collect())
+    assert got[1:] == [(1, 1), (1, 1), (2, 1)] and len(got) == 4

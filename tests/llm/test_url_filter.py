@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from siltstone.llm import url_filter as u
+from siltstone.operators import bloom
 
 URLS = [
     None, "", "no scheme", "https://A.Example.ORG/es/x", "http://example.org/en/12?q#f", "http://example.org/en/2", "https://x.com/fr/1", "https://x.com/de/1", "https://x.com/en/1?b=2&a=1&utm_source=z",
@@ -26,9 +27,20 @@ def test_rules_list_and_edge_cases(spark):
 
 
 def test_bloom_filter_has_no_false_negative(spark, monkeypatch):
-    monkeypatch.setattr(u, "MOST_BLOCKS", 64)  # far too small a filter: the exact join must still be right
-    pages = spark.range(20000).selectExpr("id as page_id", "concat('http://h', id % 5000, '.net/', id) as url")
+    pages = spark.range(20000).selectExpr("id as page_id", "concat('http://h', id % 5000, '.net/', id) as url", "id as __x").withColumnRenamed("__x", "listed")
     listed = spark.range(0, 20000, 7).selectExpr("concat('h', id % 5000, '.net/', id) as canonical")
-    out = u.filter_urls(pages, listed)
-    assert out.where("listed").count() == listed.count()
-    assert out.where("listed and page_id % 7 > 0").count() == 0
+    # a filter of some bits a key, and one that is far too small; a list that is broadcast, and one that is joined by a shuffle
+    for most_blocks, most_listed in ((1 << 20, 10**6), (64, 10**6), (64, 10)):
+        monkeypatch.setattr(bloom, "MOST_BLOCKS", most_blocks)
+        monkeypatch.setattr(u, "BROADCAST_LISTED", most_listed)
+        out = u.filter_urls(pages, listed)
+        assert out.count() == 20000
+        assert out.where("listed").count() == listed.count()
+        assert out.where("listed and page_id % 7 > 0").count() == 0
+
+
+def test_repeated_rows_and_a_given_list(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/p"), (1, "http://a.net/p"), (2, None), (2, None), (3, "http://b.net/" + "x" * 50_000)], "page_id long, url string")
+    listed = spark.createDataFrame([("a.net/p",), ("a.net/p",), (None,)], "canonical string")
+    got = sorted((r["page_id"], r["verdict"], r["listed"]) for r in u.op10_query(pages, listed).collect())
+    assert got == [(1, "block", True), (1, "block", True), (2, "allow", False), (2, "allow", False), (3, "allow", False)]
