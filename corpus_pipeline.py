@@ -7,6 +7,7 @@ doc_id, text, lang and source are carried along, whatever their names, unless th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, language, mixing, packing, simhash
 from siltstone.llm.common import id_remainder
-from siltstone.sources.tables import table, written
+from siltstone.sources.tables import settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -77,5 +78,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
