@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 BOILERPLATE = (r"cookie policy", r"privacy policy", r"terms of service", r"© \d{4}.*?\.", r"all rights reserved", r"powered by.*?\.")
 ADS = ("advertisement", "sponsored", "promoted", "click here", "buy now", "sign up", "subscribe")
 ABBREVIATIONS = (
-    "dr mr mrs ms prof sr jr inc ltd corp co usa uk ca ny la sf dc etc vs st ave "
-    "blvd rd apt ste no vol pp ed rev gen adm capt lt sgt maj col cmdr gov sen rep"
-).split()
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "inc", "ltd", "corp", "co", "usa", "uk", "ca", "ny", "la", "sf", "dc", "etc", "vs", "st", "ave",
+    "blvd", "rd", "apt", "ste", "no", "vol", "pp", "ed", "rev", "gen", "adm", "capt", "lt", "sgt", "maj", "col", "cmdr", "gov", "sen", "rep",
+)
 PATTERNS = {
     "emails": ((r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",), 0.99),
     "phone_numbers": ((r"(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",), 0.95),
@@ -24,7 +24,12 @@ PATTERNS = {
 }
 # End of the fixed values.
 
-STOP_WORDS = {"en": "the of and to in is that it for was with are", "de": "der die das und ist nicht ein eine mit von zu auf", "fr": "le la les et est des une dans pour que par sur", "es": "el los las y es una para que con por del se"}
+STOP_WORDS = {
+    "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "are"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "von", "zu", "auf"),
+    "fr": ("le", "la", "les", "et", "est", "des", "une", "dans", "pour", "que", "par", "sur"),
+    "es": ("el", "los", "las", "y", "es", "una", "para", "que", "con", "por", "del", "se"),
+}
 
 
 def _re(pattern: str, *, ignore_case: bool = False) -> str:
@@ -114,7 +119,7 @@ def clean_extracted(text: Column, most_bytes: int = 100_000) -> Column:
 def split_sentences(text: Column) -> Column:
     """Stripped sentences; a piece that is an abbreviation alone goes to the one before."""
     pieces = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: s != "")
-    short = lambda s: F.lower(s).isin(ABBREVIATIONS)
+    short = lambda s: F.lower(s).isin(*ABBREVIATIONS)
     start = F.array().cast("array<string>")
 
     def join(done: Column, piece: Column) -> Column:
@@ -216,7 +221,7 @@ def pattern_confidences(found: Column) -> Column:
 def language_votes(text: Column) -> Column:
     """The language with most stop words among the words, the first on ties; `unknown` without any."""
     own = words(F.regexp_replace(F.lower(text), _re(r"[^\w\s]"), ""))
-    votes = lambda stops: F.size(F.filter(own, lambda w: w.isin(stops.split())))
+    votes = lambda stops: F.size(F.filter(own, lambda w: w.isin(list(stops))))
     counts = [F.struct(votes(stops).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, stops) in enumerate(STOP_WORDS.items())]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["lang"]).otherwise("unknown")

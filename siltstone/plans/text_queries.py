@@ -315,6 +315,11 @@ _COMPONENTS = f"""{_NEAR}, copies as (select doc_id as id, min(doc_id) over (par
 SQL["duplicate_components"] = f"""with recursive {_COMPONENTS} select sized.id, component, group_size, best_id, coalesce(confidence, 0.0::double) as confidence, case when group_size > 1 then 'Keep ' || best_id || ', remove others' end as advice
     from sized left join sure on sized.id = sure.id"""
 SQL["best_version"] = f"with recursive {_COMPONENTS} select id as _id, 0.4::double + 0.5::double * cast(quality as double) as content_quality_score from sized left join labels on doc_id = id where id = best_id"
+SQL["similar_content"] = f"""with {ad.CONTENT_SQL}, {_NEAR}, copies as (select doc_id as id, min(doc_id) over (partition by fp) as first_id from p),
+    links as (select distinct first_id as f, first_id as t, 1.0::double as score from copies union all select id_a, id_b, length_score from near union all select id_b, id_a, length_score from near),
+    found as (select c.id as content_id, m.id as member, l.score, row_number() over (partition by c.id order by l.score desc, m.id) as place from copies c join links l on l.f = c.first_id join copies m on m.first_id = l.t
+      where c.id % 20 = 0 and c.id <> m.id and l.score >= 0.3)
+    select content_id, place, member, score, url from found join content_t on _id = member where place <= 10"""
 SQL["title_relevance"] = f"""{_with(ad.USER_QUERIES_SQL)}, l as (select conv_id, turn, lower(left(raw_query, 20)) as title, lower(left(raw_query, 60)) as body, list_filter(regexp_split_to_array(lower(raw_query), '\\s+'), lambda w: length(w) > 2) as terms,
     case when conv_id % 2 = 0 then [{_list(sc.RESULT_WORDS["ai_tools"])}] else [{_list(sc.RESULT_WORDS["mutual_funds"])}] end as own from user_queries_t),
     n as (select conv_id, turn, len(list_filter(list_concat(list_distinct(terms), own), lambda w: contains(title, w))) as t, coalesce(list_sum(list_transform(list_concat(terms, own), lambda w: (length(body) - length(replace(body, w, ''))) // length(w))), 0) as k,

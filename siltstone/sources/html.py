@@ -28,8 +28,8 @@ TWITTER = ("twitter:title", "twitter:description", "twitter:card")
 DATE_METAS = ("article:published_time", "publication_date", "publish_date", "date", "pubdate")
 # End of the fixed values.
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset("p div article main section header footer nav aside ul ol li h1 h2 h3 h4 h5 h6 table tr td th pre blockquote br".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+BLOCK = frozenset({"p", "div", "article", "main", "section", "header", "footer", "nav", "aside", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "pre", "blockquote", "br"})
 LEAST = 100
 
 PARSED = (

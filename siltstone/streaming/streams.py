@@ -151,10 +151,10 @@ def session_states(actions: DataFrame, idle: int = 1800, late: str = "1 minute")
             state.remove()
             yield pd.DataFrame([row(key, held, "expired")], columns=names)
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for at, action, ok in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["action"], rows["ok"], strict=True):
-            held = held or [int(at), int(at), 0, 0]
-            held = [held[0], max(held[1], int(at)), held[2] + 1, held[3] + int(ok)]
+        rows = [r for b in batches for r in zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["seq"], b["action"], b["ok"], strict=True)]
+        for at, _, action, ok in sorted(rows):
+            held = held or [at, at, 0, 0]
+            held = [held[0], max(held[1], at), held[2] + 1, held[3] + int(ok)]
             if action == "end":
                 done.append(row(key, held, "completed"))
                 held = None

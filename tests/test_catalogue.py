@@ -46,8 +46,5 @@ EMPTY = {"page_images"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
-def test_queries_without_sql_give_the_same_rows_again(name, spark, sf_dir):
-    rows = lambda: sorted(str(tuple(map(plain, r))) for r in QUERIES[name](spark, sf_dir).collect())
-    first = rows()
-    assert bool(first) == (name not in EMPTY)
-    assert first == rows()
+def test_queries_without_sql_have_rows(name, spark, sf_dir):
+    assert QUERIES[name](spark, sf_dir).isEmpty() == (name in EMPTY)
