@@ -133,7 +133,7 @@ def title_scores(spark, sf_dir):
 
 
 def near(spark, sf_dir):
-    c = ad.content_t(spark, sf_dir).select("_id", "url", "title", "content")
+    c = ad.texts_t(spark, sf_dir)
     return dedup.near_pairs(c, dedup.fingerprints(c)).select("id_a", "id_b", "jaccard", "length_score")
 
 
@@ -162,8 +162,8 @@ def duplicates(spark, sf_dir):
 
 def similar_rows(spark, sf_dir):
     """J5 for every twentieth id, against all rows."""
-    c = ad.content_t(spark, sf_dir)
-    found = dedup.similar_content(c.select("_id", "url", "title", "content"), c.where("_id % 20 = 0").select(F.col("_id").alias("id")), 0.3)
+    c = ad.texts_t(spark, sf_dir)
+    found = dedup.similar_content(c, c.where("_id % 20 = 0").select(F.col("_id").alias("id")), 0.3)
     return found.join(c.select(F.col("_id").alias("member"), "url"), "member").select(F.col("id").alias("content_id"), "place", "member", "score", "url")
 
 

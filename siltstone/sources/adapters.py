@@ -96,6 +96,12 @@ def content_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped content without what labels say of it, so that texts need no join."""
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), url.alias("url"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"))
+
+
 CONTENT_SQL = """content_t as (
   select d.doc_id as _id, 'https://' || source || '.example.org/' || lang || '/' || cast(d.doc_id as varchar) as url, cast(null as varchar) as title, text as content,
     case d.doc_id % 3 when 0 then 'article' when 1 then 'documentation' else 'general' end as content_type, octet_length(encode(text)) as content_size_bytes,
