@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, language, mixing, packing, pii, quality_rules, simhash, token_counts, toxicity, url_filter
+from siltstone.llm import exact_dedup, language, mixing, packing, periodic, pii, quality_rules, simhash, token_counts, toxicity, url_filter
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_language": _of(language.op8_query, "documents"),
         "op9_pii": _of(pii.op9_query, "documents"),
         "op10_url_filter": _of(url_filter.op10_query, "pages"),
+        "op13_periodic_runs": _of(periodic.op13_query, "documents"),
     }
 
 
