@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, language, mixing, packing, periodic, pii, quality_rules, simhash, spelling, token_counts, toxicity, url_filter
+from siltstone.llm import exact_dedup, language, mixing, packing, periodic, pii, quality_rules, simhash, spelling, token_counts, toxicity, url_filter, warc
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,11 @@ def queries() -> dict[str, Query]:
         "op8_language": _of(language.op8_query, "documents"),
         "op9_pii": _of(pii.op9_query, "documents"),
         "op10_url_filter": _of(url_filter.op10_query, "pages"),
+        "op11_warc": _of(warc.op11_query, "pages"),
         "op12_spelling_variants": _of(spelling.op12_query, "documents"),
         "op13_periodic_runs": _of(periodic.op13_query, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_url_filter": url_filter.OP10_SQL, "op11_warc": warc.OP11_SQL}
