@@ -21,6 +21,8 @@ IBAN_LENGTHS = {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
 IBAN = "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+#: So many parts of a text are walked in one go; more are cut into lots.
+FEW = 32
 #: Spans of the kinds beyond the base are given from this score on.
 THRESHOLD = 0.6
 
@@ -103,11 +105,11 @@ def lots(zipped: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(zipped, i * n + 1, n))
 
 
-def found(kind: Kind, lots_: Column) -> Column:
-    """Confirmed spans of a kind: array of (start, end, score), in code points, from the lots of its parts.
+def found(kind: Kind, zipped: Column) -> Column:
+    """Confirmed spans of a kind: array of (start, end, score), in code points, from its parts.
 
-    Lengths of the matches and of the pieces between them add up to places: first of the lots, then inside each. An
-    array that grows is copied for each element, and so is kept to the root of the number of matches.
+    Lengths of the matches and of the pieces between them add up to places. An array that grows is copied for each
+    element, and so is kept to the root of the number of matches: of many, places of lots come first, then those inside.
     """
     length = lambda x: (F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("bigint")
     tail = lambda x: F.substr(x, F.greatest(F.lit(1), F.length(x) - CONTEXT_CHARS + 1))
@@ -122,11 +124,14 @@ def found(kind: Kind, lots_: Column) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), F.least(F.lit(1.0), score).alias("score"))
         return F.struct(end.alias("at"), F.when(good, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
+    begun = lambda at: F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
+    walked = lambda rows, at: F.aggregate(rows, begun(at), step, lambda acc: acc["out"])
+    lots_ = lots(zipped)
     sums = F.transform(lots_, lambda lot: F.aggregate(lot, F.lit(0).cast("bigint"), lambda n, x: n + length(x)))
     starts = F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    begun = lambda at: F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
     placed = F.arrays_zip(lots_.alias("lot"), F.slice(starts, F.lit(1), F.size(lots_)).alias("at"))
-    return F.flatten(F.transform(placed, lambda p: F.aggregate(p["lot"], begun(p["at"]), step, lambda acc: acc["out"])))
+    many = F.flatten(F.transform(placed, lambda p: walked(p["lot"], p["at"])))
+    return F.when(F.size(zipped) <= FEW, walked(zipped, F.lit(0).cast("bigint"))).otherwise(many)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -139,7 +144,6 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
     docs = docs.withColumns({f"__{k.name}": F.when(text.contains(k.probe) if k.probe == "@" else text.rlike(k.probe), _marked(k.name, text)) for k in KINDS})
     docs = docs.withColumns({f"__{k.name}": F.when(F.col(f"__{k.name}").isNotNull(), parts(k, F.col(f"__{k.name}"))) for k in KINDS})
-    docs = docs.withColumns({f"__{k.name}": F.when(F.col(f"__{k.name}").isNotNull(), lots(F.col(f"__{k.name}"))) for k in KINDS})
     none = F.array().cast(SPANS)
     docs = docs.withColumns({f"pii_{k.name}": F.when(F.col(f"__{k.name}").isNotNull(), found(k, F.col(f"__{k.name}"))).otherwise(none) for k in KINDS})
     return docs.drop(*[f"__{k.name}" for k in KINDS])
