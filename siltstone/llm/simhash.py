@@ -58,15 +58,16 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(__id, fp): the fingerprint of each row, as a signed long."""
+    """(__id, fp, __raw): the fingerprint of each row, as a signed long, and a hash of its text as given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["__id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["__id", "fp", "__raw"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, f"__id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col), F.xxhash64(text_or_empty(text_col)))
+    return rows.mapInArrow(run, f"__id {kind}, fp bigint, __raw bigint")
 
 
 def tables_for(count: int, radius: int = RADIUS) -> list[int]:
@@ -188,7 +189,7 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """(__id, fp, component) for each row of `docs`: component is the least id that links reach.
+    """(__id, fp, component, __raw) for each row of `docs`: component is the least id that links reach, __raw a hash of the text.
 
     Texts without words have fingerprint 0 and are linked like any others; null texts count as empty. Repeated rows
     come out as often. Null ids have their links too, and are never the least where there are others. No rows: none.
@@ -204,7 +205,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = written(members.join(least, "__c").select("fp", "component"), "named")
     out = prints.join(named, "fp")
     dropped(members)
-    return out.select("__id", "fp", "component")
+    return out.select("__id", "fp", "component", "__raw")
 
 
 def hex_of(fp: Column) -> Column:
@@ -212,9 +213,14 @@ def hex_of(fp: Column) -> Column:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay: of each group the document with the least id; all rows with that id."""
-    groups = near_groups(docs, id_col, text_col, radius).groupBy("__id").agg(F.max(F.col("__id").eqNullSafe(F.col("component"))).alias("stays"))
-    return excluding(docs, {"__id": F.col(id_col)}, written(groups.where("not stays").select("__id"), "dropped"))
+    """The rows of `docs` that stay: of each group those with its least id.
+
+    Rows are told apart by id and text, so that an id, or null, with several texts is as many documents. Where a group's
+    least id comes several times in it, all of these rows stay.
+    """
+    groups = near_groups(docs, id_col, text_col, radius).where(~F.col("__id").eqNullSafe(F.col("component")))
+    keys = {"__id": F.col(id_col), "__raw": F.xxhash64(text_or_empty(text_col))}
+    return excluding(docs, keys, written(groups.select("__id", "__raw").distinct(), "dropped"))
 
 
 def op7_query(docs: DataFrame) -> DataFrame:

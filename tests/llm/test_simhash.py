@@ -106,3 +106,10 @@ def test_repeated_rows_and_very_long_texts(spark):
     docs = spark.createDataFrame([(1, long), (1, long), (2, long.upper()), (None, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in s.op7_query(docs).collect())
     assert got[1:] == [(1, 1), (1, 1), (2, 1)] and len(got) == 4
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a), (7, a.upper()), (7, b), (None, a), (None, c), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, s.near_dedup(docs).collect())) == sorted(map(str, spark.createDataFrame([(5, a), (7, b), (None, c), (5, a)], docs.schema).collect()))
