@@ -50,7 +50,7 @@ COLUMNS = {
     "metric_gauges": "value",
     "appended_queries": "execution_time",
     "load_test_requests": "duration_ms",
-    "near_duplicates": "jaccard length_score",
+    "near_pairs": "jaccard length_score",
     "duplicate_components": "confidence",
     "best_version": "content_quality_score",
     "best_versions": "score",

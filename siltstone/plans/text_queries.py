@@ -8,7 +8,7 @@ from siltstone.functions import requests as rq
 from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
-from siltstone.operators import aggregates, dedup, logs, ranking, stored
+from siltstone.operators import aggregates, dedup, logs, near, ranking, stored
 from siltstone.sources import adapters as ad
 from siltstone.sources.tables import table, written
 
@@ -93,7 +93,10 @@ QUERIES = {
     "session_queries": lambda s, d: stored.newest(stored.lookup(ad.queries_t(s, d), user_id=7, status="processing"), "created_at", "_id", 50).select("_id", "session_id", "created_at"),
     "quality_gate": lambda s, d: stored.quality_gate(ad.content_t(s, d)).select("_id", "content_quality_score"),
     "fetch_stats": lambda s, d: logs.fetch_stats(ad.requests_t(s, d), "path", 2.0),
-    "near_duplicates": lambda s, d: near(s, d),
+    "near_duplicates": lambda s, d: near_classes(s, d),
+    "near_pairs": lambda s, d: near_pairs(s, d),
+    "candidate_pairs": lambda s, d: dedup.near_candidates(written(dedup.fingerprints(ad.texts_t(s, d)), "prints")),
+    "structure_fingerprints": lambda s, d: dedup.fingerprints(ad.texts_t(s, d)).select("id", "structure_fp", "length", "words"),
     "duplicate_components": lambda s, d: dedup.duplicate_analysis(ad.content_t(s, d)),
     "best_version": lambda s, d: dedup.best_versions(ad.content_t(s, d)).select("_id", "content_quality_score"),
     "content_mapping": lambda s, d: mapping(s, d),
@@ -132,7 +135,14 @@ def title_scores(spark, sf_dir):
     return q.select("conv_id", "turn", sc.title_relevance(title, F.col("raw_query"), category).alias("title_score"), sc.snippet_relevance(F.substr("raw_query", F.lit(1), F.lit(60)), F.col("raw_query"), category).alias("snippet_score"))
 
 
-def near(spark, sf_dir):
+def near_classes(spark, sf_dir):
+    """D5 as classes, with one representative for each text."""
+    c = ad.texts_t(spark, sf_dir)
+    return near.near_classes(c, written(dedup.fingerprints(c), "prints")).select("id", "text_id", "class_id")
+
+
+def near_pairs(spark, sf_dir):
+    """D5 as all pairs, by the exact join."""
     c = ad.texts_t(spark, sf_dir)
     return dedup.near_pairs(c, dedup.fingerprints(c)).select("id_a", "id_b", "jaccard", "length_score")
 
@@ -304,7 +314,18 @@ _NEAR = f"""p as (select doc_id, case when coalesce(text, '') = '' then '' else
     c as (select a.id as id_a, b.id as id_b, count(*) as common from s a join s b on a.g = b.g and a.id < b.id group by all),
     near as (select id_a, id_b, common / (x.n + y.n - common)::double as jaccard, 1.0::double - abs(da.chars - db.chars) / greatest(1, da.chars, db.chars)::double as length_score
     from c join n x on x.id = id_a join n y on y.id = id_b join d da on da.id = id_a join d db on db.id = id_b where common / (x.n + y.n - common)::double >= 0.8)"""
-SQL["near_duplicates"] = f"with {_NEAR} select * from near"
+SQL["near_pairs"] = f"with {_NEAR} select * from near"
+SQL["near_duplicates"] = f"""with recursive {_NEAR}, both_ways as (select id_a as a, id_b as b from near union all select id_b, id_a from near),
+    reach(id, other) as (select id, id from r union select reach.id, b from reach join both_ways on other = a), parts as (select id, min(other) as class_id from reach group by id),
+    copies as (select doc_id as id, min(doc_id) over (partition by fp) as text_id from p) select copies.id, text_id, class_id from copies join parts on parts.id = text_id"""
+_SHAPES = f"""f as (select doc_id as id, case when coalesce(text, '') = '' then '' else {_PRINT} end as fp, coalesce(text, '') as text from documents),
+    c as (select id, fp, length(text) as length, len(list_filter(str_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S'))) as paragraphs, len(list_filter(str_split(text, '.'), lambda x: regexp_matches(x, '\\S'))) as sentences,
+      len(regexp_extract_all(text, '\\S+')) as words from f),
+    shapes as (select id, fp, length, words, md5('p' || paragraphs || '_s' || sentences || '_w' || words) as structure_fp from c)"""
+SQL["structure_fingerprints"] = f"with {_SHAPES} select id, structure_fp, length, words from shapes"
+SQL["candidate_pairs"] = f"""with {_SHAPES}, t as (select * from shapes where id in (select min(id) from shapes group by fp))
+    select a.id as id_a, b.id as id_b, greatest(a.length, b.length) as longer, abs(a.length - b.length) as difference from t a join t b using (structure_fp)
+    where a.id < b.id and abs(a.length - b.length) <= 0.2 * greatest(a.length, b.length) and abs(a.words - b.words) <= 0.25 * greatest(a.words, b.words)"""
 # no two rows of content have a URL in common
 _COMPONENTS = f"""{_NEAR}, copies as (select doc_id as id, min(doc_id) over (partition by fp) as first_id from p),
     edges as (select first_id as a, id as b, 1.0::double as score from copies where id <> first_id union all select id_a, id_b, length_score from near), both_ways as (select a, b, score from edges union all select b, a, score from edges),
