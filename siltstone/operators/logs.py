@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.operators.prefix import global_totals
+from siltstone.operators.prefix import global_totals, in_ranges, inside, parts_before, with_parts
 from siltstone.sources.tables import written
 
 #: Upper bounds of a duration histogram in seconds, fixed values of the metrics format.
@@ -55,10 +55,11 @@ def ranked_values(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Counts come first and are then totalled by ranges of (group, value), so that a group of any size is no task's own.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    total = global_totals(counts, [F.col(group), F.col("v")], {"below": F.col("c")})
-    heads = total.groupBy(F.col(group).alias("__g")).agg(F.min("below").alias("start"), F.sum("c").alias("n"))
-    return total.join(heads, F.col(group).eqNullSafe(F.col("__g"))).select(group, "v", "c", (F.col("below") - F.col("start")).alias("before"), "n")
+    counts = in_ranges(df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), group, ["v"])
+    parts = counts.groupBy(group, "__p").agg(F.sum("c").alias("__s"))
+    parts = parts.select(group, "__p", F.coalesce(F.sum("__s").over(parts_before(group)), F.lit(0)).alias("__o"), F.sum("__s").over(W.partitionBy(group)).alias("n"))
+    own = F.coalesce(F.sum("c").over(inside(group, ["v"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return with_parts(counts.withColumn("__r", own), parts, group).select(group, "v", "c", (F.col("__o") + F.col("__r")).alias("before"), "n")
 
 
 def percentiles_nearest(df: DataFrame, group: str, value: str, ps: Sequence[int] = (50, 95, 99)) -> DataFrame:
@@ -133,17 +134,33 @@ def stage_report(timings: DataFrame, stage: str, value: str, limits: dict[str, f
     stats = timings.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
     stats = written(stats.join(percentiles_linear(timings, stage, value, (50, 95)).drop("n").withColumnRenamed("p50", "median"), stage, "left"), "stages")
     over = timings.join(stats.select(stage, "p95"), stage).where(F.col(value) > F.col("p95")).groupBy(stage).agg(F.count(F.lit(1)).alias("outliers"))
+    out = stats.join(over, stage, "left").withColumns({"outliers": F.coalesce("outliers", F.lit(0)), "limit": _limit_of(F.col(stage), limits, default_limit)})
+    return out.withColumns({"mean_near_limit": F.col("mean") > F.lit(0.8) * F.col("limit"), "most_over_limit": F.col("most") > F.col("limit"), "status": stage_status(F.col("mean"), F.col("limit"))})
+
+
+def _limit_of(stage: Column, limits: dict[str, float], default_limit: float) -> Column:
     limit = F.lit(float(default_limit))
     for name, x in limits.items():
-        limit = F.when(F.col(stage) == name, float(x)).otherwise(limit)
-    out = stats.join(over, stage, "left").withColumns({"outliers": F.coalesce("outliers", F.lit(0)), "limit": limit})
-    return out.withColumns({"mean_near_limit": F.col("mean") > F.lit(0.8) * F.col("limit"), "most_over_limit": F.col("most") > F.col("limit"), "status": stage_status(F.col("mean"), F.col("limit"))})
+        limit = F.when(stage == name, float(x)).otherwise(limit)
+    return limit
 
 
 def stage_status(value: Column, limit: Column) -> Column:
-    """By the share of the limit."""
-    share = value / limit
-    return F.when(share < 0.5, "EXCELLENT").when(share < 0.8, "GOOD").when(share < 1.0, "ACCEPTABLE").when(share < 1.2, "SLOW").otherwise("CRITICAL")
+    """By the share of the limit; unknown where that is 0."""
+    share = F.try_divide(value, limit)
+    return F.when(limit == 0, "UNKNOWN").when(share < 0.5, "EXCELLENT").when(share < 0.8, "GOOD").when(share < 1.0, "ACCEPTABLE").when(share < 1.2, "SLOW").otherwise("CRITICAL")
+
+
+def overall_status(timings: DataFrame, request: str, stage: str, value: str, limits: dict[str, float], default_limit: float, total_limit: float) -> DataFrame:
+    """By request: the time of its stages, the status of that, its slow and critical stages, and PASS, WARN or FAIL.
+
+    A critical stage fails, else a slow one warns; else the total decides: critical fails, slow or acceptable warns.
+    """
+    status = stage_status(F.col(value), _limit_of(F.col(stage), limits, default_limit))
+    out = timings.withColumn("__status", status).groupBy(request).agg(F.sum(value).alias("total"), F.count_if(F.col("__status") == "SLOW").alias("slow"), F.count_if(F.col("__status") == "CRITICAL").alias("critical"))
+    out = out.withColumn("total_status", stage_status(F.col("total"), F.lit(float(total_limit))))
+    by_total = F.when(F.col("total_status") == "CRITICAL", "FAIL").when(F.col("total_status").isin("SLOW", "ACCEPTABLE"), "WARN").otherwise("PASS")
+    return out.withColumn("overall", F.when(F.col("critical") > 0, "FAIL").when(F.col("slow") > 0, "WARN").otherwise(by_total))
 
 
 def stage_shares(timings: DataFrame, request: str, value: str) -> DataFrame:
@@ -153,6 +170,16 @@ def stage_shares(timings: DataFrame, request: str, value: str) -> DataFrame:
     return timings.join(totals, F.col(request) == F.col("__request"), "left").withColumn("percent_of_total", share).drop("__request", "__total")
 
 
+def response_metrics(items: DataFrame, request: str, ok: Column, ts: str) -> DataFrame:
+    """By request: its items, those that are ok, their share, milliseconds from first to last, and items a second.
+
+    A condition that is null is not ok. Without any time in between, throughput is 0. `stage_shares` has the stages' parts.
+    """
+    n, good = F.count(F.lit(1)), F.count_if(F.coalesce(ok, F.lit(False)))
+    out = items.groupBy(request).agg(n.alias("items_processed"), good.alias("items_successful"), (good / n).alias("success_rate"), ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(1000.0)).alias("execution_ms"))
+    return out.withColumn("items_per_second", F.when(F.col("execution_ms") > 0, F.col("items_processed") / (F.col("execution_ms") / 1000)).otherwise(0.0))
+
+
 def success_summary(requests: DataFrame) -> DataFrame:
     """Ok, failed and the rate, of all."""
     n = F.count(F.lit(1))
@@ -178,13 +205,18 @@ def error_patterns(requests: DataFrame, kind: str = "path", site: str = "client"
 
 
 def window_counts(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests of the client in (t - seconds, t], this one included, in order of arrival."""
+    """Requests of the client in (t - seconds, t], this one included, in order of arrival.
+
+    That is the request's place less the number of the client's requests up to t - seconds. Both are running counts in
+    one order of requests and of the ends of their windows, which are totalled by ranges, whatever share a client has.
+    """
+    rows = written(requests.withColumn("__row", F.monotonically_increasing_id()), "requests")
     micros = F.unix_micros("ts")
-    # a range frame counts later requests of the same instant too; their number by order of arrival is taken off
-    frame = W.partitionBy("client").orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), W.currentRow)
-    same = W.partitionBy("client", "ts")
-    later = F.count(F.lit(1)).over(same) - F.row_number().over(same.orderBy("event_id"))
-    return requests.withColumn("in_window", F.count(F.lit(1)).over(frame) - later)
+    here = rows.select("client", micros.alias("at"), F.lit(0).alias("end"), "event_id", "__row")
+    ends = rows.select("client", (micros - seconds * 1_000_000).alias("at"), F.lit(1).alias("end"), "event_id", "__row")
+    counted = global_totals(here.unionByName(ends), [F.col(c) for c in ("client", "at", "end", "event_id", "__row")], {"below": (F.lit(1) - F.col("end")).cast("long")})
+    found = counted.groupBy("__row").agg((F.sum(F.when(F.col("end") == 0, F.col("below") + 1).otherwise(-F.col("below")))).alias("in_window"))
+    return rows.join(found, "__row").drop("__row")
 
 
 def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -200,15 +232,21 @@ def key_allowed(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame
 def polite_schedule(requests: DataFrame, by: str, delay: float, duration: str | None = None) -> DataFrame:
     """start_i = max(arrival_i, start_(i-1) + delay), in a closed form: running sum plus a running maximum.
 
-    With a `duration` column the slot is held while it takes longer than the delay.
+    With a `duration` column the slot is held while it takes longer than the delay. Both compose over ranges of a
+    group's requests, so that one site's queue is spread over tasks.
     """
-    order = W.partitionBy(by).orderBy("ts", "event_id")
+    rows, order = in_ranges(requests, by, ["ts", "event_id"]), inside(by, ["ts", "event_id"])
     held = F.lit(float(delay)) if duration is None else F.greatest(F.lit(float(delay)), F.col(duration))
-    before = F.coalesce(F.sum(held).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    arrival = F.unix_micros("ts") / F.lit(1e6)
-    out = requests.withColumns({"__before": before, "arrival": arrival})
-    start = F.col("__before") + F.max(F.col("arrival") - F.col("__before")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("start", start).withColumn("wait", F.col("start") - F.col("arrival")).drop("__before")
+    rows = rows.withColumns({"arrival": F.unix_micros("ts") / F.lit(1e6), "__held": held})
+    rows = rows.withColumn("__b", F.coalesce(F.sum("__held").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = written(rows.withColumn("__m", F.max(F.col("arrival") - F.col("__b")).over(order.rowsBetween(W.unboundedPreceding, 0))), "held")
+    # a range hands on the sum of its slots, and how far its arrivals are ahead of these; the sums before shift the latter
+    parts = rows.groupBy(by, "__p").agg(F.sum("__held").alias("__s"), F.max("__m").alias("__most"))
+    parts = parts.withColumn("__o", F.coalesce(F.sum("__s").over(parts_before(by)), F.lit(0.0)))
+    parts = parts.select(by, "__p", "__o", F.max(F.col("__most") - F.col("__o")).over(parts_before(by)).alias("__ahead"))
+    out = with_parts(rows, parts, by)
+    start = F.col("__b") + F.col("__o") + F.greatest(F.col("__m") - F.col("__o"), F.col("__ahead"))
+    return out.withColumn("start", start).withColumn("wait", F.col("start") - F.col("arrival")).select(*requests.columns, "arrival", "start", "wait")
 
 
 def degradation(requests: DataFrame, by: str, value: str, limit: float = 20.0, key: str = "event_id") -> DataFrame:
@@ -229,16 +267,26 @@ def degradation(requests: DataFrame, by: str, value: str, limit: float = 20.0, k
 LEAK_FACTORS = {"memory_mb": 1.1, "open_files": 1.5, "threads": 1.2}
 
 
+def _with_previous(df: DataFrame, by: str, order: list[str], value: Column) -> DataFrame:
+    """Adds `__before`: `value` of the row before in its group; a range hands its last row on to the group's next."""
+    rows = in_ranges(df.withColumn("__v", value), by, order)
+    parts = rows.groupBy(by, "__p").agg(F.max_by(F.struct("__v"), F.struct(*order)).alias("__l"))
+    parts = parts.select(by, "__p", F.lag("__l").over(W.partitionBy(by).orderBy("__p")).alias("__last"))
+    own = inside(by, order)
+    first = F.row_number().over(own) == 1
+    out = with_parts(rows.withColumns({"__own": F.lag("__v").over(own), "__first": first}), parts, by)
+    return out.select(*df.columns, F.when(F.col("__first"), F.col("__last.__v")).otherwise(F.col("__own")).alias("__before"))
+
+
 def leaks(samples: DataFrame, by: str, ts: str, id_col: str, value: str, factor: float = 1.1) -> DataFrame:
     """W12 for one resource: samples that are over `factor` times the one before."""
-    before = F.lag(value).over(W.partitionBy(by).orderBy(ts, id_col))
-    return samples.withColumn("before", before).withColumn("leak", F.coalesce(F.col(value) > F.lit(factor) * F.col("before"), F.lit(False)))
+    out = _with_previous(samples, by, [ts, id_col], F.col(value)).withColumnRenamed("__before", "before")
+    return out.withColumn("leak", F.coalesce(F.col(value) > F.lit(factor) * F.col("before"), F.lit(False)))
 
 
 def leak_warnings(snapshots: DataFrame, by: str, ts: str, key: str, factors: dict[str, float] = LEAK_FACTORS) -> DataFrame:
     """Adds `warnings`, the resources of `factors` that grew beyond their factor since the snapshot before."""
-    order = W.partitionBy(by).orderBy(ts, key)
-    out = snapshots.withColumn("__before", F.lag(F.struct(*factors)).over(order))
+    out = _with_previous(snapshots, by, [ts, key], F.struct(*factors))
     grown = [F.when(F.col(c) > F.lit(f) * F.col("__before")[c], c) for c, f in factors.items()]
     return out.withColumn("warnings", F.array_compact(F.array(*grown))).drop("__before")
 
@@ -277,7 +325,7 @@ def advice(requests: DataFrame, memory: DataFrame | None = None, pools: DataFram
     finding = lambda df, where, text, name="scenario": df.where(where).select(F.col(name).cast("string").alias("scenario"), F.lit(text).alias("finding"))
     cache, load = cache_efficiency(requests), load_summary(requests)
     limits = written(load.select(F.col("scenario").alias("__s"), "p95"), "p95")
-    beyond = requests.join(F.broadcast(limits), F.col("scenario") == F.col("__s")).groupBy("scenario").agg((F.lit(100.0) * F.count_if(F.col("duration_ms") > F.col("p95")) / F.count(F.lit(1))).alias("outliers_percent"))
+    beyond = requests.join(limits, F.col("scenario") == F.col("__s")).groupBy("scenario").agg((F.lit(100.0) * F.count_if(F.col("duration_ms") > F.col("p95")) / F.count(F.lit(1))).alias("outliers_percent"))
     parts = [
         finding(degradation(requests, "scenario", "duration_ms"), "degraded", "degradation"), finding(beyond, "outliers_percent > 10", "many outliers"), finding(cache, "low_hit_rate", "low cache hit rate"),
         finding(cache, "slow_hits", "cache hits are slow"), finding(load, "success_rate < 95", "failures"),

@@ -63,3 +63,28 @@ def global_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Adds `out`: the place from 0 of each row in the order of all rows."""
     return global_totals(df, order, {out: F.lit(1).cast("long")})
+
+
+def in_ranges(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """`df` as a written table in ranges of (by, order), with their numbers `__p`: a group of any size lies in several.
+
+    Ranges follow each other as the rows do, so that what one hands on to the next is a row for each (by, __p). Rows that
+    are equal in all of these columns lie in the same one. `df` is run once more for a sample of its order.
+    """
+    return written(df.repartitionByRange(by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def with_parts(rows: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """Rows of ranges with the columns of their (by, __p) in `parts`; null is a group as others are."""
+    named = parts.withColumnsRenamed({by: "__by", "__p": "__q"})
+    return rows.join(named, (F.col("__p") == F.col("__q")) & F.col(by).eqNullSafe(F.col("__by"))).drop("__by", "__q")
+
+
+def parts_before(by: str) -> W:
+    """The window of a group's ranges that come before one."""
+    return W.partitionBy(by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+
+
+def inside(by: str, order: list[str]) -> W:
+    """The window of a group's rows in one range, in order."""
+    return W.partitionBy("__p", by).orderBy(*order)

@@ -29,6 +29,8 @@ COLUMNS = {
     "memory_growth": "start_mb end_mb peak_mb least_mb average_mb growth_per_request",
     "pool_utilisation": "average_percent most_percent",
     "stage_status": "least most mean median p95 limit",
+    "response_metrics": "success_rate execution_ms items_per_second",
+    "overall_status": "total",
     "stage_shares": "percent_of_total",
     "success_summary": "success_rate",
     "polite_schedule": "start wait",
