@@ -69,9 +69,15 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumns({"total": F.lit(n), "total_pages": F.lit(pages), "has_next": F.lit(number < pages), "has_previous": F.lit(number > 1)})
 
 
-def update(df: DataFrame, changes: DataFrame, key: str, allowed: Sequence[str]) -> DataFrame:
-    """Rows with the allowed columns of the last change for their key, where these are not null."""
-    named = changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in allowed if c in changes.columns])
+def update(df: DataFrame, changes: DataFrame, key: str, allowed: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows with the allowed columns of the last change for their key, where these are not null.
+
+    The last change is that of the greatest `order`; of equal ones, and without an order, that of the greatest values.
+    """
+    new = [c for c in allowed if c in changes.columns]
+    by = F.struct(*([order] if order else []), *new)
+    last = changes.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*new), by).alias("__last"))
+    named = last.select("__key", *[F.col("__last")[c].alias(f"__new_{c}") for c in new])
     out = df.join(named, df[key] == F.col("__key"), "left")
     for c in allowed:
         if c in changes.columns:

@@ -40,7 +40,7 @@ QUERIES = {
     "stage_status": lambda s, d: logs.stage_report(ad.requests_t(s, d), "scenario", "duration_ms", {"click": 20000.0, "view": 30000.0}, 25000.0),
     "stage_shares": lambda s, d: logs.stage_shares(ad.requests_t(s, d), "client", "duration_ms").select("event_id", "percent_of_total"),
     "response_metrics": lambda s, d: logs.response_metrics(ad.requests_t(s, d), "client", F.col("status") < 400, "ts"),
-    "overall_status": lambda s, d: logs.overall_status(ad.requests_t(s, d).groupBy("client", "path").agg(F.avg("duration_ms").alias("ms")), "client", "path", "ms", {"click": 35000.0, "view": 40000.0}, 25000.0, 130000.0),
+    "overall_status": lambda s, d: logs.overall_status(ad.requests_t(s, d).groupBy("client", "path").agg(F.avg("duration_ms").alias("ms")), "client", "path", "ms", {"click": 5500.0, "view": 6000.0}, 6500.0, 30000.0),
     "success_summary": lambda s, d: logs.success_summary(ad.requests_t(s, d)),
     "error_patterns": lambda s, d: logs.error_patterns(ad.requests_t(s, d)),
     "rate_limited_requests": lambda s, d: logs.rate_limited(ad.requests_t(s, d), 3, 3600).select("event_id", "in_window", "blocked"),
@@ -184,8 +184,8 @@ SQL = {
     "response_metrics": f"""{_with(ad.REQUESTS_SQL)}, g as (select client, count(*) as items_processed, count(*) filter (status < 400) as items_successful, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0::double as execution_ms from requests_t group by client)
         select client, items_processed, items_successful, items_successful / items_processed::double as success_rate, execution_ms, case when execution_ms > 0 then items_processed / (execution_ms / 1000.0::double) else 0.0::double end as items_per_second from g""",
     "overall_status": f"""{_with(ad.REQUESTS_SQL)}, t as (select client, path, avg(duration_ms) as ms from requests_t group by client, path),
-        l as (select *, ms / case path when 'click' then 35000.0::double when 'view' then 40000.0::double else 25000.0::double end as share from t),
-        g as (select client, sum(ms) as total, count(*) filter (share >= 1.0 and share < 1.2) as slow, count(*) filter (share >= 1.2) as critical, sum(ms) / 130000.0::double as share from l group by client)
+        l as (select *, ms / case path when 'click' then 5500.0::double when 'view' then 6000.0::double else 6500.0::double end as share from t),
+        g as (select client, sum(ms) as total, count(*) filter (share >= 1.0 and share < 1.2) as slow, count(*) filter (share >= 1.2) as critical, sum(ms) / 30000.0::double as share from l group by client)
         select client, total, slow, critical, case when share < 0.5 then 'EXCELLENT' when share < 0.8 then 'GOOD' when share < 1.0 then 'ACCEPTABLE' when share < 1.2 then 'SLOW' else 'CRITICAL' end as total_status,
           case when critical > 0 then 'FAIL' when slow > 0 then 'WARN' when share >= 1.2 then 'FAIL' when share >= 0.8 then 'WARN' else 'PASS' end as overall from g""",
     "rate_limited_requests": f"{_with(ad.REQUESTS_SQL, _IN_WINDOW)} select event_id, in_window, in_window > 3 as blocked from counted",

@@ -8,9 +8,9 @@ from siltstone.functions import requests as rq
 from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
-from siltstone.operators import aggregates, dedup, logs, near, ranking, stored
+from siltstone.operators import aggregates, dedup, logs, near, ranking, searching, stored
 from siltstone.sources import adapters as ad
-from siltstone.sources.tables import table, written
+from siltstone.sources.tables import fresh, table, written
 
 
 def docs(spark, sf_dir):
@@ -95,6 +95,10 @@ QUERIES = {
     "fetch_stats": lambda s, d: logs.fetch_stats(ad.requests_t(s, d), "path", 2.0),
     "near_duplicates": lambda s, d: near_classes(s, d),
     "near_pairs": lambda s, d: near_pairs(s, d),
+    "search_any": lambda s, d: found(s, d, "worthless track thing"),
+    "search_phrase": lambda s, d: found(s, d, '"of the" thing'),
+    "search_excluded": lambda s, d: found(s, d, 'thing -worthless -"of the"'),
+    "search_stems": lambda s, d: found(s, d, "contacts calling worthlessed"),
     "candidate_pairs": lambda s, d: dedup.near_candidates(written(dedup.fingerprints(ad.texts_t(s, d)), "prints")),
     "structure_fingerprints": lambda s, d: dedup.fingerprints(ad.texts_t(s, d)).select("id", "structure_fp", "length", "words"),
     "duplicate_components": lambda s, d: dedup.duplicate_analysis(ad.content_t(s, d)),
@@ -135,6 +139,13 @@ def title_scores(spark, sf_dir):
     return q.select("conv_id", "turn", sc.title_relevance(title, F.col("raw_query"), category).alias("title_score"), sc.snippet_relevance(F.substr("raw_query", F.lit(1), F.lit(60)), F.col("raw_query"), category).alias("snippet_score"))
 
 
+def found(spark, sf_dir, text):
+    """P11 over all content: postings are stored, and searched."""
+    path = fresh(spark, "postings")
+    searching.save_postings(searching.postings(ad.texts_t(spark, sf_dir), "_id", ["content"]), path)
+    return searching.search_postings(spark, path, text).withColumnRenamed("id", "_id")
+
+
 def near_classes(spark, sf_dir):
     """D5 as classes, with one representative for each text."""
     c = ad.texts_t(spark, sf_dir)
@@ -318,6 +329,14 @@ SQL["near_pairs"] = f"with {_NEAR} select * from near"
 SQL["near_duplicates"] = f"""with recursive {_NEAR}, both_ways as (select id_a as a, id_b as b from near union all select id_b, id_a from near),
     reach(id, other) as (select id, id from r union select reach.id, b from reach join both_ways on other = a), parts as (select id, min(other) as class_id from reach group by id),
     copies as (select doc_id as id, min(doc_id) over (partition by fp) as text_id from p) select copies.id, text_id, class_id from copies join parts on parts.id = text_id"""
+_STEM = "regexp_replace(regexp_replace(regexp_replace({}, '^(.{{2,}})ies$', '\\1y'), '^(.{{2,}}[^sui])s$', '\\1'), '^(.{{3,}})(ing|ed)$', '\\1')"
+_WORDS = f"""w as (select doc_id as _id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as ws from documents),
+    x as (select _id, list_distinct(list_transform(ws, lambda x: {_STEM.format("x")})) as stems, contains(' ' || array_to_string(ws, ' ') || ' ', ' of the ') as said from w)"""
+_matched = lambda *ws: f"len(list_intersect(stems, [{', '.join(_STEM.format(repr(w)) for w in ws)}]))"
+SQL["search_any"] = f"with {_WORDS} select _id, {_matched('worthless', 'track', 'thing')} as matched from x where matched > 0"
+SQL["search_phrase"] = f"with {_WORDS} select _id, {_matched('thing')} + 1 as matched from x where said"
+SQL["search_excluded"] = f"with {_WORDS} select _id, 1 as matched from x where {_matched('thing')} > 0 and {_matched('worthless')} = 0 and not said"
+SQL["search_stems"] = f"with {_WORDS} select _id, {_matched('contacts', 'calling', 'worthlessed')} as matched from x where matched > 0"
 _SHAPES = f"""f as (select doc_id as id, case when coalesce(text, '') = '' then '' else {_PRINT} end as fp, coalesce(text, '') as text from documents),
     c as (select id, fp, length(text) as length, len(list_filter(str_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S'))) as paragraphs, len(list_filter(str_split(text, '.'), lambda x: regexp_matches(x, '\\S'))) as sentences,
       len(regexp_extract_all(text, '\\S+')) as words from f),

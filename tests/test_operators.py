@@ -139,3 +139,10 @@ def test_small_scores_and_joins(spark):
     assert sorted((r["_id"], r["group_size"]) for r in joined.collect()) == [(1, 2), (2, None)]
     assert ranking.all_results(c.select("_id"), c.select("_id", "url")).count() == 4
     assert stored.lookup(c, url="http://a.com", title=None).count() == 1
+
+
+def test_the_last_change_of_a_key_counts(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0)], "_id long, status string, t double")
+    changes = spark.createDataFrame([(1, "x", 5.0, 2), (1, "y", None, 3), (1, "z", 9.0, 1), (2, None, 4.0, 1), (9, "n", 1.0, 1)], "_id long, status string, t double, at int")
+    assert sorted(tuple(r) for r in stored.update(df, changes, "_id", ["status", "t"], "at").collect()) == [(1, "y", 1.0), (2, "b", 4.0), (3, "c", 3.0)]
+    assert stored.update(df, changes, "_id", ["status", "t"]).count() == 3
