@@ -8,7 +8,7 @@ from siltstone.functions import requests as rq
 from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
-from siltstone.operators import aggregates, dedup, logs, near, ranking, searching, stored
+from siltstone.operators import aggregates, dedup, logs, maintenance, near, ranking, searching, stored
 from siltstone.sources import adapters as ad
 from siltstone.sources.tables import fresh, table, written
 
@@ -95,6 +95,9 @@ QUERIES = {
     "fetch_stats": lambda s, d: logs.fetch_stats(ad.requests_t(s, d), "path", 2.0),
     "near_duplicates": lambda s, d: near_classes(s, d),
     "near_pairs": lambda s, d: near_pairs(s, d),
+    "stored_update": lambda s, d: updated_table(s, d),
+    "stored_retention": lambda s, d: retained_table(s, d),
+    "stored_archive": lambda s, d: archived_table(s, d),
     "search_any": lambda s, d: found(s, d, "worthless track thing"),
     "search_phrase": lambda s, d: found(s, d, '"of the" thing'),
     "search_excluded": lambda s, d: found(s, d, 'thing -worthless -"of the"'),
@@ -139,6 +142,39 @@ def title_scores(spark, sf_dir):
     return q.select("conv_id", "turn", sc.title_relevance(title, F.col("raw_query"), category).alias("title_score"), sc.snippet_relevance(F.substr("raw_query", F.lit(1), F.lit(60)), F.col("raw_query"), category).alias("snippet_score"))
 
 
+def stored_queries(spark, sf_dir):
+    path = fresh(spark, "queries")
+    maintenance.store(ad.queries_t(spark, sf_dir).select("_id", "status", "execution_time", "created_at", F.to_date("created_at").alias("day")), path, "day")
+    return path
+
+
+def updated_table(spark, sf_dir):
+    """P9 as a write, done twice: changes of the first days, two for each key."""
+    path, q = stored_queries(spark, sf_dir), ad.queries_t(spark, sf_dir)
+    few = q.where("_id % 50 = 0 and created_at < timestamp '2024-01-10'").select("_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    changes = few.select("_id", "n", F.when(F.col("n") == 2, "cancelled").otherwise("pending").alias("status"), F.when(F.col("_id") % 100 == 0, F.col("n") * F.lit(1.5)).alias("execution_time"))
+    for _ in range(2):
+        maintenance.update_stored(spark, path, "day", stored.valid_status(changes)[0], "_id", ["status", "execution_time"], "n")
+    return spark.read.parquet(path).select("_id", "status", "execution_time")
+
+
+def retained_table(spark, sf_dir):
+    """R1 as a write, done twice."""
+    path = stored_queries(spark, sf_dir)
+    for _ in range(2):
+        maintenance.retain_stored(spark, path, "day", "created_at", "2024-02-10 12:00:00", 30, F.col("status").isin("completed", "failed"))
+    return spark.read.parquet(path).select("_id", "status", "created_at")
+
+
+def archived_table(spark, sf_dir):
+    """S9 as a write, to an archive and then a later time of day."""
+    path, archive = stored_queries(spark, sf_dir), fresh(spark, "archive")
+    for as_of in ("2024-02-10 12:00:00", "2024-02-10 12:00:00", "2024-02-10 18:00:00"):
+        maintenance.archive_stored(spark, path, archive, "day", "created_at", as_of, 30, "_id")
+    parts = [spark.read.parquet(p).select("_id", "created_at", F.lit(name).alias("part")) for p, name in ((path, "live"), (archive, "archive"))]
+    return parts[0].unionByName(parts[1])
+
+
 def found(spark, sf_dir, text):
     """P11 over all content: postings are stored, and searched."""
     path = fresh(spark, "postings")
@@ -329,6 +365,10 @@ SQL["near_pairs"] = f"with {_NEAR} select * from near"
 SQL["near_duplicates"] = f"""with recursive {_NEAR}, both_ways as (select id_a as a, id_b as b from near union all select id_b, id_a from near),
     reach(id, other) as (select id, id from r union select reach.id, b from reach join both_ways on other = a), parts as (select id, min(other) as class_id from reach group by id),
     copies as (select doc_id as id, min(doc_id) over (partition by fp) as text_id from p) select copies.id, text_id, class_id from copies join parts on parts.id = text_id"""
+_FEW = "_id % 50 = 0 and created_at < timestamp '2024-01-10'"
+SQL["stored_update"] = f"{_with(ad.QUERIES_SQL)} select _id, case when {_FEW} then 'cancelled' else status end as status, case when {_FEW} and _id % 100 = 0 then 3.0::double else execution_time end as execution_time from queries_t"
+SQL["stored_retention"] = f"{_with(ad.QUERIES_SQL)} select _id, status, created_at from queries_t where not (created_at < timestamp '2024-01-11 12:00:00' and status in ('completed', 'failed'))"
+SQL["stored_archive"] = f"{_with(ad.QUERIES_SQL)} select _id, created_at, case when created_at < timestamp '2024-01-11 18:00:00' then 'archive' else 'live' end as part from queries_t"
 _STEM = "regexp_replace(regexp_replace(regexp_replace({}, '^(.{{2,}})ies$', '\\1y'), '^(.{{2,}}[^sui])s$', '\\1'), '^(.{{3,}})(ing|ed)$', '\\1')"
 _WORDS = f"""w as (select doc_id as _id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as ws from documents),
     x as (select _id, list_distinct(list_transform(ws, lambda x: {_STEM.format("x")})) as stems, contains(' ' || array_to_string(ws, ' ') || ' ', ' of the ') as said from w)"""

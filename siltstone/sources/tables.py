@@ -61,7 +61,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     out = written(make(), name)
     keep = _folders().pop()
     for path in _folders()[before:]:
-        _delete(spark, path)
+        delete(spark, path)
     del _folders()[before:]
     _folders().append(keep)
     return out
@@ -69,11 +69,12 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application has written on the way to results which are stored by now."""
-    _delete(spark, own_dir(spark))
+    delete(spark, own_dir(spark))
     _folders().clear()
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, if it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -83,4 +84,4 @@ def dropped(df: DataFrame) -> None:
     root = f"{own_dir(df.sparkSession)}/".removeprefix("file://")
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if root in parent:
-            _delete(df.sparkSession, parent)
+            delete(df.sparkSession, parent)
