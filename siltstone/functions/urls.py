@@ -79,9 +79,16 @@ def robots_rules(files: DataFrame, host: str = "host", text: str = "robots") ->
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host", agent: str = "*") -> DataFrame:
-    """Adds `allowed`: no disallow rule of the host for the agent begins the path. Rules meet URLs by host."""
+    """Adds `allowed`: no disallow rule of the host for the agent begins the path.
+
+    A path is expanded to its beginnings of the lengths that rules of its host have, and these meet the rules by host
+    and beginning, so that a host of any number of rules has none gathered but their different lengths.
+    """
     path = F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
-    own = rules.where((F.col("kind") == "disallow") & (F.col("agent") == agent)).groupBy(F.col(host).alias("__host")).agg(F.collect_set("value").alias("__paths"))
-    out = urls.withColumns({"__h": domain(F.col(url)), "__path": path}).join(own, F.col("__h") == F.col("__host"), "left")
-    blocked = F.exists("__paths", lambda p: F.col("__path").startswith(p))
-    return out.withColumn("allowed", ~F.coalesce(blocked, F.lit(False))).drop("__h", "__path", "__host", "__paths")
+    own = rules.where((F.col("kind") == "disallow") & (F.col("agent") == agent)).select(F.col(host).alias("__h"), F.col("value").alias("__begin")).distinct()
+    lengths = own.groupBy("__h").agg(F.collect_set(F.length("__begin")).alias("__lengths"))
+    named = urls.withColumns({"__h": domain(F.col(url)), "__path": path})
+    begins = F.explode(F.transform(F.filter("__lengths", lambda n: n <= F.length("__path")), lambda n: F.left("__path", n))).alias("__begin")
+    blocked = named.select("__h", "__path").distinct().join(lengths, "__h").select("__h", "__path", begins).join(own, ["__h", "__begin"], "left_semi").select("__h", "__path").distinct()
+    out = named.join(blocked.withColumn("__blocked", F.lit(True)), ["__h", "__path"], "left")
+    return out.select(*urls.columns, F.col("__blocked").isNull().alias("allowed"))

@@ -40,6 +40,14 @@ def robots_checked(spark, sf_dir):
     return urls.robots_allowed(p, urls.robots_rules(robots_texts(spark, sf_dir))).select("page_id", "allowed")
 
 
+def failing(spark, sf_dir):
+    """Processed rows of all content, with scorers that fail on some."""
+    from_model = lambda df: df.withColumns({"insights": F.lit("found"), "insights_error": F.when(F.col("_id") % 7 == 0, "AI Analysis failed: no answer").when(F.col("_id") % 5 == 0, "no JSON")})
+    summed = lambda df: df.withColumns({"summary": mo.fallback_summary(F.col("content_type")), "summary_error": F.when(F.col("_id") % 3 == 0, "Timeout after 60 s")})
+    config = pipeline.PipelineConfig(duplicates=False, cleaning=False, structured=False, insights=from_model, summary=summed, query="pages")
+    return pipeline.processed_rows(ad.content_t(spark, sf_dir), config)
+
+
 def responses(spark, sf_dir):
     """Raw model answers: JSON of documents in a fence, bare, with text around it, cut off, and none."""
     d = table(spark, sf_dir, "documents")
@@ -128,6 +136,8 @@ QUERIES = {
     "prompt_rendering": prompt_rows,
     "weighted_choice": lambda s, d: logs.weighted_choice(ad.queries_t(s, d).select("_id"), s.createDataFrame([("a", 1.0), ("b", 3.0)], "version_id string, weight double"), "_id").groupBy("version_id").agg(F.count(F.lit(1)).alias("rows")),
     "processed_ranking": lambda s, d: pipeline.process(ad.content_t(s, d)).select("_id", "group_size", "enhanced_quality_score", "rank_score", F.md5("cleaned_content").alias("cleaned_md5")),
+    "processing_errors": lambda s, d: pipeline.error_rows(failing(s, d)),
+    "processing_fallbacks": lambda s, d: failing(s, d).where("size(processing_errors) > 0 and not critical").select("_id", "enhanced_quality_score", F.md5("cleaned_content").alias("content_md5"), F.col("summary.executive_summary").alias("summary"), F.col("insights").isNull().alias("without_insights")),
     "pipeline_stats": lambda s, d: pipeline.stage_counts(ad.content_t(s, d), pipeline.process(ad.content_t(s, d))),
     "stream_hourly": lambda s, d: ran(streams.hourly(events(s, d)), "complete").select("period_start", "events", "errors", F.round("value", 4).alias("value")),
     "stream_endpoints": lambda s, d: ran(streams.endpoint_metrics(events(s, d)), "complete").select("event_type", "requests", F.round("seconds", 3).alias("seconds"), "least", "most", "le_3"),
@@ -156,3 +166,7 @@ SQL = {
     "stream_rate_limit": f"""with {ad.REQUESTS_SQL}, c as (select count(*) over (partition by client order by epoch_us(ts) range between 3599999999 preceding and current row)
         - (count(*) over (partition by client, ts) - row_number() over (partition by client, ts order by event_id)) as n from requests_t) select n > 3 as blocked, count(*) as requests from c group by 1""",
 }
+SQL["processing_errors"] = """select doc_id as _id, case when doc_id % 7 = 0 or doc_id % 5 = 0 then 'insights' else 'summary' end as stage,
+    case when doc_id % 7 = 0 then 'AI Analysis failed: no answer' when doc_id % 5 = 0 then 'no JSON' else 'Timeout after 60 s' end as error, doc_id % 7 = 0 or doc_id % 5 <> 0 as critical from documents where doc_id % 7 = 0 or doc_id % 5 = 0 or doc_id % 3 = 0"""
+SQL["processing_fallbacks"] = f"""with {ad.CONTENT_SQL} select _id, coalesce(content_quality_score, 0.0::double) * 0.5::double as enhanced_quality_score, md5(coalesce(content, '')) as content_md5, 'Content related to pages' as summary, true as without_insights
+    from content_t where _id % 5 = 0 and _id % 7 <> 0"""

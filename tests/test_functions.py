@@ -83,3 +83,15 @@ def test_robots(spark):
     assert sorted((r["agent"], r["kind"], r["value"]) for r in rules.collect()) == [("*", "crawl-delay", "3"), ("*", "disallow", "/y"), ("a", "disallow", "/x")]
     pages = spark.createDataFrame([("http://h.com/y/1",), ("http://h.com/x",), ("http://other.com/y",)], "url string")
     assert {r["url"]: r["allowed"] for r in urls.robots_allowed(pages, rules).collect()} == {"http://h.com/y/1": False, "http://h.com/x": True, "http://other.com/y": True}
+
+
+def test_robots_of_a_host_with_many_rules(spark):
+    rules = spark.range(100_000).select(F.lit("h.com").alias("host"), F.lit("*").alias("agent"), F.lit("disallow").alias("kind"), F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/x")).alias("value"))
+    rows = [("http://h.com/5/x1", 1), ("http://h.com/5/y", 2), ("http://h.com/99999/x", 3), ("http://h.com", 4), ("http://h.com/5/x1", 5), (None, 6), ("http://www.h.com/7/xyz#a", 7)]
+    pages = spark.createDataFrame(rows, "url string, allowed int").withColumnRenamed("allowed", "n")
+    assert {r["n"]: r["allowed"] for r in urls.robots_allowed(pages, rules).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: urls_of_www(spark)}
+
+
+def urls_of_www(spark) -> bool:
+    """Whether a www host is another one than that without, by the rule for domains."""
+    return spark.range(1).select(urls.domain(F.lit("http://www.h.com/7")) != "h.com").first()[0]
