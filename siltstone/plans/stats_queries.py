@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import aggregates as a
 from siltstone.operators import logs
 from siltstone.sources import adapters as ad
+from siltstone.sources.tables import written
 
 AS_OF = "2024-01-30 00:00:00"
 
@@ -23,6 +24,7 @@ QUERIES = {
     "session_counters": lambda s, d: ad.sessions_t(s, d),
     "hourly_rollup": lambda s, d: a.period_rollup(ad.queries_t(s, d), "hour"),
     "daily_rollup": lambda s, d: a.period_rollup(ad.queries_t(s, d), "day"),
+    "distinct_merged": lambda s, d: distinct_merged(s, d),
     "daily_report": lambda s, d: a.report("daily", ad.queries_t(s, d), ad.sessions_t(s, d)),
     "weekly_report": lambda s, d: a.report("weekly", ad.queries_t(s, d), ad.sessions_t(s, d)),
     "monthly_report": lambda s, d: a.report("monthly", ad.queries_t(s, d), ad.sessions_t(s, d)),
@@ -56,6 +58,18 @@ QUERIES = {
 }
 
 
+def distinct_merged(spark, sf_dir):
+    """By day and month the exact numbers of users and sessions, and whether hourly sketches, stored and merged, come within 5 percent."""
+    q = ad.queries_t(spark, sf_dir)
+    hourly, out = written(a.distinct_sketches(q), "sketches"), None
+    for unit in ("day", "month"):
+        exact = a.period_rollup(q, unit).select("period_start", "unique_users", "unique_sessions")
+        near = lambda e, x: F.abs(F.col(e) - F.col(x)) <= F.greatest(F.lit(1.0), 0.05 * F.col(x))
+        one = exact.join(a.merged_distinct(hourly, unit), "period_start").select(F.lit(unit).alias("unit"), "period_start", "unique_users", "unique_sessions", (near("users_estimate", "unique_users") & near("sessions_estimate", "unique_sessions")).alias("estimated_well"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def halves(spark, sf_dir):
     """The request log before and from mid-January on: all rows."""
     r = ad.requests_t(spark, sf_dir)
@@ -137,6 +151,8 @@ SQL = {
         'completed' as status from sessions_t""",
     "session_counters": f"{_with(ad.SESSIONS_SQL)} select * from sessions_t",
     "hourly_rollup": f"{_with(ad.QUERIES_SQL)} select date_trunc('hour', created_at)::timestamp as period_start, {_ROLLUP} from queries_t group by 1",
+    "distinct_merged": f"""{_with(ad.QUERIES_SQL)} select unit, date_trunc(unit, created_at)::timestamp as period_start, count(distinct user_id) as unique_users, count(distinct session_id) as unique_sessions, true as estimated_well
+        from queries_t, (values ('day'), ('month')) u(unit) group by 1, 2""",
     "daily_rollup": f"{_with(ad.QUERIES_SQL)} select date_trunc('day', created_at)::timestamp as period_start, {_ROLLUP} from queries_t group by 1",
     "daily_report": f"""{_with(ad.SESSIONS_SQL)}, days as (select created_at::date as day, count(*) as total_queries, count(*) filter (status = 'failed') as failed_queries from queries_t group by 1),
         users as (select start_time::date as day, count(distinct user_id) as unique_users, count(*) as sessions from sessions_t group by 1)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import dedup, logs, prefix, ranking, stored
+from siltstone.operators import aggregates, dedup, logs, prefix, ranking, stored
 from siltstone.operators.components import connected_components
 from siltstone.plans.pipeline import PipelineConfig, process
 from siltstone.sources import html
@@ -146,3 +146,12 @@ def test_the_last_change_of_a_key_counts(spark):
     changes = spark.createDataFrame([(1, "x", 5.0, 2), (1, "y", None, 3), (1, "z", 9.0, 1), (2, None, 4.0, 1), (9, "n", 1.0, 1)], "_id long, status string, t double, at int")
     assert sorted(tuple(r) for r in stored.update(df, changes, "_id", ["status", "t"], "at").collect()) == [(1, "y", 1.0), (2, "b", 4.0), (3, "c", 3.0)]
     assert stored.update(df, changes, "_id", ["status", "t"]).count() == 3
+
+
+def test_merged_sketches_stay_within_their_error(spark):
+    df = spark.range(200_000).select((F.col("id") % 30_000).alias("user_id"), (F.col("id") % 70_001).cast("string").alias("session_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 7).alias("created_at"))
+    hourly = aggregates.distinct_sketches(df)
+    assert hourly.select(F.max(F.octet_length("users"))).first()[0] <= 5000
+    month = aggregates.merged_distinct(hourly, "year").first()
+    assert abs(month["users_estimate"] - 30_000) < 0.05 * 30_000 and abs(month["sessions_estimate"] - 70_001) < 0.05 * 70_001
+    assert aggregates.merged_distinct(aggregates.distinct_sketches(df.limit(0)), "day").count() == 0
