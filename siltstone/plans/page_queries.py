@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.functions import model_output as mo
@@ -94,13 +92,16 @@ def prompt_rows(spark, sf_dir):
     return mo.prompts(d, "Summarise [{lang}]: {text}", {"lang": 5, "text": 3500}).select("doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
-def ran(stream, mode: str):
-    """What a stream over all files that are there gives: its result through the memory sink, for results of bounded size only."""
-    name = f"s_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh(spark, name)).start()
+def gathered(stream, mode: str = "append"):
+    """What a stream over all files that are there gives, through Parquet in the shared folder; in complete mode the last batch."""
+    path = fresh(stream.sparkSession, "stream")
+
+    def save(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'last' if mode == 'complete' else f'batch-{number}'}")
+
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start()
     query.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def blocked_requests(spark, sf_dir):
@@ -139,8 +140,8 @@ QUERIES = {
     "processing_errors": lambda s, d: pipeline.error_rows(failing(s, d)),
     "processing_fallbacks": lambda s, d: failing(s, d).where("size(processing_errors) > 0 and not critical").select("_id", "enhanced_quality_score", F.md5("cleaned_content").alias("content_md5"), F.col("summary.executive_summary").alias("summary"), F.col("insights").isNull().alias("without_insights")),
     "pipeline_stats": lambda s, d: pipeline.stage_counts(ad.content_t(s, d), pipeline.process(ad.content_t(s, d))),
-    "stream_hourly": lambda s, d: ran(streams.hourly(events(s, d)), "complete").select("period_start", "events", "errors", F.round("value", 4).alias("value")),
-    "stream_endpoints": lambda s, d: ran(streams.endpoint_metrics(events(s, d)), "complete").select("event_type", "requests", F.round("seconds", 3).alias("seconds"), "least", "most", "le_3"),
+    "stream_hourly": lambda s, d: gathered(streams.hourly(events(s, d)), "complete").select("period_start", "events", "errors", F.round("value", 4).alias("value")),
+    "stream_endpoints": lambda s, d: gathered(streams.endpoint_metrics(events(s, d)), "complete").select("event_type", "requests", F.round("seconds", 3).alias("seconds"), "least", "most", "le_3"),
     "stream_rate_limit": blocked_requests,
 }
 

@@ -13,7 +13,7 @@ from siltstone.functions import scores as sc
 from siltstone.functions import text as tx
 from siltstone.functions import urls
 from siltstone.operators import aggregates, dedup, logs, ranking, stored
-from siltstone.plans.page_queries import responses
+from siltstone.plans.page_queries import gathered, responses
 from siltstone.plans.stats_queries import AS_OF, runs
 from siltstone.sources import adapters as ad
 from siltstone.sources import schemas, sinks
@@ -157,18 +157,6 @@ def snapshots(spark, sf_dir):
     return r.select("client", "ts", "event_id", F.col("duration_ms").alias("memory_mb"), (F.col("event_id") % 9).alias("open_files"), (F.col("event_id") % 7 + 3).alias("threads"))
 
 
-def gathered(stream, mode: str = "append"):
-    """What a stream over all files that are there gives, through Parquet in the shared folder; in complete mode the last batch."""
-    path = fresh(stream.sparkSession, "stream")
-
-    def save(batch, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{'last' if mode == 'complete' else f'batch-{number}'}")
-
-    query = stream.writeStream.foreachBatch(save).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
-
-
 def content_stream(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "doc_id bigint, text string, lang string, source string", "documents*.parquet", None)
     return rows.select(F.col("doc_id").alias("_id"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 3600).alias("timestamp"))

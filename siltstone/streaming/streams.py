@@ -6,6 +6,7 @@ watermark has passed.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,10 +98,10 @@ def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
         times = list(state.get[0]) if state.exists else []
         counts = []
         width = seconds * 1_000_000
-        for t in rows["ts"].astype("datetime64[us]").astype("int64"):
-            times = [x for x in times if x > t - width]
-            times.append(int(t))
-            counts.append(len(times))
+        for t in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
+            insort(times, t)
+            counts.append(len(times) - bisect_right(times, t - width))
+        del times[: bisect_right(times, times[-1] - width)]
         state.update((times,))
         state.setTimeoutTimestamp(max(times[-1] // 1000 + 2 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "in_window": counts, "blocked": [c > limit for c in counts]})
@@ -121,7 +122,7 @@ def cached_results(rows: DataFrame, key: str, value: str, seconds: int, late: st
             state.remove()
             yield pd.DataFrame({"key": [name], "value": [None], "expired": [True]})
             return
-        new = pd.concat(list(batches)).sort_values(["ts", value]).iloc[-1]
+        new = pd.concat(b.sort_values(["ts", value]).tail(1) for b in batches).sort_values(["ts", value]).iloc[-1]
         at = int(new["ts"].value // 1000)
         if state.exists and state.get[1] > at:
             return
