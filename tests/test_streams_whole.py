@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from siltstone.plans import catalogue, page_queries
+from siltstone.plans import catalogue
 
 QUERIES = catalogue.queries()
 
