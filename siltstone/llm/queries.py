@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_language": _of(language.op8_query, "documents"),
         "op9_pii": _of(pii.op9_query, "documents"),
         "op10_url_filter": _of(url_filter.op10_query, "pages"),
+        "url_filter_given_list": _of(url_filter.given_list_query, "pages"),
         "op11_warc": _of(warc.op11_query, "pages"),
         "op12_spelling_variants": _of(spelling.op12_query, "documents"),
         "op13_periodic_runs": _of(periodic.op13_query, "documents"),
@@ -35,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_url_filter": url_filter.OP10_SQL, "op11_warc": warc.OP11_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_url_filter": url_filter.OP10_SQL, "url_filter_given_list": url_filter.GIVEN_LIST_SQL, "op11_warc": warc.OP11_SQL}

@@ -88,6 +88,13 @@ def op10_query(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     return filter_urls(thin, listed_of(thin) if listed is None else listed).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
+def given_list_query(pages: DataFrame) -> DataFrame:
+    """Verdicts by a list that no pattern restates: the canonical URLs of every twentieth page, against all pages."""
+    host, path, query = host_path_query(F.col("url"))
+    listed = pages.where("page_id % 20 = 0").select(canonical_url(host, path, query).alias("canonical"))
+    return op10_query(pages, listed)
+
+
 OP10_SQL = rf"""
 with parts as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -113,3 +120,5 @@ with parts as (
 select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
   when rule is not null then 'allow' when listed then 'block' else 'allow' end as verdict, canonical, listed from ruled
 """
+_BY_TERMS = f"regexp_matches(host, '(^|[.-])({'|'.join(LISTED_TERMS)})([.-]|$)')"
+GIVEN_LIST_SQL = OP10_SQL.replace(_BY_TERMS, "page_id % 20 = 0")

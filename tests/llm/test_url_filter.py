@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import duckdb
+
 from siltstone.llm import url_filter as u
 from siltstone.operators import bloom
+from siltstone.sources.tables import table
 
 URLS = [
     None, "", "no scheme", "https://A.Example.ORG/es/x", "http://example.org/en/12?q#f", "http://example.org/en/2", "https://x.com/fr/1", "https://x.com/de/1", "https://x.com/en/1?b=2&a=1&utm_source=z",
@@ -44,3 +47,13 @@ def test_repeated_rows_and_a_given_list(spark):
     listed = spark.createDataFrame([("a.net/p",), ("a.net/p",), (None,)], "canonical string")
     got = sorted((r["page_id"], r["verdict"], r["listed"]) for r in u.op10_query(pages, listed).collect())
     assert got == [(1, "block", True), (1, "block", True), (2, "allow", False), (2, "allow", False), (3, "allow", False)]
+
+
+def test_a_given_list_matches_sql(spark, sf_dir):
+    assert u.GIVEN_LIST_SQL != u.OP10_SQL
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    rel = duck.execute(u.GIVEN_LIST_SQL)
+    names = [c[0] for c in rel.description]
+    out = u.given_list_query(table(spark, sf_dir, "pages")).select(*names).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, rel.fetchall())) and 0 < sum(r["listed"] for r in out) < len(out) / 2
