@@ -2,10 +2,11 @@
 
 A text's signature holds the least of BANDS * ROWS hashes of its shingles; texts that agree in the ROWS numbers of a band
 share a bucket. Two texts of a Jaccard similarity s do so in a share s ** ROWS of the bands: of pairs at 0.8 about one in
-150,000 shares none. A bucket is not paired out. All of its texts are compared with one of them first, by their whole
-sets of shingles. Where the links so far leave a bucket in several parts, another leader is compared with what is not in
-its own part; what is left then are few texts, compared across parts. So the links span the classes that all pairs in
-buckets would give, and a group of k near copies has k - 1 of them.
+150,000 shares none. A bucket is not paired out. All of its texts are first compared with one of them, by their whole
+sets of shingles: with the one that shares most buckets with others, as the original of edited copies does. Buckets that
+these links leave in several parts are compared inside tasks: as tiles, pairs of slices, in which products of matrices
+give the common shingles of all pairs at once, and what comes out are links between parts. So the links span the classes
+that all pairs in buckets would give, and a group of k near copies of one text has about k of them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from siltstone.operators.dedup import SHINGLE, SIMILAR, singled
 from siltstone.sources.tables import written
 
 BANDS, ROWS = 30, 5
-#: So many leaders are tried in a bucket before its parts are compared with each other.
-LEADERS = 3
+#: A bucket of more texts is dealt out in tiles, pairs of slices of about so many.
+SLICE = 256
+#: Shingles whose places in the texts of a tile are held at once.
+COLUMNS = 4096
 #: Texts that are hashed together, and shingles whose hashes are held at once.
 TOGETHER, AT_ONCE = 200, 4096
 
@@ -84,18 +87,16 @@ def _by_text(texts: DataFrame, id_col: str, size: int, of: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, length bigint, {of} array<bigint>")
 
 
-def near_links(content: DataFrame, prints: DataFrame, similar: float = SIMILAR, id_col: str = "_id", size: int = SHINGLE) -> DataFrame:
-    """(id_a, id_b, jaccard, length_score): links between different texts of a similarity of `similar` that span their classes.
-
-    The least id of a text stands for its copies. Null texts count as empty. `similar` is 0.5 or more: bands would miss
-    too many less similar pairs. No rows: none.
-    """
+def _spanned(content: DataFrame, prints: DataFrame, similar: float, id_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The links of `near_links`, and the components that they make: (node, component)."""
     if similar < 0.5:
         raise ValueError("bands find similarities of 0.5 or more")
     texts = singled(content.select(id_col, "content"), prints, id_col)
     entries = written(_by_text(texts, id_col, size, "keys").select("id", F.explode("keys").alias("key")), "entries")
-    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead"), "shared")
+    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     among = written(entries.join(shared, "key"), "among")
+    central = written(among.groupBy("id").agg(F.sum("n").alias("score")), "central")
+    among = written(among.join(central, "id").select("key", "id", "score"), "among")
     asked = written(among.select("id").distinct(), "asked")
     sets = written(_by_text(including(texts, {"id": F.col(id_col)}, asked), id_col, size, "shingles"), "sets")
     a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}"), F.col("length").alias(f"length_{k}")) for k in "ab")
@@ -109,25 +110,93 @@ def near_links(content: DataFrame, prints: DataFrame, similar: float = SIMILAR,
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b")]
 
-    pairs = among.where("id <> lead").select(*ordered("id", "lead")).distinct()
-    tried = written(verified(pairs), "tried")
-    among = among.drop("lead")
-    for leader in range(1, LEADERS + 1):
-        parts = connected_components(tried.where(F.col("jaccard") >= similar), "id_a", "id_b")
-        placed = written(among.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
-        split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("id", "part"), F.xxhash64(F.lit(leader), "id")).alias("lead")).where("lo <> hi")
-        open_ = written(placed.join(written(split.select("key", "lead"), "split"), "key"), "open")
-        if open_.isEmpty():
-            break
-        if leader < LEADERS:
-            pairs = open_.where("part <> lead.part").select(*ordered("id", "lead.id"))
-        else:
-            x, y = (open_.select("key", F.col("id").alias(f"id{k}"), F.col("part").alias(f"part{k}")) for k in "xy")
-            pairs = x.join(y, "key").where("partx < party").select(*ordered("idx", "idy"))
-        new = pairs.distinct().join(tried.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
-        tried = written(tried.unionByName(verified(new)), "tried")
-        among = open_.select("key", "id")
-    return tried.where(F.col("jaccard") >= similar)
+    leads = written(among.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead")), "leads")
+    pairs = among.join(leads, "key").where("id <> lead").select(*ordered("id", "lead")).distinct()
+    star = written(verified(pairs).where(F.col("jaccard") >= similar), "star")
+    parts = written(connected_components(star, "id_a", "id_b"), "parts")
+    placed = written(among.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
+    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    open_ = written(placed.join(written(split.select("key", "n"), "split"), "key"), "open")
+    if open_.isEmpty():
+        return star, parts
+    across = _tile_links(open_, sets, similar).groupBy("id_a", "id_b").agg(F.min("jaccard").alias("jaccard"), F.min("length_score").alias("length_score"))
+    links = written(star.unionByName(across), "links")
+    return links, written(connected_components(links, "id_a", "id_b"), "parts")
+
+
+def _tile_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links between the parts of buckets, of (key, id, part, n): each pair of slices of a bucket is a tile of its own."""
+    slices = F.ceil(F.col("n") / SLICE).cast("long")
+    own = members.withColumn("__k", slices).withColumn("__s", F.pmod(F.xxhash64("id"), F.col("__k")))
+    dealt = own.select("key", "id", "part", "__k", "__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)).alias("__o"))
+    tile = F.xxhash64("key", F.least("__s", "__o"), F.greatest("__s", "__o"))
+    rows = dealt.select(tile.alias("tile"), "id", "part").join(sets, "id").select("tile", "id", F.xxhash64("part").alias("part"), "length", "shingles")
+    names = ["id_a", "id_b", "jaccard", "length_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tiles() -> Iterator[pa.RecordBatch]:
+            kept: list[pa.RecordBatch] = []
+            for b in batches:
+                ends = (np.flatnonzero(np.diff(b.column(0).to_numpy())) + 1).tolist()
+                if kept and b.num_rows and kept[-1].column(0)[-1] != b.column(0)[0]:
+                    yield pa.Table.from_batches(kept)
+                    kept = []
+                for begin, end in zip([0, *ends], [*ends, b.num_rows], strict=True):
+                    kept.append(b.slice(begin, end - begin))
+                    if end < b.num_rows:
+                        yield pa.Table.from_batches(kept)
+                        kept = []
+            if kept:
+                yield pa.Table.from_batches(kept)
+
+        for t in tiles():
+            i, j, jaccard = _spanning([np.asarray(x) for x in t.column("shingles").to_pylist()], t.column("part").to_numpy(), similar)
+            ids, n = t.column("id").to_pylist(), t.column("length").to_numpy()
+            first = [min(ids[x], ids[y]) for x, y in zip(i, j, strict=True)]
+            last = [max(ids[x], ids[y]) for x, y in zip(i, j, strict=True)]
+            score = 1.0 - np.abs(n[i] - n[j]) / np.maximum(1, np.maximum(n[i], n[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(first, t.schema.field("id").type), pa.array(last, t.schema.field("id").type), pa.array(jaccard, pa.float64()), pa.array(score, pa.float64())], names)
+
+    kind = sets.schema["id"].dataType.simpleString()
+    dealt = rows.repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, f"id_a {kind}, id_b {kind}, jaccard double, length_score double")
+
+
+def _spanning(sets: list[np.ndarray], part: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets of different parts, by place, of a similarity of `similar`, as many as it takes to join what they join."""
+    if (part == part[0]).all():
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    sizes = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(sets)), sizes), np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (at, at + COLUMNS))
+        there = np.zeros((len(sets), COLUMNS), np.float32)
+        there[row[low:high], column[low:high] - at] = 1
+        common += there @ there.T
+    jaccard = common.astype(np.float64) / (sizes[:, None] + sizes[None, :] - common)
+    near = jaccard >= similar
+    root, i, j = part.copy(), [], []
+    for x in range(len(sets)):
+        others = np.flatnonzero(near[x] & (root != root[x]))
+        for r, y in dict(zip(root[others].tolist(), others.tolist(), strict=True)).items():
+            i.append(x)
+            j.append(y)
+            root[root == r] = root[x]
+    return np.array(i, int), np.array(j, int), jaccard[i, j] if i else np.zeros(0)
+
+
+def near_links(content: DataFrame, prints: DataFrame, similar: float = SIMILAR, id_col: str = "_id", size: int = SHINGLE) -> DataFrame:
+    """(id_a, id_b, jaccard, length_score): links between different texts of a similarity of `similar` that span their classes.
+
+    The least id of a text stands for its copies. Null texts count as empty. `similar` is 0.5 or more: bands would miss
+    too many less similar pairs. No rows: none.
+    """
+    return _spanned(content, prints, similar, id_col, size)[0]
 
 
 def near_classes(content: DataFrame, prints: DataFrame, similar: float = SIMILAR, id_col: str = "_id") -> DataFrame:
@@ -136,8 +205,7 @@ def near_classes(content: DataFrame, prints: DataFrame, similar: float = SIMILAR
     text_id is the least id of an equal text, class_id the least id that equal texts and links between near ones reach,
     near_links the number of links of the row's text that were found on the way, which span the class. No rows: none.
     """
-    links = written(near_links(content, prints, similar, id_col), "links")
-    parts = written(connected_components(links, "id_a", "id_b"), "parts")
+    links, parts = _spanned(content, prints, similar, id_col, SHINGLE)
     least = written(prints.groupBy("text_fp").agg(F.min("id").alias("text_id")), "least")
     degree = links.select(F.explode(F.array("id_a", "id_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("near_links"))
     named = least.join(parts.join(degree, "node"), F.col("text_id") == F.col("node"), "left")
