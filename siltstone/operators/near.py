@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siltstone.operators.bloom import including
 from siltstone.operators.components import connected_components
 from siltstone.operators.dedup import SHINGLE, SIMILAR, singled
-from siltstone.sources.tables import written
+from siltstone.sources.tables import dropped, written
 
 BANDS, ROWS = 30, 5
 #: A bucket of more texts is dealt out in tiles, pairs of slices of about so many.
@@ -94,9 +94,11 @@ def _spanned(content: DataFrame, prints: DataFrame, similar: float, id_col: str,
     texts = singled(content.select(id_col, "content"), prints, id_col)
     entries = written(_by_text(texts, id_col, size, "keys").select("id", F.explode("keys").alias("key")), "entries")
     shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    among = written(entries.join(shared, "key"), "among")
-    central = written(among.groupBy("id").agg(F.sum("n").alias("score")), "central")
-    among = written(among.join(central, "id").select("key", "id", "score"), "among")
+    sharing = written(entries.join(shared, "key"), "sharing")
+    dropped(entries)
+    central = written(sharing.groupBy("id").agg(F.sum("n").alias("score")), "central")
+    among = written(sharing.join(central, "id").select("key", "id", "score"), "among")
+    dropped(sharing)
     asked = written(among.select("id").distinct(), "asked")
     sets = written(_by_text(including(texts, {"id": F.col(id_col)}, asked), id_col, size, "shingles"), "sets")
     a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}"), F.col("length").alias(f"length_{k}")) for k in "ab")
@@ -115,8 +117,10 @@ def _spanned(content: DataFrame, prints: DataFrame, similar: float, id_col: str,
     star = written(verified(pairs).where(F.col("jaccard") >= similar), "star")
     parts = written(connected_components(star, "id_a", "id_b"), "parts")
     placed = written(among.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
+    dropped(among)
     split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     open_ = written(placed.join(written(split.select("key", "n"), "split"), "key"), "open")
+    dropped(placed)
     if open_.isEmpty():
         return star, parts
     across = _tile_links(open_, sets, similar).groupBy("id_a", "id_b").agg(F.min("jaccard").alias("jaccard"), F.min("length_score").alias("length_score"))
