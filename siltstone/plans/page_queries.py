@@ -109,11 +109,8 @@ def blocked_requests(spark, sf_dir):
 
     All files make one micro-batch: part files come in no order of time, and rows behind the watermark would be lost.
     """
-    path = fresh(spark, "limited")
-    limited = streams.rate_limited(streams.event_stream(spark, sf_dir, None), 3, 3600)
-    query = limited.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start(path)
-    query.awaitTermination()
-    return spark.read.schema(limited.schema).parquet(path).groupBy("blocked").agg(F.count(F.lit(1)).alias("requests"))
+    limited = gathered(streams.rate_limited(streams.event_stream(spark, sf_dir, None), 3, 3600, 86_400, whole=True))
+    return limited.groupBy("blocked").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def events(spark, sf_dir):

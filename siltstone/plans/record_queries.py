@@ -179,6 +179,10 @@ def cached_stream(spark, sf_dir):
     return gathered(streams.cached_results(e, "who", "held", 86_400), "update").where("not expired").select("key", "value")
 
 
+def idle_sessions(spark, sf_dir):
+    return gathered(streams.idle_sessions(session_actions(spark, sf_dir), slot=86_400, whole=True))
+
+
 QUERIES = {
     "fallback_attributes": attributes,
     "result_relevance": result_relevance,
@@ -214,6 +218,7 @@ QUERIES = {
     "stream_saved": saved_stream,
     "stream_sessions": lambda s, d: gathered(streams.sessions(streams.event_stream(s, d, None)), "complete").select("user_id", "start_time", "end_time", "events"),
     "stream_session_states": lambda s, d: gathered(streams.session_states(session_actions(s, d))).where("status = 'completed'"),
+    "stream_session_idle": idle_sessions,
     "stream_cached": cached_stream,
 }
 
@@ -308,5 +313,10 @@ SQL = {
     "stream_session_states": """with e as (select cast(user_id as varchar) || '-' || cast(cast(ts as date) as varchar) as session_id, ts, event_id, event_type from events),
         s as (select *, coalesce(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by session_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as n from e)
         select session_id, min(ts) as start_time, max(ts) as end_time, count(*) as actions, count(*) filter (event_type <> 'error') as successful, 'completed' as status from s group by session_id, n having bool_or(event_type = 'purchase')""",
+    "stream_session_idle": """with e as (select cast(user_id as varchar) || '-' || cast(cast(ts as date) as varchar) as session_id, ts, event_id, event_type from events),
+        b as (select *, case when lag(event_type) over w = 'purchase' or ts >= lag(ts) over w + interval 30 minute then 1 else 0 end as cut from e window w as (partition by session_id order by ts, event_id)),
+        s as (select *, sum(cut) over (partition by session_id order by ts, event_id rows unbounded preceding) as n from b)
+        select session_id, min(ts) as start_time, max(ts) as end_time, count(*) as actions, count(*) filter (event_type <> 'error') as successful,
+            case when bool_or(event_type = 'purchase') then 'completed' else 'expired' end as status from s group by session_id, n""",
     "stream_cached": "select cast(user_id as varchar) as key, cast(arg_max(event_id, (ts, event_id)) as varchar) as value from events group by user_id",
 }

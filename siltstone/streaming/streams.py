@@ -1,12 +1,11 @@
 """Structured Streaming forms of the log operators.
 
 Batch results are kept where the stream allows: counts by hour and endpoint are equal to the batch ones once the
-watermark has passed.
+watermark has passed. Those that take the rows of a key in the order of time are in `ordered`.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from siltstone.functions.text import content_hash
 from siltstone.operators.logs import BUCKETS
 from siltstone.operators.stored import save_content
+from siltstone.streaming.ordered import cached_results, idle_sessions, rate_limited  # noqa: F401
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -83,57 +83,6 @@ def save_batches(content: DataFrame, path: str, checkpoint: str, trigger: dict |
     return content.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """ST2: each request of a user with how many came in its window, itself included, and whether it is blocked.
-
-    State is the times of the last window, at most; it expires when the watermark is two windows past a user's last
-    request. Requests of a micro-batch are taken in the order of time.
-    """
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        times = list(state.get[0]) if state.exists else []
-        counts = []
-        width = seconds * 1_000_000
-        for t in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
-            insort(times, t)
-            counts.append(len(times) - bisect_right(times, t - width))
-        del times[: bisect_right(times, times[-1] - width)]
-        state.update((times,))
-        state.setTimeoutTimestamp(max(times[-1] // 1000 + 2 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "in_window": counts, "blocked": [c > limit for c in counts]})
-
-    kept = events.withWatermark("ts", "1 minute").groupBy("user_id")
-    return kept.applyInPandasWithState(judge, "user_id bigint, event_id bigint, in_window bigint, blocked boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def cached_results(rows: DataFrame, key: str, value: str, seconds: int, late: str = "1 minute") -> DataFrame:
-    """ST6: the last value of each key by event time `ts`, until the watermark is `seconds` past it; then it expires.
-
-    A row that is older than the one that is held has no effect; equal times go by value.
-    """
-
-    def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name = str(k[0])
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"key": [name], "value": [None], "expired": [True]})
-            return
-        new = pd.concat(b.sort_values(["ts", value]).tail(1) for b in batches).sort_values(["ts", value]).iloc[-1]
-        at = int(new["ts"].value // 1000)
-        if state.exists and state.get[1] > at:
-            return
-        state.update((str(new[value]), at))
-        state.setTimeoutTimestamp(max(at // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [name], "value": [str(new[value])], "expired": [False]})
-
-    kept = rows.withWatermark("ts", late).groupBy(key)
-    return kept.applyInPandasWithState(keep, "key string, value string, expired boolean", "value string, at bigint", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def session_states(actions: DataFrame, idle: int = 1800, late: str = "1 minute") -> DataFrame:
     """ST4 by explicit ids: sessions out of (session_id, ts, seq, action, ok), action being create, update or end.
 
