@@ -37,19 +37,30 @@ def sanitise(text: Column) -> Column:
 def reject_reason(text: Column, most: int = 1000) -> Column:
     """Why a query text is rejected; null if it is not."""
     stripped = strip(F.coalesce(text, F.lit("")))
-    harmful = F.lit(False)
-    for p in HARMFUL:
-        harmful = harmful | sanitise(stripped).rlike(p)
+    harmful = sanitise(stripped).rlike("|".join(f"(?:{p})" for p in HARMFUL))
     return F.when(stripped == "", "empty").when(F.length(stripped) < 3, "too_short").when(F.length(stripped) > most, "too_long").when(harmful, "harmful")
 
 
-def _score(text: Column, category: str) -> Column:
-    """Confidence of one category; null without a keyword."""
-    hit = lambda k: F.when(text.rlike(rf"(?U)\b{k}\b"), 1).otherwise(0)
-    words = KEYWORDS[category]
-    n = sum((hit(k) for k in words[1:]), hit(words[0]))
-    heavy = sum((hit(k) for k in PRIORITY[category][1:]), hit(PRIORITY[category][0]))
-    base = F.least(F.lit(0.9), n / F.lit(float(max(len(words), 10))) * F.lit(2.0) + F.lit(0.3))
+def keyword_text(text: Column) -> Column:
+    """Lower-case text in which each word stands between single spaces, and all that is neither word nor space is a word of its own."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"(?U)[^\w ]", " \n "), F.lit(" "))
+
+
+def keyword_hits(text: Column, words: Column, keywords: list[str]) -> Column:
+    """Which keywords come in a text as whole words; `text` from `keyword_text`, `words` its words.
+
+    Single words are looked up together; keywords of several words, with one space between, are parts of the text.
+    """
+    single = F.array_intersect(words, F.array(*[F.lit(k) for k in keywords if " " not in k]))
+    phrases = [F.when(text.contains(f" {k} "), F.lit(k)) for k in keywords if " " in k]
+    return F.concat(single, F.array_compact(F.array(*phrases))) if phrases else single
+
+
+def _score(found: Column, category: str) -> Column:
+    """Confidence of one category out of its keywords that were found; null without one."""
+    n = F.size(found)
+    heavy = F.size(F.array_intersect(found, F.array(*map(F.lit, PRIORITY[category]))))
+    base = F.least(F.lit(0.9), n / F.lit(float(max(len(KEYWORDS[category]), 10))) * F.lit(2.0) + F.lit(0.3))
     return F.when(n > 0, F.least(F.lit(0.95), base + F.lit(0.2) * heavy))
 
 
@@ -58,12 +69,14 @@ def categorise(df: DataFrame, query: str, entities: str | None = None) -> DataFr
     text = F.lower(F.coalesce(query, F.lit("")) if isinstance(query, str) else query)
     if entities is not None:
         text = F.concat(text, F.lit(" "), F.lower(F.array_join(F.coalesce(entities, F.array()), " ")))
-    df = df.withColumn("__text", text)
-    df = df.withColumns({"__ai": _score(F.col("__text"), "ai_tools"), "__mf": _score(F.col("__text"), "mutual_funds")})
+    df = df.withColumn("__text", keyword_text(text)).withColumn("__words", F.split("__text", " "))
+    found = lambda category: keyword_hits(F.col("__text"), F.col("__words"), KEYWORDS[category])
+    df = df.withColumns({"__ai": found("ai_tools"), "__mf": found("mutual_funds")})
+    df = df.withColumns({"__ai": _score(F.col("__ai"), "ai_tools"), "__mf": _score(F.col("__mf"), "mutual_funds")})
     best = F.greatest("__ai", "__mf")
     category = F.when(best.isNull(), "general").when(F.col("__ai") >= F.coalesce("__mf", F.lit(0.0)), "ai_tools").otherwise("mutual_funds")
     confidence = F.when(best.isNull(), 0.4).when(best < 0.6, F.least(F.lit(0.8), best + F.lit(0.2))).otherwise(best)
-    df = df.withColumns({"category": category, "confidence": confidence}).drop("__text", "__ai", "__mf")
+    df = df.withColumns({"category": category, "confidence": confidence}).drop("__text", "__words", "__ai", "__mf")
     return df.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)
 
 

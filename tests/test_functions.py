@@ -95,3 +95,14 @@ def test_robots_of_a_host_with_many_rules(spark):
 def urls_of_www(spark) -> bool:
     """Whether a www host is another one than that without, by the rule for domains."""
     return spark.range(1).select(urls.domain(F.lit("http://www.h.com/7")) != "h.com").first()[0]
+
+
+def test_keywords_are_found_where_word_bounds_are(spark):
+    parts = ["mutual fund", "mutual", "fund", "net asset value", "ai", "funds", "é", "_", "9", "́", "x"]
+    joins = [" ", "  ", ",", ", ", "\n", " \n ", "-", "_", "", "\t", "'", "\U0001f600"]
+    rows = [(a + j + b + k + c,) for a in parts[:6] for j in joins for b in parts for k in joins[:7] for c in parts[:4]] + [("",)]
+    df = spark.createDataFrame(rows, "t string").withColumn("n", rq.keyword_text(F.col("t")))
+    keywords = ["ai", "fund", "mutual fund", "net asset value", "funds"]
+    got = F.array_sort(rq.keyword_hits(F.col("n"), F.split("n", " "), keywords))
+    want = F.array_sort(F.array_compact(F.array(*[F.when(F.col("t").rlike(rf"(?U)\b{k}\b"), F.lit(k)) for k in keywords])))
+    assert df.where(got != want).count() == 0
