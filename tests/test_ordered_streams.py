@@ -124,3 +124,65 @@ def test_cache_over_batches_holds_the_last_and_expires(spark, tmp_path):
     got = sorted((r["key"], r["value"], r["expired"]) for r in df.collect() if not r["expired"])
     assert got == [("1", "5", False), ("2", "3", False), ("2", "6", False), ("3", "7", False), ("3", "8", False)]
     assert sorted(r["key"] for r in df.collect() if r["expired"]) == ["1", "2"]
+
+
+class Store(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def _called(name):  # noqa: N805
+        def call(self, *args):
+            Store.calls += 1
+            return getattr(dict, name)(self, *args)
+
+        return call
+
+    getValue, updateValue, removeKey = _called("get"), _called("__setitem__"), _called("pop")
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *_):
+        return Store()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_users_of_a_bucket():
+    import pandas as pd
+
+    def calls(users):
+        limit = ordered.RateLimit(4, 60, 60)
+        limit.init(Handle())
+        Store.calls = 0
+        frame = pd.DataFrame([(u * 1000, e, u) for e, u in enumerate(range(users))], columns=["at", "seq", "user_id"])
+        list(limit.handleInputRows((0,), iter([frame]), None))
+        assert len(limit.pick(0)) == users and not limit.waiting
+        return Store.calls
+
+    assert calls(2000) == calls(1)
+
+
+def test_further_rows_of_a_slot_do_not_rewrite_those_that_wait():
+    import pandas as pd
+
+    limit = ordered.RateLimit(4, 60, 60)
+    limit.init(Handle())
+    for n in range(3):
+        list(limit.handleInputRows((0,), iter([pd.DataFrame({"at": [5 - n], "seq": [n], "user_id": [1]})]), None))
+    assert [len(ats) for ats, *_ in limit.waiting.values()] == [1, 1, 1] and len(limit.handle.timers) == 2
+    assert limit.pick(0) == [(3, 2, 1), (4, 1, 1), (5, 0, 1)] and not limit.parts
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_streams_are_the_same_however_keys_are_dealt(buckets, spark, tmp_path):
+    rows = hot_rows()
+    folder = stored(spark, tmp_path, [rows[:700], rows[700:]])
+    assert limited(spark, folder, None, slot=25, whole=True, buckets=buckets) == brute(rows, 4, 60)
+    got = gathered(ordered.idle_sessions(actions(spark, folder, None), 45, 20, whole=True, buckets=buckets)).collect()
+    second = lambda t: int((t - START).total_seconds())
+    assert sorted((r[0], second(r[1]), second(r[2]), r[3], r[4], r[5]) for r in got) == brute_sessions(rows, 45)
