@@ -180,6 +180,28 @@ class Sessions(InOrder):
             yield pd.DataFrame(done, columns=self.names)
 
 
+class BatchSessions(Sessions):
+    """Sessions that expire between micro-batches only: rows are taken with their batch, slot after slot."""
+
+    def wake(self, sessions: dict[str, tuple], watermark: int) -> None:
+        if sessions:
+            first = min(held[1] for held in sessions.values()) + self.idle
+            self.handle.registerTimer(max(first // 1000, watermark + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        numbers, _ = self.put(rows)
+        sessions = self.load()
+        for number in numbers:
+            yield from self.follow(sessions, self.pick(number), cut=False)
+        self.save(sessions)
+        self.wake(sessions, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        yield from self.expire(key[0], (watermark + 1) * 1000 - 1)
+        self.wake(self.load(), watermark)
+
+
 class Cache(StatefulProcessor):
     """The last value of a key by (at, value); each Arrow batch gives its own last one."""
 
@@ -250,6 +272,15 @@ def idle_sessions(actions: DataFrame, idle: int = 1800, slot: int | None = None,
     return _sessions(actions, Sessions(idle, slot), late, 2 * slot + idle if whole else 0, buckets)
 
 
+def session_states(actions: DataFrame, idle: int = 1800, slot: int = 86_400, late: int = 60, buckets: int = BUCKETS) -> DataFrame:
+    """ST4 by explicit ids as rows arrive: those of `idle_sessions`, but an action joins the open session of its id.
+
+    A session comes out with its micro-batch when it ends, as completed, or when the watermark is `idle` seconds past its
+    last action, as expired. An action after the end begins another one. Rows of a micro-batch are taken by slots.
+    """
+    return _sessions(actions, BatchSessions(idle, slot), late, 0, buckets)
+
+
 def cached_results(rows: DataFrame, key: str, value: str, seconds: int, late: int = 60) -> DataFrame:
     """ST6: the last value of each key by event time `ts`, until the watermark is `seconds` past it; then it expires.
 

@@ -6,17 +6,13 @@ watermark has passed. Those that take the rows of a key in the order of time are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions.text import content_hash
 from siltstone.operators.logs import BUCKETS
 from siltstone.operators.stored import save_content
-from siltstone.streaming.ordered import cached_results, idle_sessions, rate_limited  # noqa: F401
+from siltstone.streaming.ordered import cached_results, idle_sessions, rate_limited, session_states  # noqa: F401
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -81,41 +77,3 @@ def save_batches(content: DataFrame, path: str, checkpoint: str, trigger: dict |
         save_content(batch.join(stored.select("_id"), "_id", "left_anti"), stored.select("_id", "content_hash")).write.mode("append").parquet(path)
 
     return content.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
-
-
-def session_states(actions: DataFrame, idle: int = 1800, late: str = "1 minute") -> DataFrame:
-    """ST4 by explicit ids: sessions out of (session_id, ts, seq, action, ok), action being create, update or end.
-
-    A session begins with its first action, whichever that is; it comes out when it ends, as completed, or when the
-    watermark is `idle` seconds past its last action, as expired. An action after the end begins another one.
-    """
-    out = "session_id string, start_time timestamp, end_time timestamp, actions bigint, successful bigint, status string"
-
-    def row(key: str, held: list[int], status: str) -> tuple:
-        return key, pd.Timestamp(held[0], unit="us"), pd.Timestamp(held[1], unit="us"), held[2], held[3], status
-
-    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, key, done = ["session_id", "start_time", "end_time", "actions", "successful", "status"], str(k[0]), []
-        held = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([row(key, held, "expired")], columns=names)
-            return
-        rows = [r for b in batches for r in zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["seq"], b["action"], b["ok"], strict=True)]
-        for at, _, action, ok in sorted(rows):
-            held = held or [at, at, 0, 0]
-            held = [held[0], max(held[1], at), held[2] + 1, held[3] + int(ok)]
-            if action == "end":
-                done.append(row(key, held, "completed"))
-                held = None
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(max(held[1] // 1000 + idle * 1000, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame(done, columns=names)
-
-    kept = actions.withWatermark("ts", late).groupBy("session_id")
-    return kept.applyInPandasWithState(follow, out, "first bigint, last bigint, actions bigint, successful bigint", "append", GroupStateTimeout.EventTimeTimeout)

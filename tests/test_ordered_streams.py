@@ -186,3 +186,16 @@ def test_streams_are_the_same_however_keys_are_dealt(buckets, spark, tmp_path):
     got = gathered(ordered.idle_sessions(actions(spark, folder, None), 45, 20, whole=True, buckets=buckets)).collect()
     second = lambda t: int((t - START).total_seconds())
     assert sorted((r[0], second(r[1]), second(r[2]), r[3], r[4], r[5]) for r in got) == brute_sessions(rows, 45)
+
+
+def test_session_states_in_buckets_join_within_a_batch_and_expire_by_the_watermark(spark, tmp_path):
+    batches = [[(e, s, u) for e, s, u in hot_rows()], [(5000 + u, 90_000, u) for u in range(1, 3)], [(6009, 90_010, 1)], [(6018, 200_000, 99)]]
+    got = gathered(ordered.session_states(actions(spark, stored(spark, tmp_path, batches), 1), 1800, slot=500, buckets=2)).collect()
+    second = lambda t: int((t - START).total_seconds())
+    first = brute_sessions(batches[0], 10**9)
+    joined = [r for r in first if not (r[5] == "expired" and r[0] in ("1", "2"))]
+    late = {u: next((r for r in first if r[0] == u and r[5] == "expired"), None) for u in ("1", "2")}
+    for u, n, good, end, status in (("1", 2, 2, 90_010, "completed"), ("2", 1, 1, 90_000, "expired")):
+        held = late[u]
+        joined.append((u, held[1] if held else 90_000, end, n + (held[3] if held else 0), good + (held[4] if held else 0), status))
+    assert sorted((r[0], second(r[1]), second(r[2]), r[3], r[4], r[5]) for r in got) == sorted(joined)
