@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,13 @@ def words(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without the ending of a plural or of a verb: ies to y, s after no s, u or i, then ing and ed after three letters."""
+    """A word without the ending of a plural or of a verb: ies to y, s after no s, u or i, then ing and ed after three letters.
+
+    Words that end otherwise are not searched.
+    """
     singular = F.regexp_replace(F.regexp_replace(word, "^(.{2,})ies$", "$1y"), "^(.{2,}[^sui])s$", "$1")
-    return F.regexp_replace(singular, "^(.{3,})(ing|ed)$", "$1")
+    ends = reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in ("s", "ing", "ed")])
+    return F.when(ends, F.regexp_replace(singular, "^(.{3,})(ing|ed)$", "$1")).otherwise(word)
 
 
 def postings(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:

@@ -77,3 +77,12 @@ def test_columns_are_not_run_together(spark):
     path = fresh(spark, "postings")
     s.save_postings(s.postings(df, "_id", ["title", "content"]), path, 4)
     assert [r["id"] for r in s.search_postings(spark, path, '"of the"', 4).collect()] == [2]
+
+
+def test_words_without_an_ending_are_not_searched_for_one(spark):
+    from pyspark.sql import functions as F
+
+    ws = [*WORDS, "s", "as", "ies", "flies", "us", "ing", "ring", "string", "ed", "red", "tasted", "straße", "été"]
+    df = spark.createDataFrame([(w,) for w in ws], "w string").select("w", s.stem(F.col("w")).alias("stem"))
+    assert {r["w"]: r["stem"] for r in df.collect()} == {w: brute_stem(w) for w in ws}
+    assert "CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
