@@ -36,7 +36,7 @@ def test_gated_searches_remove_what_searches_of_all_texts_remove(spark):
 
 
 def test_cleaning_names_each_pattern_once(spark):
-    """Each step is computed once; before, the its plan had the same pattern three times."""
+    """Each step is computed once; before, the plan had the same pattern three times."""
     d = spark.createDataFrame([("x",)], "x string")
     plan = d.select(tx.clean_text(F.col("x")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?iuUd)all rights reserved") == 1
