@@ -88,3 +88,44 @@ def test_a_large_group_has_links_as_its_rows(spark):
     assert near.near_classes(c.limit(0), dedup.fingerprints(c.limit(0))).count() == 0
     with pytest.raises(ValueError):
         near.near_links(c, prints, 0.4)
+
+
+def test_words_are_those_of_split():
+    draw = random.Random(3)
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = ["".join(draw.choice(["a", "B", "é", "漢", "\0", "“", "longerword", "x" * 17, *draw.sample(blanks, 4)]) for _ in range(draw.randrange(60))) for _ in range(500)]
+    texts += ["", None, " ", "a\0", "a", "\0", "12345678", "123456789", "12345678\0"]
+    hashes, counts = near.hashed_words(texts)
+    words = [(t or "").lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    named = set(zip((w for ws in words for w in ws), hashes.tolist(), strict=True))
+    assert len(named) == len({w for w, _ in named}) == len({h for _, h in named})
+
+
+def test_prints_without_patterns_have_the_groups_of_fingerprints(spark):
+    texts = ["One two, three.", "one  two\nthree", "onetwo three", "ONE TWO THREE!", "one two four", "É à", "é, à", "à é", "漢字", "漢 字", "漢字。", "", None, "...", " ", "K2", "K2", "x²", "x"]
+    c = spark.createDataFrame([(i, "u", None, t, 0.5) for i, t in enumerate(texts)], CONTENT)
+    whole = {r["id"]: r["text_fp"] for r in dedup.fingerprints(c).collect()}
+    short = {r["id"]: r["text_fp"] for r in dedup.text_prints(c).collect()}
+    assert short.keys() == whole.keys()
+    assert all((short[a] == short[b]) == (whole[a] == whole[b]) for a, b in combinations(whole, 2))
+    assert all(short[i] in (whole[i], f"#{i}") for i in whole)
+    assert short[4] == "#4"
+
+
+def test_two_texts_of_a_bucket_are_compared_once(spark, monkeypatch):
+    """The two have been compared as a text and its lead, so there is no tile for them."""
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    while True:
+        other = edited(draw, base, 0.025)
+        x, y = near.hashed_shingles([" ".join(base), " ".join(other)])
+        if 0.65 < jaccard(" ".join(base), " ".join(other)) < 0.79 and (near.band_keys(x) == near.band_keys(y)).any():
+            break
+
+    def tiles(*_):
+        raise AssertionError("compared again")
+
+    monkeypatch.setattr(near, "_tile_links", tiles)
+    c = spark.createDataFrame([(1, "u", None, " ".join(base), 0.5), (2, "v", None, " ".join(other), 0.5)], CONTENT)
+    assert near.near_links(c, dedup.fingerprints(c)).count() == 0
